@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Row, functions as F
 
 from coterie.functions.fixed import BYTES_PER_VALUE
@@ -88,3 +89,8 @@ def table_size(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("row_count")).withColumn(
         "byte_size", F.col("row_count") * F.lit(width * BYTES_PER_VALUE).cast("bigint")
     )
+
+
+def vectors_from_arrays(df: DataFrame, name: str) -> DataFrame:
+    """Adds ``features`` from a column that holds the numbers as an array."""
+    return df.withColumn("features", array_to_vector(quoted(name)))
