@@ -26,10 +26,11 @@ LEDGER_KEYS = [
     "RecordCount",
     "FeaturesCount",
 ]
-LEDGER_SCHEMA = (
+JOB_SCHEMA = (
     "maxIteration int, Clusters int, Workers int, ByteSize bigint, RecordCount bigint, "
-    "FeaturesCount int, ExecutionSpeed double, Accuracy double, Algorithm string"
+    "FeaturesCount int"
 )
+LEDGER_SCHEMA = JOB_SCHEMA + ", ExecutionSpeed double, Accuracy double, Algorithm string"
 
 # --- fixed values: messages of the file check --------------------------------
 FILE_TYPE = "Invalid file type"

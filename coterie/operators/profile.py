@@ -96,37 +96,61 @@ def _shaped(lines: DataFrame) -> DataFrame:
 
 
 def _verdicts(shaped: DataFrame) -> DataFrame:
-    filled = F.col("filled")
-    position = F.col("position")
-    groups = shaped.groupBy("path", "block", "width").agg(
-        F.count_if(filled).alias("filled"),
-        F.min(position).alias("first_any"),
-        F.min(F.when(filled, position)).alias("first_filled"),
-        F.min(F.when(~filled, position)).alias("first_blank"),
-    )
-    # From here a file is a row per split and field count, not its lines.
+    splits = _splits(shaped)
+    # From here a file is a row per split, however many lines it has.
     file = Window.partitionBy("path")
-    in_order = file.orderBy("block", "first_any")
-    bad = (F.col("width") != F.col("header_width")) & (F.col("filled") > 0)
-    marked = groups.select(
+    in_order = file.orderBy("block")
+    marked = splits.select(
         "*",
-        F.first("width").over(in_order).alias("header_width"),
+        F.first("lead_width").over(in_order).alias("header_width"),
         F.first(F.col("first_any").eqNullSafe(F.col("first_blank")))
         .over(in_order)
         .alias("blank_header"),
     ).withColumn(
-        "bad", F.min(F.when(bad, F.struct("block", "first_filled"))).over(file)
+        "bad",
+        F.when(F.col("own_width") != F.col("header_width"), F.col("first_filled")).otherwise(
+            F.col("other_filled")
+        ),
     )
-    here = F.col("block") == F.col("bad.block")
+    first_bad = F.min(F.when(F.col("bad").isNotNull(), F.col("block"))).over(file)
+    marked = marked.withColumn("bad_block", first_bad)
+    here = F.col("block") == F.col("bad_block")
+    before = F.col("block") < F.col("bad_block")
     return marked.groupBy("path").agg(
-        F.min("bad.block").alias("bad_block"),
-        F.min("bad.first_filled").alias("bad_position"),
+        F.max("bad_block").alias("bad_block"),
+        F.max(F.when(here, F.col("bad"))).alias("bad_position"),
         F.bool_or("blank_header").alias("blank_header"),
-        F.coalesce(F.sum(F.when(F.col("block") < F.col("bad.block"), F.col("filled"))), F.lit(0)).alias(
-            "lines_before"
-        ),
-        F.min(F.when(here, F.col("first_any"))).alias("first_any"),
-        F.min(F.when(here, F.col("first_blank"))).alias("first_blank"),
+        F.coalesce(F.sum(F.when(before, F.col("filled"))), F.lit(0)).alias("lines_before"),
+        F.max(F.when(here, F.col("first_any"))).alias("first_any"),
+        F.max(F.when(here, F.col("first_blank"))).alias("first_blank"),
+    )
+
+
+def _splits(shaped: DataFrame) -> DataFrame:
+    """One row per split. Whatever the header turns out to be, the first bad line
+    of a split is its first filled line or the first one that differs from it."""
+    filled = F.col("filled")
+    position = F.col("position")
+    widths = shaped.groupBy("path", "block", "width").agg(
+        F.count_if(filled).alias("filled"),
+        F.min(position).alias("first_any"),
+        F.min(F.when(filled, position)).alias("first_filled"),
+        F.min(F.when(~filled, position)).alias("first_blank"),
+    )
+    in_split = Window.partitionBy("path", "block").orderBy(F.asc_nulls_last("first_filled"))
+    rank = F.col("rank")
+    return (
+        widths.withColumn("rank", F.row_number().over(in_split))
+        .groupBy("path", "block")
+        .agg(
+            F.sum("filled").alias("filled"),
+            F.min("first_any").alias("first_any"),
+            F.min("first_blank").alias("first_blank"),
+            F.min_by("width", "first_any").alias("lead_width"),
+            F.max(F.when((rank == 1) & (F.col("filled") > 0), F.col("width"))).alias("own_width"),
+            F.max(F.when(rank == 1, F.col("first_filled"))).alias("first_filled"),
+            F.max(F.when(rank == 2, F.col("first_filled"))).alias("other_filled"),
+        )
     )
 
 

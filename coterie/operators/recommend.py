@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IndexToString, VectorAssembler
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from coterie.functions.fixed import LEDGER_KEYS
+from coterie.functions.fixed import JOB_SCHEMA, LEDGER_KEYS
 from coterie.operators.clustering import ALGORITHMS
 from coterie.operators.metrics import class_accuracy
 
@@ -149,6 +149,12 @@ def predict(model: PipelineModel, jobs: DataFrame, target: str) -> DataFrame:
     )
 
 
+def jobs_frame(spark: SparkSession, jobs: Sequence[dict]) -> DataFrame:
+    """Jobs given in the program, one mapping with the six ledger keys each."""
+    rows = [[job[key] for key in LEDGER_KEYS] for job in jobs]
+    return spark.createDataFrame(rows, JOB_SCHEMA)
+
+
 def display_name(name: Column) -> Column:
     """Ledger name to title; null for anything else."""
     titles = F.when(name == ALGORITHMS[0].name, ALGORITHMS[0].title)

@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 from coterie.functions import fixed
 from coterie.functions.fixed import LEDGER_KEYS
 from coterie.operators import recommend
+from coterie.operators.columns import select_named
 from coterie.plans.recommender import Recommender, train_recommender
 from coterie.session import scratch_path
+from coterie.sources.csv import write_csv
+from coterie.sources.ledgers import append_sweep, read_sweep, read_sweep_csv
 from coterie.workload.registry import query, table
 
+LEDGER_COLUMNS = [*LEDGER_KEYS, "ExecutionSpeed", "Accuracy", "Algorithm"]
 KINDS = ["click", "view", "purchase"]
 
 
@@ -146,6 +150,23 @@ def training_labels(spark, sf):
     return recommend.training_set(line_ledger(spark, sf))
 
 
+@query(
+    f"WITH {SQL_LEDGER}, {SQL_TRAINING} "
+    f"SELECT {', '.join(LEDGER_KEYS)}, BestBySpeed, BestByAccuracy FROM training"
+)
+def training_labels_csv(spark, sf):
+    """The same from ledgers kept as CSV files, one per worker count."""
+    kept = scratch_path(spark, "line-ledger")
+    append_sweep(line_ledger(spark, sf), kept)
+    ledger = read_sweep(spark, kept)
+    paths = []
+    for workers in range(1, 6):
+        paths.append(scratch_path(spark, f"workers-{workers}"))
+        one = select_named(ledger.filter(F.col("Workers") == workers), LEDGER_COLUMNS)
+        write_csv(one, paths[-1])
+    return recommend.training_set(read_sweep_csv(spark, paths))
+
+
 SQL_SHARE = (
     "CAST('0x' || substr(md5('42|' || concat_ws('|', "
     + ", ".join(LEDGER_KEYS)

@@ -52,6 +52,16 @@ def csv_round_trip(spark, sf):
     )
 
 
+@query("SELECT c_name, c_nationkey FROM customer WHERE c_nationkey > 12")
+def csv_filter_job(spark, sf):
+    """CSV in, rows and columns chosen, CSV out."""
+    source, target = scratch_path(spark, "people"), scratch_path(spark, "chosen")
+    write_csv(table(spark, sf, "customer"), source)
+    chosen = read_csv(spark, source).filter(F.col("c_nationkey") > 12)
+    write_csv(select_named(chosen, ["c_name", "c_nationkey"]), target)
+    return read_csv(spark, target, "c_name string, c_nationkey int")
+
+
 @query(
     """
     SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,

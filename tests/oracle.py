@@ -18,6 +18,15 @@ from coterie.workload import ORACLES, QUERIES  # noqa: E402
 from coterie.workload.relational import TABLES  # noqa: E402
 
 
+TYPES = {
+    "int": "INTEGER",
+    "bigint": "BIGINT",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+}
+
+
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     connection = duckdb.connect()
     connection.execute("SET TimeZone = 'UTC'")
@@ -48,6 +57,14 @@ def compare(spark, connection, sf_dir: str, name: str) -> str | None:
     theirs = rows_of(names, cursor.fetchall())
     if sorted(result.columns) != sorted(names):
         return f"columns {sorted(result.columns)} / {sorted(names)}"
+    types = {c[0]: str(c[1]) for c in cursor.description}
+    wrong = [
+        f"{f.name} {f.dataType.simpleString()}/{types[f.name]}"
+        for f in result.schema.fields
+        if TYPES.get(f.dataType.simpleString()) != types[f.name]
+    ]
+    if wrong:
+        return f"types {wrong}"
     if len(ours) != len(theirs):
         return f"rows {len(ours)} / {len(theirs)}"
     different = [(a, b) for a, b in zip(ours, theirs) if a != b]
