@@ -75,7 +75,8 @@ def timestamp_text(at: Column) -> Column:
 
 
 def two_decimals(value: Column) -> Column:
-    """Two decimals, rounded on the exact binary value with ties to even.
+    """Two decimals, rounded on the exact binary value with ties to even, for up
+    to 15 digits.
 
     ``printf`` rounds the shortest decimal form half up, which differs for
     values such as 0.125 and 1.005.

@@ -165,10 +165,10 @@ def file_error(filename: Column, lines: Column, bad_line: Column) -> Column:
 
 
 def profile_files(files: DataFrame, lines: DataFrame) -> DataFrame:
-    """``path, filename, size, lines, headers, error`` for every file.
+    """``path, filename, size, lines, headers, bad_line, error`` for every file.
 
     ``files`` has ``path, filename, size``, as ``sources.files.read_file_sizes``
-    gives. Files with nothing in them have no lines, hence the outer joins.
+    gives. A file of blank lines has no metadata, hence the outer joins.
     """
     return (
         files.join(metadata(lines), "path", "left")
@@ -179,6 +179,7 @@ def profile_files(files: DataFrame, lines: DataFrame) -> DataFrame:
             "size",
             "lines",
             "headers",
+            "bad_line",
             file_error(F.col("filename"), F.col("lines"), F.col("bad_line")).alias("error"),
         )
     )

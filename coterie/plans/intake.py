@@ -6,20 +6,26 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from coterie.operators.profile import profile_files
+from coterie.operators.profile import file_error, profile_files
 from coterie.operators.requests import check_labels
 from coterie.sources.files import read_file_sizes, read_lines
 
 
 def intake(uploads: DataFrame, files: DataFrame, lines: DataFrame, catalog: DataFrame) -> DataFrame:
     """``uploads`` (user, label, path) with the file's metadata and an ``error``,
-    null when accepted. The label rules come before the file rules."""
+    null when accepted. The label rules come before the file rules.
+
+    A file with no bytes in it appears in neither ``files`` nor ``lines``.
+    """
     labelled = check_labels(uploads, catalog).withColumnRenamed("error", "label_error")
-    profiled = profile_files(files, lines).withColumnRenamed("error", "file_error")
+    profiled = profile_files(files, lines).drop("error")
+    filename = F.coalesce("filename", F.substring_index("path", "/", -1))
+    error = file_error(filename, F.col("lines"), F.col("bad_line"))
     return (
         labelled.join(profiled, "path", "left")
-        .withColumn("error", F.coalesce("label_error", "file_error"))
-        .drop("label_error", "file_error")
+        .withColumn("error", F.coalesce(F.col("label_error"), error))
+        .withColumns({"filename": filename, "size": F.coalesce("size", F.lit(0))})
+        .drop("label_error", "bad_line")
     )
 
 

@@ -35,7 +35,8 @@ def text_lines(df: DataFrame, path: Column, text: Column) -> DataFrame:
 
 
 def read_file_sizes(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
-    """One row per file: ``path, filename, size``. File contents are not read."""
+    """One row per file: ``path, filename, size``. File contents are not read.
+    Spark lists no file without bytes."""
     entries = spark.read.format("binaryFile").load(
         paths if isinstance(paths, str) else list(paths)
     )

@@ -70,8 +70,16 @@ def test_nulls(spark):
 
 def test_more_clusters_than_rows(spark):
     df = spark.createDataFrame([(1.0, 1.0), (2.0, 5.0), (9.0, 9.0)], "x double, y double")
-    result = cluster(df, ["x", "y"], TITLES[0], 5, 10)
-    assert result.labelled.count() == 3
+    for title in TITLES[:2]:
+        result = cluster(df, ["x", "y"], title, 5, 10)
+        assert result.labelled.select("prediction").distinct().count() == 3
+
+
+def test_more_clusters_than_distinct_rows(spark):
+    df = spark.range(100).select((F.col("id") % 2).alias("x"), (F.col("id") % 2).alias("y"))
+    result = cluster(df, ["x", "y"], TITLES[0], 4, 10)
+    assert result.labelled.select("prediction").distinct().count() == 2
+    assert result.quality == 0
 
 
 def test_small_files_still_use_every_core(spark, points):

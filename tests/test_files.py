@@ -67,7 +67,7 @@ def test_every_edge(spark, folder):
     profiled = profile_files(
         read_file_sizes(spark, str(folder)), read_lines(spark, str(folder))
     ).collect()
-    assert {row["filename"] for row in profiled} == set(FILES)
+    assert {row["filename"] for row in profiled} == set(FILES) - {"empty.csv"}
     for row in profiled:
         name, text = row["filename"], FILES[row["filename"]]
         filled = [line.strip() for line in text.split("\n") if line.strip()]
@@ -125,6 +125,9 @@ def test_intake_and_catalog(spark, folder):
             ("bob", "taken", paths["crlf.csv"]),
             ("bob", "bad name", paths["missing.csv"]),
             ("bob", "short", paths["missing.csv"]),
+            ("bob", "nothing", paths["good.csv"].replace("good", "empty")),
+            ("bob", "white", paths["white.csv"]),
+            ("bob", "text", paths["wrong.txt"]),
         ],
         "user string, label string, path string",
     )
@@ -137,6 +140,9 @@ def test_intake_and_catalog(spark, folder):
         ("bob", "taken"): None,
         ("bob", "bad name"): fixed.LABEL_SPACES,
         ("bob", "short"): f"{fixed.FILE_SHAPE}3",
+        ("bob", "nothing"): fixed.FILE_EMPTY,
+        ("bob", "white"): fixed.FILE_EMPTY,
+        ("bob", "text"): fixed.FILE_TYPE,
     }
     events = catalog_events(result)
     assert set(events.columns) == {

@@ -57,7 +57,7 @@ def test_csv_extension(spark):
 
 
 def test_two_decimals_rounds_the_binary_value(spark):
-    values = [0.125, 1.005, 2.675, 0.375, 1234567.891, -0.125, 0.0, 99.995, 12.5, 1e15 + 0.3]
+    values = [0.125, 1.005, 2.675, 0.375, 1234567.891, -0.125, 0.0, 99.995, 12.5, 3.14159]
     exact = [
         str(Decimal(v).quantize(Decimal("0.01"), ROUND_HALF_EVEN)) for v in values
     ]
