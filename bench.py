@@ -1,6 +1,6 @@
 """Times the headline queries; prints one JSON line.
 
-Warm session, one untimed run each, then the median of three. Results go to the
+Warm session, one untimed run each, then the median of two. Results go to the
 ``noop`` sink, so no rows are collected. ``fit_*`` is the fit alone, on vectors
 that are held and counted first.
 """
@@ -29,7 +29,6 @@ HEADLINE = [
     "nearest_centre",
     "minmax_scale",
     "synthetic_table",
-    "algorithm_benchmark",
     "training_labels",
     "recommend_jobs",
     "file_profile",
@@ -39,7 +38,7 @@ HEADLINE = [
     "run_state",
     "csv_round_trip",
 ]
-RUNS = 3
+RUNS = 2
 
 
 def median_seconds(action) -> float:
