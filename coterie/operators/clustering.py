@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from coterie.functions import fixed
 
 DEFAULT_SEED = 1
+ROWS_PER_TASK = 10_000
 
 
 @dataclass(frozen=True)
@@ -72,14 +74,19 @@ def algorithm(name: str) -> Algorithm:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """At least one partition per core.
+    """More partitions for an input that has fewer than the cluster has cores.
 
     A small file is one scan partition, which would leave one core to do the
-    fit. A large input has more partitions than cores and is left as it is:
-    moving it would cost a shuffle of everything.
+    fit. The row count bounds the partitions, so a tiny input is not torn into
+    thousands of tasks. A large input has more partitions than cores and is left
+    as it is: moving it would cost a shuffle of everything.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    partitions = df.rdd.getNumPartitions()
+    if partitions >= cores:
+        return df
+    wanted = min(cores, math.ceil(df.count() / ROWS_PER_TASK))
+    return df.repartition(wanted) if wanted > partitions else df
 
 
 @contextmanager

@@ -14,6 +14,7 @@ from coterie.functions.text import (
     starts_with_digit,
     to_int,
 )
+from coterie.operators.columns import quoted
 
 
 @dataclass(frozen=True)
@@ -54,22 +55,34 @@ def label_error(
     )
 
 
-def with_existence(df: DataFrame, known: DataFrame, keys: dict[str, str], flag: str) -> DataFrame:
-    """Adds ``flag``: whether the row's keys occur in ``known``.
+SALTS = 16
+
+
+def look_up(df: DataFrame, known: DataFrame, keys: dict[str, str]) -> DataFrame:
+    """Left join of ``df`` with ``known``, which has one row per key.
 
-    ``keys`` maps columns of ``df`` to columns of ``known``. No broadcast is
-    asked for, since ``known`` grows with its users: Spark broadcasts it when its
-    measured size allows, and otherwise splits a hot key of the left side.
+    ``keys`` maps columns of ``df`` to columns of ``known``, which are dropped.
+    No broadcast is asked for, since ``known`` grows with its users; Spark
+    broadcasts it when its measured size allows. For the other case the rows of
+    one key are dealt out over several salts, each of which meets its own copy of
+    the looked-up row, so that a key held by a third of all rows is not joined by
+    a single task.
     """
-    present = known.select(
-        *[F.col(theirs).alias(f"known_{ours}") for ours, theirs in keys.items()]
-    ).distinct().withColumn(flag, F.lit(True))
-    condition = [F.col(ours) == F.col(f"known_{ours}") for ours in keys]
-    return (
-        df.join(present, condition, "left")
-        .drop(*[f"known_{ours}" for ours in keys])
-        .withColumn(flag, F.coalesce(flag, F.lit(False)))
-    )
+    salt = F.pmod(F.xxhash64(*[quoted(name) for name in df.columns]), F.lit(SALTS)).cast("int")
+    salted = df.withColumn("salt", salt)
+    copies = known.withColumnsRenamed(
+        {theirs: f"known_{theirs}" for theirs in keys.values()}
+    ).withColumn("known_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    condition = [F.col(ours) == F.col(f"known_{theirs}") for ours, theirs in keys.items()]
+    return salted.join(
+        copies, [*condition, F.col("salt") == F.col("known_salt")], "left"
+    ).drop("salt", "known_salt", *[f"known_{theirs}" for theirs in keys.values()])
+
+
+def with_existence(df: DataFrame, known: DataFrame, keys: dict[str, str], flag: str) -> DataFrame:
+    """Adds ``flag``: whether the row's keys occur in ``known``."""
+    present = known.select(*keys.values()).distinct().withColumn(flag, F.lit(True))
+    return look_up(df, present, keys).withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
 def known_only(df: DataFrame, known: DataFrame, keys: dict[str, str]) -> DataFrame:
@@ -106,17 +119,13 @@ def check_requests(
     smallest numbers, features from the dataset's headers, and a live worker.
     """
     datasets = catalog.select(
-        F.col("user").alias("dataset_user"),
-        F.col("label").alias("dataset_name"),
+        "user",
+        "label",
         F.col("lines").alias("dataset_lines"),
         F.col("headers").alias("dataset_headers"),
+        F.lit(True).alias("dataset_known"),
     )
-    joined = requests.join(
-        datasets,
-        (F.col("user") == F.col("dataset_user"))
-        & (F.col("dataset_label") == F.col("dataset_name")),
-        "left",
-    )
+    joined = look_up(requests, datasets, {"user": "user", "dataset_label": "label"})
     joined = with_existence(
         joined, runs, {"user": "user", "cluster_label": "label"}, "run_known"
     )
@@ -126,7 +135,7 @@ def check_requests(
     label = label_error(F.col("cluster_label"), F.col("run_known"), RUN_LABEL)
 
     error = (
-        F.when(F.col("dataset_name").isNull(), fixed.REQUEST_DATASET)
+        F.when(F.col("dataset_known").isNull(), fixed.REQUEST_DATASET)
         .when(clusters.isNull() | (F.col("clusters") == "0"), fixed.REQUEST_CLUSTERS)
         .when(F.coalesce("algorithm", F.lit("")) == "", fixed.REQUEST_ALGORITHM)
         .when(F.size(features) < 2, fixed.REQUEST_FEATURES)
@@ -152,5 +161,5 @@ def check_requests(
             .when(F.col("workers") <= 0, "No worker is available")
         )
     return joined.withColumn("error", error).drop(
-        "dataset_user", "dataset_name", "dataset_lines", "dataset_headers", "run_known"
+        "dataset_known", "dataset_lines", "dataset_headers", "run_known"
     )

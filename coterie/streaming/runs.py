@@ -13,9 +13,34 @@ def run_event_stream(spark: SparkSession, ledger_path: str) -> DataFrame:
 
 
 def watch_runs(events: DataFrame) -> DataFrame:
-    """The results listing as a stream, for an ``update`` or ``complete`` sink.
+    """The results listing as a stream, for a ``complete`` sink.
 
     The state is one row per label, the size of the listing itself. A deleted
-    label yields no row, so it leaves a ``complete`` sink.
+    label yields no row, so it leaves the listing.
     """
     return listing(run_states(events))
+
+
+def keep_listing(events: DataFrame, path: str, checkpoint: str) -> int | None:
+    """Brings the listing below ``path`` up to date with all events so far.
+
+    Returns the number of the last batch, which names the folder that holds the
+    listing, or None when there were no new events. A batch that is repeated
+    after a failure replaces its own folder.
+    """
+    written = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{number}")
+        written.append(number)
+
+    query = (
+        watch_runs(events)
+        .writeStream.outputMode("complete")
+        .foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return written[-1] if written else None

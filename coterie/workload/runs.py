@@ -14,6 +14,7 @@ from coterie.operators.runs import (
 )
 from coterie.session import scratch_path
 from coterie.sources.ledgers import append, read_ledger
+from coterie.streaming.runs import keep_listing, run_event_stream
 from coterie.workload.profiling import sql_label_error
 from coterie.workload.registry import query, table
 
@@ -221,8 +222,7 @@ def run_state(spark, sf):
     return states.select("user", "label", "status", "time_taken", "accuracy", "dataset_label")
 
 
-@query(
-    f"""
+SQL_LISTING = f"""
     WITH {SQL_STATES}
     SELECT user, label,
            CASE WHEN status IN ('RUNNING', 'SUBMITTED') THEN '{fixed.LISTING_RUNNING}'
@@ -232,12 +232,26 @@ def run_state(spark, sf):
            CASE WHEN status = 'FINISHED' THEN printf('%.2f', accuracy * 100) || ' %' END
              AS accuracy_text
     FROM states
-    """
-)
+"""
+LISTED = ["user", "label", "message", "time_text", "accuracy_text"]
+
+
+@query(SQL_LISTING)
 def run_listing(spark, sf):
-    return listing(run_states(run_events(spark, sf))).select(
-        "user", "label", "message", "time_text", "accuracy_text"
+    return listing(run_states(run_events(spark, sf))).select(*LISTED)
+
+
+@query(SQL_LISTING)
+def run_listing_stream(spark, sf):
+    """The listing kept by a stream over the ledger, in two rounds."""
+    ledger, kept, state = (
+        scratch_path(spark, name) for name in ("stream-ledger", "stream-listing", "stream-state")
     )
+    events = run_events(spark, sf)
+    for late in (False, True):
+        append(events.filter((F.dayofmonth("at") > 15) == late), ledger)
+        batch = keep_listing(run_event_stream(spark, ledger), kept, state)
+    return spark.read.parquet(f"{kept}/{batch}").select(*LISTED)
 
 
 @query(

@@ -83,9 +83,10 @@ def test_more_clusters_than_distinct_rows(spark):
 
 
 def test_small_files_still_use_every_core(spark, points):
-    one = points.coalesce(1)
     cores = spark.sparkContext.defaultParallelism
+    one = spark.range(cores * clustering.ROWS_PER_TASK).coalesce(1)
     assert clustering.spread(one).rdd.getNumPartitions() == cores
+    assert clustering.spread(points.coalesce(1)).rdd.getNumPartitions() == 1
     many = points.repartition(cores + 3)
     assert clustering.spread(many).rdd.getNumPartitions() == cores + 3
 

@@ -4,10 +4,10 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from coterie.functions import fixed
-from coterie.operators.requests import check_requests
+from coterie.operators.requests import check_requests, with_existence
 from coterie.operators.runs import RUN_EVENTS_SCHEMA, listing, run_states
 from coterie.sources.ledgers import append
-from coterie.streaming.runs import run_event_stream, watch_runs
+from coterie.streaming.runs import keep_listing, run_event_stream
 
 FIELDS = ["status", "time_taken", "accuracy"]
 
@@ -120,20 +120,30 @@ def test_request_rules_in_order(spark):
 
 
 def test_stream_ends_where_the_batch_does(spark, tmp_path):
-    path, out = str(tmp_path / "ledger"), str(tmp_path / "listing")
+    path, out, checkpoint = (str(tmp_path / name) for name in ("ledger", "listing", "state"))
     events = random_events(60)
-    for third in (events[:20], events[20:40], events[40:]):
-        append(events_frame(spark, third), path)
-    stream = (
-        watch_runs(run_event_stream(spark, path).withWatermark("at", "1 hour"))
-        .writeStream.outputMode("complete")
-        .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
-        .option("checkpointLocation", str(tmp_path / "checkpoint"))
-        .trigger(availableNow=True)
-        .start()
+    for start in (0, 20, 40):
+        append(events_frame(spark, events[start : start + 20]), path)
+        batch = keep_listing(run_event_stream(spark, path), out, checkpoint)
+        streamed = spark.read.parquet(f"{out}/{batch}")
+        expected = listing(run_states(spark.read.schema(RUN_EVENTS_SCHEMA).parquet(path)))
+        assert streamed.exceptAll(expected).count() == 0
+        assert streamed.count() == expected.count()
+    assert keep_listing(run_event_stream(spark, path), out, checkpoint) is None
+
+
+def test_hot_key_is_dealt_out(spark):
+    requests = spark.range(3000).select(
+        F.lit("u").alias("user"), F.lit("d").alias("label"), F.col("id")
     )
-    stream.awaitTermination()
-    batch = listing(run_states(spark.read.schema(RUN_EVENTS_SCHEMA).parquet(path)))
-    streamed = spark.read.parquet(out)
-    assert streamed.exceptAll(batch).count() == 0
-    assert streamed.count() == batch.count()
+    known = spark.createDataFrame([("u", "d"), ("v", "d")], "user string, label string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        found = with_existence(requests, known, {"user": "user", "label": "label"}, "found")
+        sizes = found.groupBy(F.spark_partition_id()).count().collect()
+        assert found.filter("found").count() == 3000
+        assert len(sizes) > 3 and max(r["count"] for r in sizes) < 2000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
