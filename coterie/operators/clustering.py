@@ -14,7 +14,7 @@ from pyspark import StorageLevel
 from pyspark.errors import PySparkException
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from coterie.functions import fixed
 
@@ -24,12 +24,14 @@ ROWS_PER_TASK = 10_000
 
 @dataclass(frozen=True)
 class Algorithm:
-    """``name`` is what ledgers hold, ``title`` what people see and request."""
+    """``name`` is what ledgers hold, ``title`` what people see and request.
+    ``decodes_once`` says whether the fit keeps its own decoded copy of the rows."""
 
     name: str
     title: str
     estimator: Callable[[], Any]
     quality: Callable[[Any], float]
+    decodes_once: bool
 
 
 @dataclass(frozen=True)
@@ -42,25 +44,30 @@ class Fit:
 
 # KMeans: the block solver multiplies whole blocks of rows with the centres and
 # halves the time of a fit on assembled columns. Naming it also saves the pass
-# over the data that "auto" spends on counting non-zero values.
+# over the data that "auto" spends on counting non-zero values. It reads the rows
+# a few times only; the other two pass over them up to max_iter times (bisecting:
+# at every level), so decoding them once is worth a second copy.
 ALGORITHMS = (
     Algorithm(
         fixed.KMEANS,
         fixed.KMEANS_TITLE,
         lambda: KMeans(solver="block"),
         lambda model: model.summary.trainingCost,
+        decodes_once=False,
     ),
     Algorithm(
         fixed.BISECTING,
         fixed.BISECTING_TITLE,
         BisectingKMeans,
         lambda model: model.summary.trainingCost,
+        decodes_once=True,
     ),
     Algorithm(
         fixed.MIXTURE,
         fixed.MIXTURE_TITLE,
         GaussianMixture,
         lambda model: model.summary.logLikelihood,
+        decodes_once=True,
     ),
 )
 
@@ -112,6 +119,11 @@ def fit(
     """Fits one algorithm; ``seconds`` covers the fit alone."""
     chosen = algorithm(name)
     estimator = chosen.estimator().setK(k).setMaxIter(max_iter).setSeed(seed)
+    if chosen.decodes_once:
+        # The held rows are compressed batches, to be decoded by every pass. Given
+        # a frame that is not itself held, the estimator persists what it decodes
+        # for the length of the fit, on disk where memory is short.
+        vectors = vectors.withColumn("weight", F.lit(1.0))
     try:
         model, seconds = timed_fit(estimator, vectors)
     except (Py4JError, PySparkException) as error:

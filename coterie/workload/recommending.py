@@ -161,7 +161,7 @@ def training_labels_csv(spark, sf):
     ledger = read_sweep(spark, kept)
     paths = []
     for workers in range(1, 6):
-        paths.append(scratch_path(spark, f"workers-{workers}"))
+        paths.append(scratch_path(spark, f"ledger-csv-{workers}"))
         one = select_named(ledger.filter(F.col("Workers") == workers), LEDGER_COLUMNS)
         write_csv(one, paths[-1])
     return recommend.training_set(read_sweep_csv(spark, paths))

@@ -121,7 +121,7 @@ def test_sweep_resumes_after_a_gap(spark, tmp_path):
 
 def test_ledger_csv_files(spark, tmp_path):
     frames = [ledger(spark, [((1, 2, 3), (1, 2, 3))] * w) for w in (1, 2)]
-    paths = [str(tmp_path / f"workers-{i}") for i in range(2)]
+    paths = [str(tmp_path / f"ledger-{i}") for i in range(2)]
     for frame, path in zip(frames, paths):
         write_csv(frame, path)
     assert read_sweep_csv(spark, paths).count() == 9
