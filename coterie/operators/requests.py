@@ -55,7 +55,7 @@ def label_error(
     )
 
 
-SALTS = 16
+SALTS = 4
 
 
 def look_up(df: DataFrame, known: DataFrame, keys: dict[str, str]) -> DataFrame:
@@ -64,9 +64,10 @@ def look_up(df: DataFrame, known: DataFrame, keys: dict[str, str]) -> DataFrame:
     ``keys`` maps columns of ``df`` to columns of ``known``, which are dropped.
     No broadcast is asked for, since ``known`` grows with its users; Spark
     broadcasts it when its measured size allows. For the other case the rows of
-    one key are dealt out over several salts, each of which meets its own copy of
+    one key are dealt out over a few salts, each of which meets its own copy of
     the looked-up row, so that a key held by a third of all rows is not joined by
-    a single task.
+    a single task. The salt also makes both sides shuffle for this join alone,
+    which lets adaptive execution split a partition that is still too large.
     """
     salt = F.pmod(F.xxhash64(*[quoted(name) for name in df.columns]), F.lit(SALTS)).cast("int")
     salted = df.withColumn("salt", salt)
