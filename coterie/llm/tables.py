@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from coterie.session import scratch_path
 
@@ -45,3 +48,13 @@ def blocks(sizes: list[int], most: int) -> Iterator[slice]:
         total += size
     if begin < len(sizes):
         yield slice(begin, len(sizes))
+
+
+def ship(spark: SparkSession) -> None:
+    """Hands this package to the executors, once for a session's context."""
+    context = spark.sparkContext
+    if not getattr(context, "_coterie_shipped", False):
+        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        target = os.path.join(tempfile.mkdtemp(prefix="coterie-"), "coterie")
+        context.addPyFile(shutil.make_archive(target, "zip", root, "coterie"))
+        context._coterie_shipped = True
