@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coterie.llm.line_dedup import drop_repeated_lines
+from coterie.llm.ngram_join import link_documents
 from coterie.llm.packing import pack_pieces, token_pieces
 from coterie.llm.tables import ship, stage
 from coterie.llm.token_counts import count_tokens
@@ -72,6 +73,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_documents(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = token_pieces(table(spark, sf_dir, "documents")).select(
