@@ -8,12 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from coterie.llm.embedding_dedup import link_embeddings
+from coterie.llm.exact_topk import top_k
 from coterie.llm.line_dedup import drop_repeated_lines
 from coterie.llm.ngram_join import link_documents
 from coterie.llm.packing import pack_pieces, token_pieces
 from coterie.llm.tables import ship, stage
 from coterie.llm.token_counts import count_tokens
 from coterie.llm.token_files import read_token_files, write_token_files
+from coterie.llm.toxicity import classify
 from coterie.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,6 +81,33 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(table(spark, sf_dir, "documents"))
 
 
+@query(
+    """
+    WITH RECURSIVE v AS (
+        SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+        WHERE embedding IS NOT NULL AND len(embedding) = len(list_filter(embedding, lambda x: isfinite(x)))
+          AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    ), links AS (
+        SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b
+        ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9
+    ), reach AS (
+        SELECT vec_id AS x, vec_id AS y FROM embeddings
+        UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y
+    ), roots AS (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY x),
+    counts AS (SELECT x AS vec_id, count(*) AS n_links FROM links GROUP BY x)
+    SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+    FROM roots LEFT JOIN counts USING (vec_id)
+    """
+)
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query()
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = token_pieces(table(spark, sf_dir, "documents")).select(
@@ -98,3 +128,25 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path).select(
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
     )
+
+
+@query(
+    """
+    WITH v AS (
+        SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(1024 * x)) AS e
+        FROM embeddings
+        WHERE embedding IS NOT NULL AND len(embedding) = len(list_filter(embedding, lambda x: isfinite(x)))
+    ), scored AS (
+        SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+        FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+    ), ranked AS (
+        SELECT query_id, vec_id, score,
+               row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank
+        FROM scored
+    )
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+    """
+)
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 100 = 0"))
