@@ -10,8 +10,8 @@ A folder holds ``ranks`` (rank, id) and ``blocks``, Parquet files of
     shard, block   place in the order of documents: ascending shard, then block
     start          ids before the block in its shard
     doc_id, n      for each document, its id and its number of tokens
-    control, data  of its documents one after another; control is padded to whole
-                   bytes at the end of the block
+    control, data  of its documents one after another; each document's control ends
+                   with a whole byte
 
 Spark's writer commits the files, so a lost executor leaves no half file behind.
 """
@@ -22,95 +22,114 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from coterie.llm.tables import stage, utf8
 from coterie.llm.word_tokens import WORD_BPE, word_encoder
 
 BLOCK_IDS = 1 << 18  # a block is closed when it has so many ids
-LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
-KEEP = np.array([0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
+SHIFTS = np.array([0, 2, 4, 6], np.uint8)
+#: For each control byte, which of the bytes of its four numbers are written.
+WRITTEN = np.arange(4) <= (np.arange(256)[:, None] >> SHIFTS & 3)[:, :, None]
 
 
-def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """Control and data bytes of unsigned 32-bit numbers."""
-    extra = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
-    codes = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
-    codes[: len(ranks)] = extra
-    control = codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)
-    whole = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
-    data = whole[np.arange(4) <= extra[:, None]]
-    return np.bitwise_or.reduce(control, axis=1).astype(np.uint8).tobytes(), data.tobytes()
+def slots(counts: np.ndarray) -> np.ndarray:
+    """Where each document's numbers go when each starts with a new control byte."""
+    pad = -counts % 4
+    return np.arange(counts.sum()) + np.repeat(np.cumsum(pad) - pad, counts)
 
 
-def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
-    """The numbers again: lengths by table, places by a running sum."""
-    lengths = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:count].astype(np.int64)
-    starts = np.cumsum(lengths) - lengths
-    padded = np.frombuffer(data + b"\0\0\0", np.uint8)
-    words = np.zeros(count, np.uint32)
-    for k in range(4):
-        words |= padded[starts + k].astype(np.uint32) << np.uint32(8 * k)
-    return words & KEEP[lengths - 1]
+def pack(numbers: np.ndarray, counts: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Control and data bytes of each of the documents whose numbers follow each other."""
+    extra = (numbers > 0xFF).astype(np.uint8)
+    extra += numbers > 0xFFFF
+    extra += numbers > 0xFFFFFF
+    quads = -(-counts // 4)
+    codes = np.zeros(4 * quads.sum(), np.uint8)
+    codes[slots(counts)] = extra
+    control = np.bitwise_or.reduce(codes.reshape(-1, 4) << SHIFTS, axis=1).tobytes()
+    whole = numbers.astype("<u4").view(np.uint8).reshape(-1, 4)
+    data = whole[np.arange(4) <= extra[:, None]].tobytes()
+    at = np.r_[0, np.cumsum(extra, dtype=np.int64) + np.arange(1, len(extra) + 1)][np.r_[0, np.cumsum(counts)]]
+    return cut(control, np.r_[0, np.cumsum(quads)]), cut(data, at)
 
 
-def encode_ids(path: str, end_id: int) -> Callable:
+def cut(flat: bytes, at: np.ndarray) -> list[bytes]:
+    places = at.tolist()
+    return [flat[a:b] for a, b in zip(places, places[1:])]
+
+
+def unpack(control: bytes, data: bytes, counts: np.ndarray) -> np.ndarray:
+    """The numbers again: the control bytes say by table which bytes are there."""
+    written = WRITTEN[np.frombuffer(control, np.uint8)].reshape(-1, 4)[slots(counts)]
+    out = np.zeros(written.shape, np.uint8)
+    out[written] = np.frombuffer(data, np.uint8)
+    return out.view("<u4").ravel()
+
+
+def encode_ids(path: str, end_id: int, kind: str) -> Callable:
     tail = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(path)
         for batch in batches:
             ids = [one + tail for one in encoder.encode(utf8(batch.column(1)))]
-            # two bytes hold most vocabularies; the flag keeps wider ones whole
-            small = [np.frombuffer(one, "<u4") for one in ids]
-            wide = [bool((one > 0xFFFF).any()) for one in small]
-            packed = [one.tobytes() if w else one.astype("<u2").tobytes() for one, w in zip(small, wide)]
+            flat = np.frombuffer(b"".join(ids), "<u4").astype(kind).tobytes()
+            width = np.dtype(kind).itemsize
+            at = np.cumsum([0, *(len(one) // 4 * width for one in ids)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(wide), pa.array(packed, pa.binary())],
-                names=["doc_id", "wide", "ids"],
+                [batch.column(0), pa.array(cut(flat, at), pa.binary())], names=["doc_id", "ids"]
             )
 
     return encode
 
 
-def unflat(wide: bool, ids: bytes) -> np.ndarray:
-    return np.frombuffer(ids, "<u4" if wide else "<u2").astype(np.uint32)
-
-
-def count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often a task saw each id."""
-    total = np.zeros(1, np.int64)
-    for batch in batches:
-        for wide, ids in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            counts = np.bincount(unflat(wide, ids))
+def count_ids(kind: str) -> Callable:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How often a task saw each id."""
+        total = np.zeros(1, np.int64)
+        for batch in batches:
+            counts = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind))
             if len(counts) > len(total):
                 total = np.pad(total, (0, len(counts) - len(total)))
             total[: len(counts)] += counts
-    seen = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(seen, pa.int64()), pa.array(total[seen])], names=["id", "n"]
-    )
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(seen, pa.int64()), pa.array(total[seen])], names=["id", "n"]
+        )
+
+    return count
+
 
+def rank_ids(rank_of, bounds, kind: str) -> Callable:
+    """(shard, doc_id, n, control, data) of (doc_id, ids).
+
+    ``bounds`` are the doc_ids at which the next shard begins. One that many rows share
+    occurs several times there; its rows are dealt out over the shards in between.
+    """
 
-def rank_ids(rank_of) -> Callable:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = rank_of.value
+        ranks, edges = rank_of.value, bounds.value
         for batch in batches:
-            rows = [
-                unflat(wide, ids)
-                for wide, ids in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
-            ]
-            packed = [pack(ranks[ids]) for ids in rows]
+            rows = batch.column(1).to_pylist()
+            flat = np.frombuffer(b"".join(rows), kind)
+            counts = np.array([len(one) for one in rows], np.int64) // np.dtype(kind).itemsize
+            control, data = pack(ranks[flat], counts)
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            doc_id = batch.column(0).fill_null(0).to_numpy()
+            first, last = (np.searchsorted(edges, doc_id, side) for side in ("left", "right"))
+            deal = np.arange(len(rows)) % (last - first + 1)
             yield pa.RecordBatch.from_arrays(
                 [
+                    pa.array(np.where(known, first + deal, 0), pa.int32()),
                     batch.column(0),
-                    pa.array([len(ids) for ids in rows], pa.int32()),
-                    pa.array([one[0] for one in packed], pa.binary()),
-                    pa.array([one[1] for one in packed], pa.binary()),
+                    pa.array(counts, pa.int32()),
+                    pa.array(control, pa.binary()),
+                    pa.array(data, pa.binary()),
                 ],
-                names=["doc_id", "n", "control", "data"],
+                names=["shard", "doc_id", "n", "control", "data"],
             )
 
     return apply
@@ -122,43 +141,36 @@ BLOCKS = (
 
 
 def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Joins the sorted documents of one partition, which becomes a shard."""
-    shard, block, start = TaskContext.get().partitionId(), 0, 0
+    """Joins the documents of a shard, which come in order."""
+    shard, block, start, ids, kind = None, 0, 0, 0, pa.int64()
     held: list[tuple] = []
 
-    def close(id_type: pa.DataType) -> pa.RecordBatch:
-        counts = [row[1] for row in held]
-        codes = [LENGTHS[np.frombuffer(c, np.uint8)].ravel()[:n] - 1 for _, n, c, _ in held]
-        flat = np.concatenate(codes)
-        padded = np.zeros(-(-len(flat) // 4) * 4, np.uint8)
-        padded[: len(flat)] = flat
-        control = np.bitwise_or.reduce(
-            padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8), axis=1
-        ).astype(np.uint8)
+    def close() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([shard], pa.int32()),
                 pa.array([block], pa.int32()),
                 pa.array([start], pa.int64()),
-                pa.array([[row[0] for row in held]], pa.list_(id_type)),
-                pa.array([counts], pa.list_(pa.int32())),
-                pa.array([control.tobytes()], pa.binary()),
+                pa.array([[row[1] for row in held]], pa.list_(kind)),
+                pa.array([[row[2] for row in held]], pa.list_(pa.int32())),
                 pa.array([b"".join(row[3] for row in held)], pa.binary()),
+                pa.array([b"".join(row[4] for row in held)], pa.binary()),
             ],
             names=["shard", "block", "start", "doc_id", "n", "control", "data"],
         )
 
-    ids, kind = 0, pa.int64()
     for batch in batches:
         kind = batch.schema.field("doc_id").type
-        for row in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            held.append(row)
-            ids += row[1]
-            if ids >= BLOCK_IDS:
-                yield close(kind)
+        for row in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            if held and (row[0] != shard or ids >= BLOCK_IDS):
+                yield close()
                 block, start, ids, held = block + 1, start + ids, 0, []
+            if row[0] != shard:
+                shard, block, start = row[0], 0, 0
+            held.append(row)
+            ids += row[2]
     if held:
-        yield close(kind)
+        yield close()
 
 
 def write_token_files(
@@ -166,21 +178,25 @@ def write_token_files(
 ) -> None:
     """Encodes ``text`` of every row, appends ``end_id`` and writes the folder ``path``.
 
-    Documents lie in ascending doc_id order over shards and blocks, nulls first; rows
-    that share a doc_id lie next to each other, in no given order. A null or empty
-    text is the end id alone. Other columns are not looked at. An empty table gives
+    Documents lie in ascending doc_id order (integers) over shards and blocks, nulls
+    first; rows that share a doc_id lie next to each other, in no given order. A null or
+    empty text is the end id alone. Other columns are not looked at. An empty table gives
     files without rows. ``shards`` defaults to the session's shuffle partitions.
     """
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = max(end_id + 1, Tokenizer.from_file(tokenizer).get_vocab_size())
+    kind = "<u2" if size <= 1 << 16 else "<u4"
     id_type = docs.schema["doc_id"].dataType.simpleString()
     tokens = stage(
         docs.select("doc_id", "text").mapInArrow(
-            encode_ids(tokenizer, end_id), f"doc_id {id_type}, wide boolean, ids binary"
+            encode_ids(tokenizer, end_id, kind), f"doc_id {id_type}, ids binary"
         ),
         "token-ids",
     )
-    counts = tokens.mapInArrow(count_ids, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = (
+        tokens.select("ids").mapInArrow(count_ids(kind), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    )
     # at most as many rows as the vocabulary has
     order = [row.id for row in counts.orderBy(F.desc("n"), "id").select("id").collect()]
     rank_of = np.zeros(max(order, default=0) + 1, np.uint32)
@@ -188,17 +204,17 @@ def write_token_files(
     spark.createDataFrame(list(enumerate(order)), "rank int, id bigint").coalesce(1).write.parquet(
         f"{path}/ranks"
     )
+    steps = [k / shards for k in range(1, shards)]
+    found = tokens.agg(F.percentile_approx("doc_id", steps or [0.5], 100 * shards)).first()[0]
+    bounds = np.array(found if found and steps else [], np.int64)
+    share = spark.sparkContext.broadcast
     coded = tokens.mapInArrow(
-        rank_ids(spark.sparkContext.broadcast(rank_of)),
-        f"doc_id {id_type}, n int, control binary, data binary",
-    )
-    # the second key splits a doc_id that many rows share
-    sorted_docs = coded.repartitionByRange(shards, "doc_id", F.xxhash64("data")).sortWithinPartitions(
-        "doc_id"
+        rank_ids(share(rank_of), share(bounds), kind),
+        f"shard int, doc_id {id_type}, n int, control binary, data binary",
     )
-    sorted_docs.mapInArrow(to_blocks, BLOCKS.format(id=id_type)).write.option(
-        "compression", "none"
-    ).parquet(f"{path}/blocks")
+    coded.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id").mapInArrow(
+        to_blocks, BLOCKS.format(id=id_type)
+    ).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -224,14 +240,14 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 counts = np.array(row["n"], np.int64)
-                ids = table[unpack(row["control"], row["data"], int(counts.sum()))].astype("<u4")
+                ids = table[unpack(row["control"], row["data"], counts)].astype("<u4").tobytes()
                 ends = np.cumsum(counts)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(row["doc_id"], batch.schema.field("doc_id").type.value_type),
                         pa.array(row["before"] + row["start"] + ends - counts),
                         pa.array(counts),
-                        pa.array([ids[e - n : e].tobytes() for e, n in zip(ends, counts)], pa.binary()),
+                        pa.array(cut(ids, 4 * np.r_[0, ends]), pa.binary()),
                     ],
                     names=["doc_id", "start", "n_tokens", "ids"],
                 )

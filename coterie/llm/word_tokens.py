@@ -9,16 +9,18 @@ from __future__ import annotations
 
 import functools
 import os
-from array import array
 
+import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
 from coterie.llm.tables import blocks
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
-MOST_WORDS = 1_000_000  # the memo is emptied beyond
+MOST_WORDS = 600_000  # of each of the memo's two generations
 BLOCK_BYTES = 4 << 20
+RUN = 256  # words encoded in one go, with a mark between them
+MARK = "\x01"  # a word of its own, which no other word's ids hold
 
 
 class WordEncoder:
@@ -27,20 +29,45 @@ class WordEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives one task one core
         self.tokenizer = Tokenizer.from_file(path)
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
         self.memo: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return [np.array(one.ids, "<u4").tobytes() for one in found]
+
+    def encode_runs(self, words: list[bytes]) -> list[bytes]:
+        """The same for words without the mark: runs of them, cut at the marks' ids."""
+        mark = f" {MARK} ".encode()
+        runs = [mark.join(words[k : k + RUN]).decode() for k in range(0, len(words), RUN)]
+        out = []
+        for one in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False):
+            ids = np.array(one.ids, "<u4")
+            ends = np.flatnonzero(ids == self.mark)
+            flat, cuts = ids.tobytes(), (4 * ends).tolist()
+            out += [flat[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(flat)])]
+        return out
 
     def learn(self, words: set[bytes]) -> None:
-        new = list(words.difference(self.memo))
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        self.memo.update((word, array("I", one.ids).tobytes()) for word, one in zip(new, found))
+        if len(self.memo) > MOST_WORDS:
+            self.memo, self.old = {}, self.memo
+        new = words.difference(self.memo)
+        known = {word: ids for word in new if (ids := self.old.get(word)) is not None}
+        self.memo.update(known)
+        new.difference_update(known)
+        mark = MARK.encode()
+        odd = [word for word in new if mark in word] if self.mark is not None else list(new)
+        rest = list(new.difference(odd))
+        self.memo.update(zip(odd, self.encode_words(odd), strict=True))
+        self.memo.update(zip(rest, self.encode_runs(rest), strict=True))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """``bytes.split`` parts at ASCII white space, which the vocabulary drops."""
         out = []
         for block in blocks([len(text) for text in texts], BLOCK_BYTES):
             words = [text.split() for text in texts[block]]
-            if len(self.memo) > MOST_WORDS:
-                self.memo.clear()
             self.learn(set().union(*words))
             out += [b"".join(map(self.memo.__getitem__, one)) for one in words]
         return out
