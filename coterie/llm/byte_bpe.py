@@ -1,9 +1,9 @@
 """Byte-level BPE as DuckDB queries inside the tasks.
 
-Encoding: a row for each byte of each distinct word, with the word's number and the
-byte's position. A recursive query joins neighbouring tokens with the merge table,
-contracts each word's leftmost pair of minimum rank and goes on until no word has a
-pair. Decoding: a row for each id, joined with the vocabulary, and an aggregation that
+Encoding: a row for each byte of each distinct word, with the word's number, the byte's
+position and what comes next. A recursive query joins neighbouring tokens with the merge
+table, contracts each word's leftmost pair of minimum rank and goes on until no word has
+a pair; of the other rows only the two that a contraction touches are joined again. Decoding: a row for each id, joined with the vocabulary, and an aggregation that
 concatenates in order. DuckDB runs in the memory of the Python worker, on one thread,
 over blocks of bounded size.
 
@@ -32,34 +32,36 @@ from coterie.llm.tables import blocks, utf8
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 QUERY_BYTES = 1 << 19  # bytes of words in one query
-LONG = 128  # a round contracts one pair of a word; longer words take too many
-MEMO = 250_000  # pieces remembered by a worker
+LONG = 128  # a round contracts one pair of a word; longer words take too many rounds
+MEMO = 200_000  # of each of the two generations of pieces that a worker remembers
 BLOCK_BYTES = 4 << 20  # of text that is worked on at once
 
 ENCODE = """
-WITH RECURSIVE step(word, place, token, pair, round) AS (
-    SELECT word, place, token, merged, 0
-    FROM (SELECT *, lead(token) OVER (PARTITION BY word ORDER BY place) AS next FROM start)
-    LEFT JOIN merges ON merges.pair = (token::BIGINT << 32) | next
+WITH RECURSIVE step(word, place, token, after, next, pair, round) AS (
+    SELECT word, place, token, after, next, merged, 0
+    FROM start LEFT JOIN merges ON merges.pair = (token::BIGINT << 32) | next
   UNION ALL
     (WITH best AS (
-        SELECT word, min((pair::BIGINT << 32) | place) AS least
+        SELECT word, min((pair::BIGINT << 16) | (place << 8) | after) AS least
         FROM step WHERE pair IS NOT NULL GROUP BY word
-    ), contracted AS (
-        SELECT step.word, place, round + 1 AS round,
-               CASE WHEN place = (least & 4294967295) THEN least >> 32 ELSE token END AS token,
-               lag(place) OVER (PARTITION BY step.word ORDER BY place) = (least & 4294967295) AS gone
-        FROM step JOIN best USING (word)
-    ), left_over AS (
-        SELECT word, place, token, round, lead(token) OVER (PARTITION BY word ORDER BY place) AS next
-        FROM contracted WHERE gone IS NOT TRUE
+    ), hit AS (
+        SELECT word, (least >> 16)::INTEGER AS new, ((least >> 8) & 255)::INTEGER AS spot, place AS gone,
+               after AS new_after, next AS new_next
+        FROM step JOIN best USING (word) WHERE place = (least & 255)
+    ), moved AS (
+        SELECT word, place, round, pair AS kept,
+               CASE WHEN place = spot THEN new ELSE token END AS token,
+               CASE WHEN place = spot THEN new_after ELSE after END AS after,
+               CASE WHEN place = spot THEN new_next WHEN after = spot THEN new ELSE next END AS next,
+               place = spot OR after = spot IS TRUE AS changed
+        FROM step JOIN hit USING (word) WHERE place <> gone
     )
-    SELECT word, place, token, merged, round
-    FROM left_over LEFT JOIN merges ON merges.pair = (token::BIGINT << 32) | next)
+    SELECT word, place, token, after, next, CASE WHEN changed THEN merged ELSE kept END, round + 1
+    FROM moved LEFT JOIN merges ON merges.pair = CASE WHEN changed THEN (token::BIGINT << 32) | next END)
 ), ended AS (
-    SELECT word, round FROM step GROUP BY word, round HAVING count(pair) = 0
+    SELECT word, max(round) AS round FROM step GROUP BY word
 )
-SELECT word, list(token::INTEGER ORDER BY place) AS ids
+SELECT word, list(token ORDER BY place) AS ids
 FROM step JOIN ended USING (word, round) GROUP BY word ORDER BY word
 """
 
@@ -113,6 +115,23 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[k : stop[k]]] for k in sorted(stop)]
 
 
+class Memo:
+    """What was worked out before, in two generations of bounded size."""
+
+    def __init__(self):
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def get(self, keys: set[bytes], work_out: Callable) -> dict[bytes, bytes]:
+        """A table that has all ``keys``; ``work_out`` gives pairs for the ones not known."""
+        if len(self.new) > MEMO:
+            self.new, self.old = {}, self.new
+        missing = keys.difference(self.new)
+        self.new.update((key, self.old[key]) for key in missing.intersection(self.old))
+        self.new.update(work_out(list(missing.difference(self.old))))
+        return self.new
+
+
 class Coder:
     """Both directions for one rank file and pattern."""
 
@@ -135,8 +154,7 @@ class Coder:
         self.of_byte = np.array([self.ranks[bytes([k])] for k in range(256)], np.int32)
         self.spaced = np.zeros(max(self.ranks.values()) + 1, np.bool_)
         self.spaced[[token for whole, token in self.ranks.items() if whole[:1] == b" "]] = True
-        self.unit_ids: dict[str, bytes] = {}
-        self.piece_bytes: dict[bytes, bytes] = {}
+        self.word_ids, self.piece_bytes = Memo(), Memo()
 
     def units(self, text: str) -> list[str]:
         """Cuts where the pattern cuts in any case."""
@@ -146,46 +164,48 @@ class Coder:
         spaced = [" " + part for part in rest]
         return [first, *spaced] if first else spaced
 
-    def encode_words(self, words: list[bytes]) -> dict[bytes, list[int]]:
-        found = {word: merge_long(word, self.ranks) for word in words if len(word) > LONG}
+    def encode_words(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Each word with its ids, in another order."""
+        for word in words:
+            if len(word) > LONG:
+                yield word, np.array(merge_long(word, self.ranks), "<u4").tobytes()
         words = [word for word in words if len(word) <= LONG]
         for block in blocks([len(word) for word in words], QUERY_BYTES):
             part = words[block]
             lengths = np.array([len(word) for word in part])
-            begins = np.cumsum(lengths) - lengths
+            ends = np.cumsum(lengths)
+            place = np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)
+            token = self.of_byte[np.frombuffer(b"".join(part), np.uint8)]
+            last = np.zeros(ends[-1], np.bool_)
+            last[ends - 1] = True
             start = pa.table(
                 {
                     "word": np.repeat(np.arange(len(part), dtype=np.int32), lengths),
-                    "place": (np.arange(lengths.sum()) - np.repeat(begins, lengths)).astype(np.int32),
-                    "token": self.of_byte[np.frombuffer(b"".join(part), np.uint8)],
+                    "place": place.astype(np.int32),
+                    "token": token,
+                    "after": pa.array((place + 1).astype(np.int32), mask=last),
+                    "next": pa.array(np.roll(token, -1), mask=last),
                 }
             )
             self.database.register("start", start)
-            rows = self.database.sql(ENCODE).to_arrow_table()
-            for k, ids in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
-                found[part[k]] = ids
-        return found
+            ids = self.database.sql(ENCODE).to_arrow_table().column("ids").combine_chunks()
+            flat = ids.flatten().to_numpy().astype("<u4").tobytes()
+            at = (4 * (ids.offsets.to_numpy() - ids.offsets[0].as_py())).tolist()
+            yield from zip(part, (flat[a:b] for a, b in zip(at, at[1:])), strict=True)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         out = []
         for block in blocks([len(text) for text in texts], BLOCK_BYTES):
             cut = [self.units(text) if text else [] for text in texts[block]]
-            if len(self.unit_ids) > MEMO:
-                self.unit_ids.clear()
-            new = list(set().union(*cut).difference(self.unit_ids))
-            split = [[word.encode() for word in self.pattern.findall(unit)] for unit in new]
-            ids = {
-                word: np.array(one, "<u4").tobytes()
-                for word, one in self.encode_words(list(set().union(*split))).items()
-            }
-            self.unit_ids.update(
-                (unit, b"".join(map(ids.__getitem__, words))) for unit, words in zip(new, split)
-            )
-            out += [b"".join(map(self.unit_ids.__getitem__, one)) for one in cut]
+            units = list(set().union(*cut))
+            split = [[word.encode() for word in self.pattern.findall(unit)] for unit in units]
+            ids = self.word_ids.get(set().union(*split), self.encode_words)
+            of_unit = {unit: b"".join(map(ids.__getitem__, words)) for unit, words in zip(units, split)}
+            out += [b"".join(map(of_unit.__getitem__, one)) for one in cut]
         return out
 
-    def decode_pieces(self, pieces: list[bytes]) -> Iterator[bytes]:
+    def decode_pieces(self, pieces: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         for block in blocks([len(piece) for piece in pieces], QUERY_BYTES):
             part = pieces[block]
             lengths = np.array([len(piece) // 4 for piece in part])
@@ -198,9 +218,8 @@ class Coder:
                 }
             )
             self.database.register("ids", rows)
-            found = self.database.sql(DECODE).to_arrow_table()
-            for text in found.column("bytes").to_pylist():
-                yield bytes.fromhex(text)
+            found = self.database.sql(DECODE).to_arrow_table().column("bytes")
+            yield from zip(part, map(bytes.fromhex, found.to_pylist()), strict=True)
 
     def decode(self, coded: list[bytes]) -> list[bytes]:
         """The bytes of each text's ids; an id that is not in the file is an error."""
@@ -210,11 +229,8 @@ class Coder:
             for one in coded[block]:
                 ends = [*(4 * np.flatnonzero(self.spaced[np.frombuffer(one, "<u4")])).tolist(), len(one)]
                 cut.append([one[a:b] for a, b in zip([0, *ends], ends) if b > a])
-            if len(self.piece_bytes) > MEMO:
-                self.piece_bytes.clear()
-            new = list(set().union(*cut).difference(self.piece_bytes))
-            self.piece_bytes.update(zip(new, self.decode_pieces(new), strict=True))
-            out += [b"".join(map(self.piece_bytes.__getitem__, one)) for one in cut]
+            texts = self.piece_bytes.get(set().union(*cut), self.decode_pieces)
+            out += [b"".join(map(texts.__getitem__, one)) for one in cut]
         return out
 
 

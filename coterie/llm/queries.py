@@ -8,11 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from coterie.llm.byte_bpe import round_trip
 from coterie.llm.embedding_dedup import link_embeddings
 from coterie.llm.exact_topk import top_k
 from coterie.llm.line_dedup import drop_repeated_lines
 from coterie.llm.ngram_join import link_documents
 from coterie.llm.packing import pack_pieces, token_pieces
+from coterie.llm.quotations import link_quotations
 from coterie.llm.tables import ship, stage
 from coterie.llm.token_counts import count_tokens
 from coterie.llm.token_files import read_token_files, write_token_files
@@ -108,6 +110,82 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+QUOTATION_SQL = r"""
+    WITH RECURSIVE messages AS (
+        SELECT row_number() OVER () AS id, conv_id, turn, role, coalesce(text, '') AS text
+        FROM conversations
+    ), lines AS (
+        SELECT id, unnest(string_split(text, chr(10))) AS line,
+               generate_subscripts(string_split(text, chr(10)), 1) AS place
+        FROM messages
+    ), marked AS (
+        SELECT id, place, line, length(regexp_replace(
+                   regexp_extract(line, '^((?:[ 	]*>)+)', 1), '[^>]', '', 'g')) AS depth,
+               regexp_replace(line, '^(?:[ 	]*>)+[ 	]?', '') AS rest
+        FROM lines
+    ), own AS (
+        SELECT id, CASE WHEN bool_or(depth > 0) THEN regexp_replace(
+                   coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE depth = 0), ''),
+                   '^(?:[ 	]*
+)+|(?:
+[ 	]*)+$', '', 'g')
+               ELSE string_agg(line, chr(10) ORDER BY place) END AS text
+        FROM marked GROUP BY id
+    ), runs AS (
+        SELECT *, place - row_number() OVER (PARTITION BY id, depth ORDER BY place) AS run FROM marked
+    ), passages AS (
+        SELECT id, depth, min(place) AS passage, string_agg(rest, chr(10) ORDER BY place) AS whole,
+               list(rest ORDER BY place) AS rests
+        FROM runs WHERE depth > 0 GROUP BY id, depth, run
+    ), asked AS (
+        SELECT id, passage, depth, 0 AS part, whole AS unit FROM passages
+        UNION ALL SELECT id, passage, depth, 1, unnest(rests) FROM passages
+    ), asked_normal AS (
+        SELECT id, passage, depth, part, trim(regexp_replace(translate(unit,
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+', ' ', 'g'), ' ') AS unit
+        FROM asked
+    ), units AS (
+        SELECT id, unnest([text] || regexp_split_to_array(text, '
+[ 	]*
+') || string_split(text, chr(10))) AS unit
+        FROM own
+    ), firsts AS (
+        SELECT conv_id, trim(regexp_replace(translate(unit,
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+', ' ', 'g'), ' ') AS unit,
+            min(turn) AS first
+        FROM units JOIN messages USING (id) GROUP BY ALL
+    ), matched AS (
+        SELECT a.id, a.passage, a.depth, min((a.part, -f.first)) AS best
+        FROM asked_normal a JOIN messages m USING (id) JOIN firsts f USING (conv_id, unit)
+        WHERE a.unit <> '' AND f.first < m.turn GROUP BY ALL
+    ), linked AS (
+        SELECT id, count(*) AS n_linked, min((depth, best[1], best[2])) AS chosen FROM matched GROUP BY id
+    ), counted AS (SELECT id, count(*) AS n_quotes FROM passages GROUP BY id),
+    replies AS (
+        SELECT m.*, -(l.chosen[3])::BIGINT AS reply_to, coalesce(l.n_linked, 0) AS n_linked,
+               coalesce(c.n_quotes, 0) AS n_quotes
+        FROM messages m LEFT JOIN linked l USING (id) LEFT JOIN counted c USING (id)
+    ), parents AS (
+        SELECT conv_id, turn, min(reply_to) AS parent FROM replies WHERE reply_to IS NOT NULL GROUP BY ALL
+    ), up(conv_id, turn, thread) AS (
+        SELECT conv_id, turn, parent FROM parents
+        UNION SELECT up.conv_id, up.turn, p.parent FROM up
+        JOIN parents p ON p.conv_id = up.conv_id AND p.turn = up.thread
+    ), roots AS (SELECT conv_id, turn, min(thread) AS thread FROM up GROUP BY ALL)
+    SELECT r.conv_id, r.turn, r.role, o.text, r.n_quotes, r.n_linked, r.reply_to,
+           coalesce(roots.thread, r.turn) AS thread,
+           row_number() OVER (PARTITION BY r.conv_id ORDER BY coalesce(roots.thread, r.turn) NULLS FIRST,
+               r.turn NULLS FIRST, r.role NULLS FIRST, sha256(r.text)) - 1 AS position
+    FROM replies r JOIN own o USING (id)
+    LEFT JOIN roots ON roots.conv_id = r.conv_id AND roots.turn = r.turn
+"""
+
+
+@query(QUOTATION_SQL)
+def op4_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_quotations(table(spark, sf_dir, "conversations"))
+
+
 @query()
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = token_pieces(table(spark, sf_dir, "documents")).select(
@@ -116,6 +194,16 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_pieces(stage(pieces, "pieces")).drop("deal")
 
 
+@query()
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        F.octet_length("ids").cast("long").alias("len"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    ).select("doc_id", (F.col("len") / 4).cast("long").alias("n_tokens"), "ids_sha256", "decoded_sha256")
+
+
 @query()
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
