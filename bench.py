@@ -66,7 +66,7 @@ def main() -> None:
         print(name, seconds[name], file=sys.stderr, flush=True)
     if chosen is HEADLINE:
         points = assemble(grouped_points(spark, sf_dir), ["x", "y"], keep_input=False)
-        with clustering.held(points) as vectors:
+        with clustering.held(points, 8) as vectors:
             for entry in clustering.ALGORITHMS:
                 fits = [clustering.fit(vectors, entry.name, 3, 20) for _ in range(RUNS)]
                 seconds[f"fit_{entry.name}"] = round(

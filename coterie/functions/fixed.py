@@ -30,13 +30,17 @@ JOB_SCHEMA = (
     "maxIteration int, Clusters int, Workers int, ByteSize bigint, RecordCount bigint, "
     "FeaturesCount int"
 )
-LEDGER_SCHEMA = JOB_SCHEMA + ", ExecutionSpeed double, Accuracy double, Algorithm string"
+LEDGER_CSV_SCHEMA = JOB_SCHEMA + ", ExecutionSpeed double, Accuracy double, Algorithm string"
+LEDGER_SCHEMA = LEDGER_CSV_SCHEMA + ", run_id string"
 
 # --- fixed values: messages of the file check --------------------------------
 FILE_TYPE = "Invalid file type"
 FILE_EMPTY = "Empty file"
 FILE_SHAPE = "Headers and values do not match at line "
 
+# Our own message, for a path without a file.
+FILE_MISSING = "File does not exist"
+
 # --- fixed values: messages of the dataset label check -----------------------
 LABEL_MISSING = "No label provided"
 LABEL_SPACES = "Label cannot have spaces"
@@ -55,6 +59,7 @@ REQUEST_LABEL_CHARACTERS = "Clustering Label can only have letters and numbers"
 REQUEST_LABEL_DIGIT = "Clustering Label cannot start with a number"
 REQUEST_LABEL_TAKEN = "Clustering label already exists"
 REQUEST_MAX_ITERATIONS = "No maxIterations provided"
+REQUEST_ALGORITHM_UNKNOWN = "Unknown algorithm"
 REQUEST_ROWS = "Clusters amount cannot be more than the rows of the dataset"
 
 # --- fixed values: run states and how the listing words them -----------------

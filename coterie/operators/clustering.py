@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -14,24 +13,22 @@ from pyspark import StorageLevel
 from pyspark.errors import PySparkException
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 
 from coterie.functions import fixed
 
 DEFAULT_SEED = 1
-ROWS_PER_TASK = 10_000
 
 
 @dataclass(frozen=True)
 class Algorithm:
-    """``name`` is what ledgers hold, ``title`` what people see and request.
-    ``decodes_once`` says whether the fit keeps its own decoded copy of the rows."""
+    """``name`` is what ledgers hold, ``title`` what people see and request."""
 
     name: str
     title: str
     estimator: Callable[[], Any]
     quality: Callable[[Any], float]
-    decodes_once: bool
 
 
 @dataclass(frozen=True)
@@ -42,32 +39,24 @@ class Fit:
     quality: float
 
 
-# KMeans: the block solver multiplies whole blocks of rows with the centres and
-# halves the time of a fit on assembled columns. Naming it also saves the pass
-# over the data that "auto" spends on counting non-zero values. It reads the rows
-# a few times only; the other two pass over them up to max_iter times (bisecting:
-# at every level), so decoding them once is worth a second copy.
 ALGORITHMS = (
     Algorithm(
         fixed.KMEANS,
         fixed.KMEANS_TITLE,
-        lambda: KMeans(solver="block"),
+        KMeans,
         lambda model: model.summary.trainingCost,
-        decodes_once=False,
     ),
     Algorithm(
         fixed.BISECTING,
         fixed.BISECTING_TITLE,
         BisectingKMeans,
         lambda model: model.summary.trainingCost,
-        decodes_once=True,
     ),
     Algorithm(
         fixed.MIXTURE,
         fixed.MIXTURE_TITLE,
         GaussianMixture,
         lambda model: model.summary.logLikelihood,
-        decodes_once=True,
     ),
 )
 
@@ -80,28 +69,33 @@ def algorithm(name: str) -> Algorithm:
     raise ValueError(f"unknown algorithm: {name}")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """More partitions for an input that has fewer than the cluster has cores.
+def placed(vectors: DataFrame, partitions: int) -> DataFrame:
+    """The vectors in a fixed number of partitions, dealt and sorted by their values.
 
-    A small file is one scan partition, which would leave one core to do the
-    fit. The row count bounds the partitions, so a tiny input is not torn into
-    thousands of tasks. A large input has more partitions than cores and is left
-    as it is: moving it would cost a shuffle of everything.
+    Estimators draw at random by partition, so a seed gives the same model again only
+    for the same rows in the same places, wherever the rows come from.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    partitions = df.rdd.getNumPartitions()
-    if partitions >= cores:
-        return df
-    wanted = min(cores, math.ceil(df.count() / ROWS_PER_TASK))
-    return df.repartition(wanted) if wanted > partitions else df
+    values = vector_to_array("features")
+    return (
+        vectors.withColumn("values", values)
+        .repartition(partitions, "values")
+        .sortWithinPartitions("values")
+        .drop("values")
+    )
 
 
 @contextmanager
-def held(vectors: DataFrame) -> Iterator[DataFrame]:
-    """The vectors spread, persisted and counted, so that a timed fit measures
-    the fit and not the scan. Partitions that do not fit in memory go to disk,
-    and those of a lost executor are computed again from the source."""
-    kept = spread(vectors).persist(StorageLevel.MEMORY_AND_DISK)
+def held(vectors: DataFrame, partitions: int | None = None) -> Iterator[DataFrame]:
+    """The vectors persisted and counted, so that a timed fit measures the fit and not
+    the scan. Partitions that do not fit in memory go to disk, and those of a lost
+    executor are computed again from the source.
+
+    The partitions are the input's own, whatever the cluster, unless a number is given:
+    then the rows are shuffled once, see ``placed``. Give one for an input of few
+    partitions, such as a single small file, and where fits must repeat.
+    """
+    kept = vectors if partitions is None else placed(vectors, partitions)
+    kept = kept.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         kept.count()
         yield kept
@@ -115,32 +109,34 @@ def fit(
     k: int,
     max_iter: int,
     seed: int = DEFAULT_SEED,
+    solver: str = "block",
 ) -> Fit:
-    """Fits one algorithm; ``seconds`` covers the fit alone."""
+    """Fits one algorithm; ``seconds`` covers the fit alone, on the rows as they are
+    given, which is the same for all three.
+
+    ``solver`` is for K-Means. "block" multiplies whole blocks of rows with the centres
+    and takes about half the time on dense columns; it cannot leave clusters empty, so
+    fewer distinct rows than clusters need "row".
+    """
     chosen = algorithm(name)
     estimator = chosen.estimator().setK(k).setMaxIter(max_iter).setSeed(seed)
-    if chosen.decodes_once:
-        # The held rows are compressed batches, to be decoded by every pass. Given
-        # a frame that is not itself held, the estimator persists what it decodes
-        # for the length of the fit, on disk where memory is short.
-        vectors = vectors.withColumn("weight", F.lit(1.0))
+    by_block = chosen.name == fixed.KMEANS and solver == "block"
+    if chosen.name == fixed.KMEANS:
+        estimator = estimator.setSolver(solver)
+    started = time.perf_counter()
     try:
-        model, seconds = timed_fit(estimator, vectors)
+        model = estimator.fit(vectors)
     except (Py4JError, PySparkException) as error:
-        # The block solver cannot leave clusters empty, which happens when there
-        # are fewer distinct rows than clusters. The row solver can.
-        if not isinstance(estimator, KMeans) or "ArrayIndexOutOfBounds" not in str(error):
+        if not by_block:
             raise
-        model, seconds = timed_fit(estimator.setSolver("row"), vectors)
+        raise RuntimeError(
+            "K-Means failed with the block solver; if there may be fewer distinct rows than "
+            "clusters, pass solver='row'"
+        ) from error
+    seconds = time.perf_counter() - started
     return Fit(chosen, model, seconds, chosen.quality(model))
 
 
-def timed_fit(estimator: Any, vectors: DataFrame) -> tuple[Any, float]:
-    started = time.perf_counter()
-    model = estimator.fit(vectors)
-    return model, time.perf_counter() - started
-
-
 def assign(model: Any, df: DataFrame) -> DataFrame:
     """Adds ``prediction``, and ``probability`` for a mixture."""
     return model.transform(df)

@@ -31,8 +31,3 @@ def require_columns(df: DataFrame, names: Sequence[str]) -> None:
 def preview(df: DataFrame, rows: int = 20) -> DataFrame:
     """The first rows in no particular order."""
     return df.limit(rows)
-
-
-def column_types(df: DataFrame) -> list[tuple[str, str]]:
-    """Names and types, as a schema print shows them."""
-    return [(field.name, field.dataType.simpleString()) for field in df.schema.fields]

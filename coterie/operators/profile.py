@@ -11,149 +11,126 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from coterie.functions.fixed import FILE_EMPTY, FILE_SHAPE, FILE_TYPE
 from coterie.functions.text import field_count, fields, has_csv_extension, strip
-from coterie.session import scratch_path
 
-BROADCAST_ROWS = 100_000
 
+def _filled(lines: DataFrame) -> DataFrame:
+    """Non-blank lines, numbered within their task: ``path, block, number, text, width``.
 
-def metadata(lines: DataFrame) -> DataFrame:
-    """Per file ``path, lines, headers``: non-blank lines less one, and the fields
-    of the first non-blank line."""
-    stripped = strip(F.col("line"))
-    filled = lines.select(
-        "path", "block", "position", stripped.alias("text"), (stripped != "").alias("filled")
-    ).filter("filled")
+    The numbers are given after the blank lines are gone, so between two lines of
+    one split they differ by the count of non-blank lines from one to the other.
+    """
+    stripped = lines.select("path", "block", "position", strip(F.col("line")).alias("text"))
+    return stripped.filter(F.col("text") != "").select(
+        "path",
+        "block",
+        F.monotonically_increasing_id().alias("number"),
+        "text",
+        field_count(F.col("text")).alias("width"),
+    )
+
+
+def _splits(lines: DataFrame) -> DataFrame:
+    """One row per split with a non-blank line. Whatever the header turns out to be,
+    the first bad line of a split is its first line or the first that differs from it.
+
+    The scan keeps counts and smallest numbers by (file, split, field count), so it
+    aggregates by hash before the one small shuffle.
+    """
+    widths = _filled(lines).groupBy("path", "block", "width").agg(
+        F.count(F.lit(1)).alias("filled"), F.min("number").alias("first")
+    )
+    rank = F.row_number().over(Window.partitionBy("path", "block").orderBy("first"))
     return (
-        filled.groupBy("path")
+        widths.withColumn("rank", rank)
+        .groupBy("path", "block")
         .agg(
-            F.count(F.lit(1)).alias("filled"),
-            F.min_by("text", F.struct("block", "position")).alias("header"),
-        )
-        .select(
-            "path",
-            (F.col("filled") - 1).alias("lines"),
-            fields(F.col("header")).alias("headers"),
+            F.sum("filled").alias("filled"),
+            F.min("first").alias("first"),
+            F.max(F.when(F.col("rank") == 1, F.col("width"))).alias("width"),
+            F.max(F.when(F.col("rank") == 2, F.col("first"))).alias("other"),
         )
     )
 
 
+def _blank_headers(lines: DataFrame) -> DataFrame:
+    """``path, blank_header``: whether the first line of all is blank."""
+    filled = (strip(F.col("line")) != "").cast("bigint")
+    first = (
+        lines.filter("block = 0")
+        .groupBy("path")
+        .agg(F.min(F.col("position") * 2 + filled).alias("first"))
+    )
+    return first.select("path", (F.col("first") % 2 == 0).alias("blank_header"))
+
+
 def check_shape(lines: DataFrame) -> DataFrame:
     """Per file ``path, bad_line``: the number of the first line whose field count
     differs from that of the first line, null when there is none.
 
     Blank lines are skipped and not counted; the first line is the header even
-    when blank. Numbers start at 1 for the header.
-
-    The scan keeps one row per (file, split, field count), with counts and
-    positions only, so it aggregates by hash before the one small shuffle. That
-    settles every file but those where a blank line precedes the bad line inside
-    the same split; only for these is the split read again to count the lines
-    between.
+    when blank. Numbers start at 1 for the header. The lines must come as they are
+    read, each split in order within one task. Splits are only ever compared with
+    others of the same scan; what two scans share is the path.
     """
-    shaped = _shaped(lines)
-    verdicts = _verdicts(shaped)
-    spark = lines.sparkSession
-    # A row per file. Written, so that the scan above runs once.
-    settled_path = scratch_path(spark, "shape-check")
-    verdicts.write.parquet(settled_path)
-    settled = spark.read.parquet(settled_path)
-
-    number = F.col("lines_before") + F.when(F.col("blank_header"), 2).otherwise(1)
-    unsettled = settled.filter(F.col("first_blank") < F.col("bad_position")).select(
-        "path", F.col("bad_block").alias("block"), "bad_position"
-    )
-    reread = unsettled.count()
-    if reread == 0:
-        offset = F.col("bad_position") - F.col("first_any")
-        return settled.select("path", (number + offset).alias("bad_line"))
-
-    if reread <= BROADCAST_ROWS:
-        unsettled = F.broadcast(unsettled)
-    between = (
-        shaped.filter("filled")
-        .join(unsettled, ["path", "block"])
-        .filter(F.col("position") < F.col("bad_position"))
-        .groupBy("path")
-        .agg(F.count(F.lit(1)).alias("between"))
-    )
-    exact = F.when(
-        F.col("first_blank") < F.col("bad_position"), F.coalesce("between", F.lit(0))
-    ).otherwise(F.col("bad_position") - F.col("first_any"))
-    return settled.join(between, "path", "left").select(
-        "path", (number + exact).alias("bad_line")
-    )
+    return _shapes(lines, _splits(lines)).select("path", "bad_line")
 
 
-def _shaped(lines: DataFrame) -> DataFrame:
-    stripped = strip(F.col("line"))
-    return lines.select(
-        "path",
-        "block",
-        "position",
-        field_count(stripped).alias("width"),
-        (stripped != "").alias("filled"),
-    )
-
-
-def _verdicts(shaped: DataFrame) -> DataFrame:
-    splits = _splits(shaped)
-    # From here a file is a row per split, however many lines it has.
+def _shapes(lines: DataFrame, splits: DataFrame) -> DataFrame:
+    """``path, lines, bad_line``; no row where every line is blank but one for each path."""
     file = Window.partitionBy("path")
     in_order = file.orderBy("block")
-    marked = splits.select(
-        "*",
-        F.first("lead_width").over(in_order).alias("header_width"),
-        F.first(F.col("first_any").eqNullSafe(F.col("first_blank")))
-        .over(in_order)
-        .alias("blank_header"),
-    ).withColumn(
-        "bad",
-        F.when(F.col("own_width") != F.col("header_width"), F.col("first_filled")).otherwise(
-            F.col("other_filled")
-        ),
+    marked = (
+        _blank_headers(lines)
+        .join(splits, "path", "left")
+        .select(
+            "*",
+            F.when(F.col("blank_header"), 1)
+            .otherwise(F.first("width").over(in_order))
+            .alias("header_width"),
+            F.coalesce(F.sum("filled").over(in_order) - F.col("filled"), F.lit(0)).alias("before"),
+        )
     )
-    first_bad = F.min(F.when(F.col("bad").isNotNull(), F.col("block"))).over(file)
-    marked = marked.withColumn("bad_block", first_bad)
-    here = F.col("block") == F.col("bad_block")
-    before = F.col("block") < F.col("bad_block")
+    bad = F.when(F.col("width") != F.col("header_width"), F.col("first")).otherwise(F.col("other"))
+    place = F.col("before") + bad - F.col("first") + F.when(F.col("blank_header"), 2).otherwise(1)
     return marked.groupBy("path").agg(
-        F.max("bad_block").alias("bad_block"),
-        F.max(F.when(here, F.col("bad"))).alias("bad_position"),
-        F.bool_or("blank_header").alias("blank_header"),
-        F.coalesce(F.sum(F.when(before, F.col("filled"))), F.lit(0)).alias("lines_before"),
-        F.max(F.when(here, F.col("first_any"))).alias("first_any"),
-        F.max(F.when(here, F.col("first_blank"))).alias("first_blank"),
+        (F.sum("filled") - 1).alias("lines"), F.min(place).alias("bad_line")
     )
 
 
-def _splits(shaped: DataFrame) -> DataFrame:
-    """One row per split. Whatever the header turns out to be, the first bad line
-    of a split is its first filled line or the first one that differs from it."""
-    filled = F.col("filled")
-    position = F.col("position")
-    widths = shaped.groupBy("path", "block", "width").agg(
-        F.count_if(filled).alias("filled"),
-        F.min(position).alias("first_any"),
-        F.min(F.when(filled, position)).alias("first_filled"),
-        F.min(F.when(~filled, position)).alias("first_blank"),
+def _headers(lines: DataFrame, splits: DataFrame) -> DataFrame:
+    """``path, header``: the first non-blank line.
+
+    It is nearly always in the first split, so only that one is looked through;
+    other splits are read for the files whose first split is blank throughout.
+    """
+    filled = _filled(lines)
+    here = filled.filter("block = 0").groupBy("path").agg(F.min_by("text", "number").alias("header"))
+    late = splits.groupBy("path").agg(F.min("block").alias("least")).filter("least > 0").select("path")
+    there = (
+        filled.join(late, "path", "left_semi")
+        .groupBy("path")
+        .agg(F.min_by("text", F.struct("block", "number")).alias("header"))
     )
-    in_split = Window.partitionBy("path", "block").orderBy(F.asc_nulls_last("first_filled"))
-    rank = F.col("rank")
+    return here.unionByName(there)
+
+
+def profile(lines: DataFrame) -> DataFrame:
+    """Per file ``path, lines, headers, bad_line``; the first two are null for a file of
+    blank lines."""
+    splits = _splits(lines)
     return (
-        widths.withColumn("rank", F.row_number().over(in_split))
-        .groupBy("path", "block")
-        .agg(
-            F.sum("filled").alias("filled"),
-            F.min("first_any").alias("first_any"),
-            F.min("first_blank").alias("first_blank"),
-            F.min_by("width", "first_any").alias("lead_width"),
-            F.max(F.when((rank == 1) & (F.col("filled") > 0), F.col("width"))).alias("own_width"),
-            F.max(F.when(rank == 1, F.col("first_filled"))).alias("first_filled"),
-            F.max(F.when(rank == 2, F.col("first_filled"))).alias("other_filled"),
-        )
+        _shapes(lines, splits)
+        .join(_headers(lines, splits), "path", "left")
+        .select("path", "lines", fields(F.col("header")).alias("headers"), "bad_line")
     )
 
 
+def metadata(lines: DataFrame) -> DataFrame:
+    """Per file ``path, lines, headers``: non-blank lines less one, and the fields
+    of the first non-blank line. Files of blank lines have no row."""
+    return profile(lines).filter(F.col("lines").isNotNull()).drop("bad_line")
+
+
 def file_error(filename: Column, lines: Column, bad_line: Column) -> Column:
     """The first rule a file breaks, null when it breaks none. ``lines`` is null
     for a file without any non-blank line."""
@@ -168,18 +145,14 @@ def profile_files(files: DataFrame, lines: DataFrame) -> DataFrame:
     """``path, filename, size, lines, headers, bad_line, error`` for every file.
 
     ``files`` has ``path, filename, size``, as ``sources.files.read_file_sizes``
-    gives. A file of blank lines has no metadata, hence the outer joins.
+    gives.
     """
-    return (
-        files.join(metadata(lines), "path", "left")
-        .join(check_shape(lines), "path", "left")
-        .select(
-            "path",
-            "filename",
-            "size",
-            "lines",
-            "headers",
-            "bad_line",
-            file_error(F.col("filename"), F.col("lines"), F.col("bad_line")).alias("error"),
-        )
+    return files.join(profile(lines), "path", "left").select(
+        "path",
+        "filename",
+        "size",
+        "lines",
+        "headers",
+        "bad_line",
+        file_error(F.col("filename"), F.col("lines"), F.col("bad_line")).alias("error"),
     )

@@ -35,6 +35,23 @@ def best_of_three(
     )
 
 
+def tell_apart(df: DataFrame, keys: Sequence[str], kind: str, kinds: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """One row per key: ``value_i`` for each value and kind, and ``complete``, whether
+    each kind has exactly one row and no other kind has any."""
+    rows = [F.count_if(F.col(kind) == name) for name in kinds]
+    complete = F.count(F.lit(1)) == len(kinds)
+    for one in rows:
+        complete = complete & (one == 1)
+    return df.groupBy(*keys).agg(
+        complete.alias("complete"),
+        *[
+            F.max(F.when(F.col(kind) == name, F.col(value))).alias(f"{value}_{i}")
+            for value in values
+            for i, name in enumerate(kinds)
+        ],
+    )
+
+
 def best_by(
     df: DataFrame,
     keys: Sequence[str],
@@ -45,40 +62,43 @@ def best_by(
 ) -> DataFrame:
     """One row per key with the best of three kinds for each target column.
 
-    ``targets`` maps a result column to the value column it compares. The row
+    ``targets`` maps a result column to the value column it compares. Only keys with
+    exactly one row of each kind are compared; ``incomplete`` has the others. The row
     order of the input plays no part, and one shuffle serves all targets.
     """
-    picked = df.groupBy(*keys).agg(
-        *[
-            F.max(F.when(F.col(kind) == name, F.col(value))).alias(f"{target}_{i}")
-            for target, value in targets.items()
-            for i, name in enumerate(kinds)
-        ]
-    )
+    values = list(dict.fromkeys(targets.values()))
+    picked = tell_apart(df, keys, kind, kinds, values).filter("complete")
     labels = [F.lit(name) for name in kinds]
     return picked.select(
         *keys,
         *[
             best_of_three(
-                [F.col(f"{target}_{i}") for i in range(3)], labels, target in larger_wins
+                [F.col(f"{value}_{i}") for i in range(3)], labels, target in larger_wins
             ).alias(target)
-            for target in targets
+            for target, value in targets.items()
         ],
     )
 
 
+def ledger_keys(ledger: DataFrame, extra_keys: Sequence[str] = ()) -> list[str]:
+    """The columns that name one point of one run."""
+    run = ["run_id"] if "run_id" in ledger.columns else []
+    return list(dict.fromkeys([*LEDGER_KEYS, *run, *extra_keys]))
+
+
 def training_set(
     ledger: DataFrame, extra_keys: Sequence[str] = (), larger_wins: Sequence[str] = ()
 ) -> DataFrame:
-    """One row per configuration with ``BestBySpeed`` and ``BestByAccuracy``.
+    """One row per point and run with ``BestBySpeed`` and ``BestByAccuracy``.
 
     The smaller accuracy wins unless ``BestByAccuracy`` is in ``larger_wins``
-    (for ledgers that hold silhouettes). Pass a run id in ``extra_keys`` when a
-    configuration was swept more than once.
+    (for ledgers that hold silhouettes). ``run_id`` is a key where the ledger has it.
+    Points without exactly one row of each algorithm get no label, as the missing or
+    doubled one might be the best; ``incomplete`` tells how many there are.
     """
     return best_by(
         ledger,
-        [*LEDGER_KEYS, *extra_keys],
+        ledger_keys(ledger, extra_keys),
         "Algorithm",
         NAMES,
         {"BestBySpeed": "ExecutionSpeed", "BestByAccuracy": "Accuracy"},
@@ -86,6 +106,12 @@ def training_set(
     )
 
 
+def incomplete(ledger: DataFrame, extra_keys: Sequence[str] = ()) -> DataFrame:
+    """The points of each run that ``training_set`` leaves out."""
+    keys = ledger_keys(ledger, extra_keys)
+    return tell_apart(ledger, keys, "Algorithm", NAMES, []).filter("not complete").select(*keys)
+
+
 def split_share(keys: Sequence[str], seed: int = 42) -> Column:
     """A number in 0..1 that depends on the row's keys and the seed alone."""
     text = F.concat_ws("|", F.lit(str(seed)), *[F.col(key).cast("string") for key in keys])

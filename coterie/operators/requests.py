@@ -14,7 +14,9 @@ from coterie.functions.text import (
     starts_with_digit,
     to_int,
 )
-from coterie.operators.columns import quoted
+from coterie.operators.clustering import ALGORITHMS
+
+NAMES = [name for entry in ALGORITHMS for name in (entry.name, entry.title)]
 
 
 @dataclass(frozen=True)
@@ -55,29 +57,17 @@ def label_error(
     )
 
 
-SALTS = 4
-
-
 def look_up(df: DataFrame, known: DataFrame, keys: dict[str, str]) -> DataFrame:
     """Left join of ``df`` with ``known``, which has one row per key.
 
-    ``keys`` maps columns of ``df`` to columns of ``known``, which are dropped.
-    No broadcast is asked for, since ``known`` grows with its users; Spark
-    broadcasts it when its measured size allows. For the other case the rows of
-    one key are dealt out over a few salts, each of which meets its own copy of
-    the looked-up row, so that a key held by a third of all rows is not joined by
-    a single task. The salt also makes both sides shuffle for this join alone,
-    which lets adaptive execution split a partition that is still too large.
+    ``keys`` maps columns of ``df`` to columns of ``known``, which are dropped. A plain
+    equality join: Spark broadcasts ``known`` when its measured size allows, and else
+    shuffles both sides for this join alone, so that adaptive execution can split the
+    partition of a key that very many rows hold.
     """
-    salt = F.pmod(F.xxhash64(*[quoted(name) for name in df.columns]), F.lit(SALTS)).cast("int")
-    salted = df.withColumn("salt", salt)
-    copies = known.withColumnsRenamed(
-        {theirs: f"known_{theirs}" for theirs in keys.values()}
-    ).withColumn("known_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    renamed = known.withColumnsRenamed({theirs: f"known_{theirs}" for theirs in keys.values()})
     condition = [F.col(ours) == F.col(f"known_{theirs}") for ours, theirs in keys.items()]
-    return salted.join(
-        copies, [*condition, F.col("salt") == F.col("known_salt")], "left"
-    ).drop("salt", "known_salt", *[f"known_{theirs}" for theirs in keys.values()])
+    return df.join(renamed, condition, "left").drop(*[f"known_{theirs}" for theirs in keys.values()])
 
 
 def with_existence(df: DataFrame, known: DataFrame, keys: dict[str, str], flag: str) -> DataFrame:
@@ -92,16 +82,42 @@ def known_only(df: DataFrame, known: DataFrame, keys: dict[str, str]) -> DataFra
     return df.join(names, list(keys), "left_semi")
 
 
+def first_of_batch(checked: DataFrame, key: list[str], valid: Column, order: str) -> DataFrame:
+    """Adds ``earlier``: whether an earlier row that is valid by itself has the key.
+
+    One aggregate by key, looked up again, so a key that very many rows hold is never
+    gathered in one place.
+    """
+    first = (
+        checked.filter(valid).groupBy(*key).agg(F.min(order).alias("first_of_key"))
+    )
+    found = look_up(checked, first, {name: name for name in key})
+    earlier = F.coalesce(F.col("first_of_key") < F.col(order), F.lit(False))
+    return found.withColumn("earlier", earlier).drop("first_of_key")
+
+
 def check_labels(
     labels: DataFrame,
     known: DataFrame,
     messages: LabelMessages = DATASET_LABEL,
+    order: str = "seq",
+    later_error: str | None = None,
 ) -> DataFrame:
-    """``labels`` (user, label) with an ``error`` column; ``known`` has the same keys."""
-    flagged = with_existence(labels, known, {"user": "user", "label": "label"}, "taken")
-    return flagged.withColumn(
-        "error", label_error(F.col("label"), F.col("taken"), messages)
-    ).drop("taken")
+    """``labels`` (user, label and ``order``) with an ``error`` column; ``known`` has the
+    first two.
+
+    Rows count one after another by ``order``, which differs between rows of one key: a
+    label is taken when an earlier row of the batch got it. ``later_error`` names a column
+    with what else is wrong with a row; it counts after the label's own rules.
+    """
+    key = {"user": "user", "label": "label"}
+    flagged = with_existence(labels, known, key, "taken")
+    alone = label_error(F.col("label"), F.col("taken"), messages)
+    rest = F.col(later_error) if later_error else F.lit(None).cast("string")
+    flagged = first_of_batch(flagged, list(key), F.coalesce(alone, rest).isNull(), order)
+    taken = F.col("taken") | F.col("earlier")
+    error = F.coalesce(label_error(F.col("label"), taken, messages), rest)
+    return flagged.withColumn("error", error).drop("taken", "earlier")
 
 
 def check_requests(
@@ -109,15 +125,19 @@ def check_requests(
     catalog: DataFrame,
     runs: DataFrame,
     form_bounds: bool = True,
+    order: str = "seq",
 ) -> DataFrame:
     """Clustering requests with an ``error`` column, null for a valid request.
 
     ``requests``: user, dataset_label, clusters, algorithm, headers (JSON list),
-    cluster_label, max_iterations (both numbers as text), workers.
+    cluster_label, max_iterations (both numbers as text), workers and ``order``, by which
+    they count one after another: a run label is taken when an earlier valid request of
+    the batch has it. ``order`` differs between requests of one user and label.
     ``catalog``: user, label, lines, headers; unique per (user, label).
     ``runs``: user, label of the runs so far.
     ``form_bounds`` adds the limits that a request form sets by itself: the
-    smallest numbers, features from the dataset's headers, and a live worker.
+    smallest numbers, a known algorithm, features from the dataset's headers, and a live
+    worker. What is null is not enough for a rule.
     """
     datasets = catalog.select(
         "user",
@@ -133,24 +153,26 @@ def check_requests(
     features = F.coalesce(parse_list(F.col("headers")), F.array().cast("array<string>"))
     clusters = to_int(F.col("clusters"))
     max_iterations = to_int(F.col("max_iterations"))
-    label = label_error(F.col("cluster_label"), F.col("run_known"), RUN_LABEL)
-
-    error = (
-        F.when(F.col("dataset_known").isNull(), fixed.REQUEST_DATASET)
-        .when(clusters.isNull() | (F.col("clusters") == "0"), fixed.REQUEST_CLUSTERS)
-        .when(F.coalesce("algorithm", F.lit("")) == "", fixed.REQUEST_ALGORITHM)
-        .when(F.size(features) < 2, fixed.REQUEST_FEATURES)
-        .when(label.isNotNull(), label)
-        .when(
-            max_iterations.isNull() | (F.col("max_iterations") == "0"),
-            fixed.REQUEST_MAX_ITERATIONS,
+
+    def error(taken: Column) -> Column:
+        label = label_error(F.col("cluster_label"), taken, RUN_LABEL)
+        found = (
+            F.when(F.col("dataset_known").isNull(), fixed.REQUEST_DATASET)
+            .when(clusters.isNull() | (F.col("clusters") == "0"), fixed.REQUEST_CLUSTERS)
+            .when(F.coalesce("algorithm", F.lit("")) == "", fixed.REQUEST_ALGORITHM)
+            .when(F.size(F.array_distinct(features)) < 2, fixed.REQUEST_FEATURES)
+            .when(label.isNotNull(), label)
+            .when(
+                max_iterations.isNull() | (F.col("max_iterations") == "0"),
+                fixed.REQUEST_MAX_ITERATIONS,
+            )
+            .when(clusters > F.coalesce("dataset_lines", F.lit(0)), fixed.REQUEST_ROWS)
         )
-        .when(clusters > F.col("dataset_lines"), fixed.REQUEST_ROWS)
-    )
-    if form_bounds:
-        foreign = F.size(F.array_except(features, F.col("dataset_headers"))) > 0
-        error = (
-            error.when(
+        if not form_bounds:
+            return found
+        known = F.coalesce("dataset_headers", F.array().cast("array<string>"))
+        return (
+            found.when(
                 clusters < fixed.MIN_CLUSTERS,
                 f"At least {fixed.MIN_CLUSTERS} clusters are required",
             )
@@ -158,9 +180,18 @@ def check_requests(
                 max_iterations < fixed.MIN_MAX_ITERATIONS,
                 f"At least {fixed.MIN_MAX_ITERATIONS} iterations are required",
             )
-            .when(foreign, "Features must be headers of the dataset")
-            .when(F.col("workers") <= 0, "No worker is available")
+            .when(~F.col("algorithm").isin(NAMES), fixed.REQUEST_ALGORITHM_UNKNOWN)
+            .when(
+                F.size(F.array_except(features, known)) > 0,
+                "Features must be headers of the dataset",
+            )
+            .when(F.coalesce("workers", F.lit(0)) <= 0, "No worker is available")
         )
-    return joined.withColumn("error", error).drop(
-        "dataset_known", "dataset_lines", "dataset_headers", "run_known"
+
+    joined = first_of_batch(
+        joined, ["user", "cluster_label"], error(F.col("run_known")).isNull(), order
+    )
+    taken = F.col("run_known") | F.col("earlier")
+    return joined.withColumn("error", error(taken)).drop(
+        "dataset_known", "dataset_lines", "dataset_headers", "run_known", "earlier"
     )

@@ -45,7 +45,14 @@ DATASET_EVENTS_SCHEMA = (
 def fold(
     events: DataFrame, fields: Sequence[str], keys: Sequence[str] = ("user", "label")
 ) -> DataFrame:
-    """The latest value of every field per label; deleted labels are left out.
+    """The latest value of every field per label; deleted labels are left out."""
+    return folds(events, fields, keys).filter("alive").drop("alive")
+
+
+def folds(
+    events: DataFrame, fields: Sequence[str], keys: Sequence[str] = ("user", "label")
+) -> DataFrame:
+    """The latest value of every field per label, and ``alive``, false once deleted.
 
     One aggregate whose partial results are a row per label and task, so a label
     with very many events is reduced before it is shuffled.
@@ -72,15 +79,18 @@ def fold(
         )
         return F.when(kept, F.col(f"{name}.value")).alias(name)
 
-    return latest.filter(F.col("last_write").isNotNull() & alive).select(
-        *keys, *[value(name) for name in fields]
-    )
+    alive = F.coalesce(F.col("last_write").isNotNull() & alive, F.lit(False))
+    return latest.select(*keys, *[value(name) for name in fields], alive.alias("alive"))
 
 
 def run_states(events: DataFrame) -> DataFrame:
     return fold(events, RUN_FIELDS)
 
 
+def run_folds(events: DataFrame) -> DataFrame:
+    return folds(events, RUN_FIELDS)
+
+
 def dataset_catalog(events: DataFrame) -> DataFrame:
     return fold(events, DATASET_FIELDS)
 

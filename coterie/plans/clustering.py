@@ -13,7 +13,7 @@ from coterie.operators import clustering
 from coterie.operators.features import assemble
 from coterie.operators.runs import RUN_EVENTS_SCHEMA
 from coterie.sources.csv import write_labelled
-from coterie.sources.ledgers import append
+from coterie.sources.ledgers import append_few
 
 
 @dataclass(frozen=True)
@@ -33,8 +33,11 @@ def cluster(
     max_iter: int,
     seed: int = clustering.DEFAULT_SEED,
     handle_invalid: str = "error",
+    partitions: int | None = None,
+    solver: str = "block",
 ) -> ClusterResult:
-    """Fits on the feature columns and labels the whole rows.
+    """Fits on the feature columns and labels the whole rows. ``partitions`` as in
+    ``clustering.held``, ``solver`` as in ``clustering.fit``.
 
     Only the feature vectors are held for the fit and the score. The labelled
     rows are a projection of the input: they are read again when written, and
@@ -42,8 +45,8 @@ def cluster(
     """
     vectors = assemble(df, features, handle_invalid, keep_input=False)
     labelled_input = assemble(df, features, handle_invalid)
-    with clustering.held(vectors) as kept:
-        fitted = clustering.fit(kept, algorithm, k, max_iter, seed)
+    with clustering.held(vectors, partitions) as kept:
+        fitted = clustering.fit(kept, algorithm, k, max_iter, seed, solver)
         score = clustering.silhouette(clustering.assign(fitted.model, kept))
     return ClusterResult(
         clustering.assign(fitted.model, labelled_input),
@@ -74,11 +77,15 @@ def run_cluster_job(
     result_path: str,
     ledger_path: str,
     seed: int = clustering.DEFAULT_SEED,
+    partitions: int | None = None,
+    solver: str = "block",
+    multi_line: bool = False,
 ) -> ClusterResult:
     """``cluster``, with the labelled rows written and the run recorded: RUNNING
-    first, then FINISHED with time and silhouette, or FAILED."""
+    first, then FINISHED with time and silhouette, or FAILED. ``multi_line`` as in
+    ``sources.csv.write_csv``."""
     spark = df.sparkSession
-    append(
+    append_few(
         run_event(
             spark, user, label, 0, "put",
             dataset_label=dataset_label,
@@ -93,12 +100,14 @@ def run_cluster_job(
         ledger_path,
     )
     try:
-        result = cluster(df, features, algorithm, k, max_iter, seed)
-        write_labelled(result.labelled, result_path)
+        result = cluster(
+            df, features, algorithm, k, max_iter, seed, partitions=partitions, solver=solver
+        )
+        write_labelled(result.labelled, result_path, multi_line)
     except Exception:
-        append(run_event(spark, user, label, 1, "set", status=fixed.FAILED), ledger_path)
+        append_few(run_event(spark, user, label, 1, "set", status=fixed.FAILED), ledger_path)
         raise
-    append(
+    append_few(
         run_event(
             spark, user, label, 1, "set",
             status=fixed.FINISHED,

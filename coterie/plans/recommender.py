@@ -49,6 +49,8 @@ def train_recommender(
     path = scratch_path(spark, "training-set")
     recommend.training_set(ledger, extra_keys, larger_wins).write.parquet(path)
     training, test = recommend.split(spark.read.parquet(path), test_share, seed)
+    if training.isEmpty():
+        raise ValueError("no point of the ledger has exactly one row of each algorithm")
     models = Recommender(
         recommend.train(training, "BestBySpeed", seed=seed, **forest),
         recommend.train(training, "BestByAccuracy", seed=seed, **forest),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from itertools import groupby
 
@@ -36,6 +37,7 @@ def ledger_rows(
     workers: int,
     rows: int,
     features: int,
+    run_id: str,
 ) -> DataFrame:
     """One ledger row per fit. The size counts an id column beside the features."""
     return spark.createDataFrame(
@@ -50,6 +52,7 @@ def ledger_rows(
                 float(one.seconds),
                 float(one.quality),
                 one.algorithm.name,
+                run_id,
             )
             for one in fits
         ],
@@ -66,15 +69,17 @@ def benchmark_table(
     max_iterations: Sequence[int] = tuple(fixed.GRID_MAX_ITERATIONS),
     ledger_path: str | None = None,
     seed: int = clustering.DEFAULT_SEED,
+    run_id: str | None = None,
+    partitions: int | None = None,
 ) -> list[DataFrame]:
     """Every (clusters, max_iterations) on one table, which is held throughout.
 
     Returns the ledger rows of each point, appended to ``ledger_path`` as soon as
     the point is done when a path is given.
     """
-    spark = df.sparkSession
+    spark, run_id = df.sparkSession, run_id or uuid.uuid4().hex
     done = []
-    with clustering.held(assemble(df, features, keep_input=False)) as vectors:
+    with clustering.held(assemble(df, features, keep_input=False), partitions) as vectors:
         rows = vectors.count()
         for k in clusters:
             for max_iter in max_iterations:
@@ -86,6 +91,7 @@ def benchmark_table(
                     workers=workers,
                     rows=rows,
                     features=len(features),
+                    run_id=run_id,
                 )
                 if ledger_path is not None:
                     append_sweep(point, ledger_path)
@@ -94,13 +100,14 @@ def benchmark_table(
 
 
 def completed(ledger: DataFrame, workers: int) -> DataFrame:
-    """Grid points of this worker count that have a row for every algorithm."""
+    """Grid points of this worker count for which some run has a row for every algorithm."""
     return (
         ledger.filter(F.col("Workers") == workers)
-        .groupBy(*POINT_KEYS)
+        .groupBy(*POINT_KEYS, "run_id")
         .agg(F.count_distinct("Algorithm").alias("algorithms"))
         .filter(F.col("algorithms") == len(clustering.ALGORITHMS))
-        .drop("algorithms")
+        .select(*POINT_KEYS)
+        .distinct()
     )
 
 
@@ -111,13 +118,16 @@ def sweep(
     points: DataFrame | None = None,
     make_table: Callable[[SparkSession, int, int, int], DataFrame] = generate_table,
     seed: int = clustering.DEFAULT_SEED,
+    run_id: str | None = None,
 ) -> int:
     """Runs the grid points that the ledger lacks; returns how many.
 
     Stop it at any time and start it again: a point counts once its three rows
-    are written. The points are a few hundred parameter rows, looped over on the
+    are written. Each call writes under a ``run_id`` of its own unless one is given, so
+    what a stopped run left of a point is never mixed with a later one. The points are a few hundred parameter rows, looped over on the
     driver; tables are generated, held and fitted on the executors.
     """
+    run_id = run_id or uuid.uuid4().hex
     points = grid(spark) if points is None else points
     missing = remaining(points, completed(read_sweep(spark, ledger_path), workers), POINT_KEYS)
     todo = [tuple(row) for row in missing.select(*POINT_KEYS).orderBy(*POINT_KEYS).collect()]
@@ -135,6 +145,7 @@ def sweep(
                         workers=workers,
                         rows=rows,
                         features=features,
+                        run_id=run_id,
                     ),
                     ledger_path,
                 )

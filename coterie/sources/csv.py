@@ -7,41 +7,70 @@ from collections.abc import Iterable
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from coterie.operators.columns import quoted
 
 
-def dataset_path(root: str, label: str) -> str:
-    return f"{root.rstrip('/')}/datasets/{label}"
-
-
-def result_path(root: str, label: str) -> str:
-    return f"{root.rstrip('/')}/results/{label}"
+# Values in quotes hold commas, doubled quotes and blanks as they are.
+QUOTING = {"quote": '"', "escape": '"'}
+# Stands for "" while a file is read, where Spark would make it a null.
+EMPTY = "\u0000"
 
 
 def read_csv(
     spark: SparkSession,
     paths: str | Iterable[str],
     schema: StructType | str | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """Files with a header row.
+    """Files with a header row. Texts come as they are written, numbers without the
+    blanks around them.
 
     Give a schema for large inputs: without one Spark reads the data twice, the
     first time to infer types. Names come from the header only when inferring.
-    Rows whose field count differs from the header are *not* refused here; run
-    ``operators.profile.check_shape`` on the files first.
+    ``multi_line`` allows line breaks in quotes; such a file cannot be split, so each
+    is read by one task. A row with more or fewer fields than the header is an error.
     """
-    reader = spark.read.options(
-        header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True
+    paths = paths if isinstance(paths, str) else list(paths)
+    trimmed = {"ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
+    reader = spark.read.options(header=True, multiLine=multi_line, mode="FAILFAST", emptyValue=EMPTY, **QUOTING)
+    if schema is None:
+        schema = reader.options(inferSchema=True, **trimmed).csv(paths).schema
+    elif isinstance(schema, str):
+        schema = spark.createDataFrame([], schema).schema
+    kept = reader.options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    texts = StructType([StructField(f.name, StringType()) for f in schema.fields])
+    rows = kept.schema(texts).csv(paths)
+    return rows.select(
+        *[
+            F.when(quoted(f.name) == EMPTY, "").otherwise(quoted(f.name)).alias(f.name)
+            if isinstance(f.dataType, StringType)
+            else F.trim(quoted(f.name)).cast(f.dataType).alias(f.name)
+            for f in schema.fields
+        ]
     )
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    return reader.csv(paths if isinstance(paths, str) else list(paths))
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """Part files with a header each, replacing what was there."""
-    df.write.mode("overwrite").csv(path, header=True)
+def write_csv(df: DataFrame, path: str, multi_line: bool = False) -> None:
+    """Part files with a header each, replacing what was there.
+
+    Blanks at the ends of texts stay, an empty text is ``""`` and a null is nothing.
+    Texts with line breaks are refused, as a reader that splits files would cut them;
+    ``multi_line`` writes them for readers that do not.
+    """
+    if not multi_line:
+        checked = []
+        for field in df.schema.fields:
+            column = quoted(field.name)
+            if isinstance(field.dataType, StringType):
+                broken = F.raise_error(F.lit(f"line break in column {field.name}; pass multi_line=True"))
+                column = F.when(column.rlike("[\\n\\r]"), broken.cast("string")).otherwise(column)
+            checked.append(column.alias(field.name))
+        df = df.select(*checked)
+    df.write.mode("overwrite").options(
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue='""', **QUOTING
+    ).csv(path, header=True)
 
 
 def printable(df: DataFrame) -> DataFrame:
@@ -55,9 +84,9 @@ def printable(df: DataFrame) -> DataFrame:
     )
 
 
-def write_labelled(labelled: DataFrame, path: str) -> None:
+def write_labelled(labelled: DataFrame, path: str, multi_line: bool = False) -> None:
     """Labelled rows without the feature vector, written by all executors.
 
     There is no row number column: a dense global number needs one serial pass.
     """
-    write_csv(printable(labelled.drop("features")), path)
+    write_csv(printable(labelled.drop("features")), path, multi_line)

@@ -17,8 +17,10 @@ def read_lines(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
     text = spark.read.option("lineSep", "\n").text(
         paths if isinstance(paths, str) else list(paths)
     )
+    # Spark gives the path as a URI; a plus sign stands for itself there
+    decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     return text.select(
-        F.col("_metadata.file_path").alias("path"),
+        plain_path(spark, decoded).alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("position"),
         F.col("value").alias("line"),
@@ -35,13 +37,33 @@ def text_lines(df: DataFrame, path: Column, text: Column) -> DataFrame:
 
 
 def read_file_sizes(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
-    """One row per file: ``path, filename, size``. File contents are not read.
-    Spark lists no file without bytes."""
-    entries = spark.read.format("binaryFile").load(
-        paths if isinstance(paths, str) else list(paths)
-    )
-    return entries.select(
-        F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_name").alias("filename"),
-        F.col("length").alias("size"),
+    """One row per file below ``paths``: ``path, filename, size``, from the file
+    system's listing, so files without bytes are there too. Names that begin with
+    ``_`` or ``.`` are left out, as Spark does when it reads. A path that does not
+    exist gives no row."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for name in [paths] if isinstance(paths, str) else paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        system = path.getFileSystem(conf)
+        if not system.exists(path):
+            continue
+        listed = system.listFiles(path, True)
+        while listed.hasNext():
+            entry = listed.next()
+            filename = entry.getPath().getName()
+            if not filename.startswith(("_", ".")):
+                found.append((entry.getPath().toString(), filename, entry.getLen()))
+    entries = spark.createDataFrame(found, "path string, filename string, size bigint")
+    return entries.withColumn("path", plain_path(spark, F.col("path")))
+
+
+def plain_path(spark: SparkSession, path: Column) -> Column:
+    """One spelling of a path: with the scheme, of the default file system where there
+    is none, ``file:/`` for local files, and no percent codes."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    system = spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(conf).toString()
+    whole = F.when(path.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), path).otherwise(
+        F.concat(F.lit(system.rstrip("/")), path)
     )
+    return F.regexp_replace(whole, "^file:/*", "file:/")

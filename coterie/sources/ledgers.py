@@ -9,13 +9,26 @@ from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
-from coterie.functions.fixed import LEDGER_SCHEMA
+from coterie.functions.fixed import LEDGER_CSV_SCHEMA, LEDGER_SCHEMA
 
 
 def append(rows: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     rows.write.mode("append").partitionBy(*partition_by).parquet(path)
 
 
+def append_few(rows: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
+    """``append`` for a handful of rows: one task, one file."""
+    append(rows.coalesce(1), path, partition_by)
+
+
+def compact(spark: SparkSession, path: str, schema: str, target: str, files: int = 1) -> None:
+    """Writes the ledger at ``path`` to the new folder ``target`` in few files.
+
+    The old folder stays; switch over to the new one when no append is under way.
+    """
+    read_ledger(spark, path, schema).coalesce(files).write.mode("error").parquet(target)
+
+
 def read_ledger(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The ledger, or no rows when nothing has been appended yet."""
     try:
@@ -28,7 +41,7 @@ def read_ledger(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def append_sweep(rows: DataFrame, path: str) -> None:
     """Partitioned by worker count, so reading one count prunes the others."""
-    append(rows, path, ["Workers"])
+    append_few(rows, path, ["Workers"])
 
 
 def read_sweep(spark: SparkSession, path: str) -> DataFrame:
@@ -36,8 +49,9 @@ def read_sweep(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sweep_csv(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
-    """Ledgers kept as CSV files, one per worker count, as one frame."""
-    return spark.read.schema(LEDGER_SCHEMA).csv(list(paths), header=True)
+    """Ledgers kept as CSV files, one per worker count, as one frame. They have no run
+    id, so each point is taken to be swept once."""
+    return spark.read.schema(LEDGER_CSV_SCHEMA).csv(list(paths), header=True)
 
 
 def union_ledgers(ledgers: Sequence[DataFrame]) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coterie.operators.runs import RUN_EVENTS_SCHEMA, listing, run_states
+from coterie.operators.runs import RUN_EVENTS_SCHEMA, listing, run_folds
+
+KEYS = ["user", "label"]
 
 
 def run_event_stream(spark: SparkSession, ledger_path: str) -> DataFrame:
@@ -13,30 +15,52 @@ def run_event_stream(spark: SparkSession, ledger_path: str) -> DataFrame:
 
 
 def watch_runs(events: DataFrame) -> DataFrame:
-    """The results listing as a stream, for a ``complete`` sink.
+    """The results listing as a stream, for an ``update`` sink: the labels a batch of
+    events touched, with ``alive``, false for a label that was deleted.
 
-    The state is one row per label, the size of the listing itself. A deleted
-    label yields no row, so it leaves the listing.
+    The state is one row per label that ever had an event.
     """
-    return listing(run_states(events))
+    return listing(run_folds(events))
 
 
 def keep_listing(events: DataFrame, path: str, checkpoint: str) -> int | None:
     """Brings the listing below ``path`` up to date with all events so far.
 
-    Returns the number of the last batch, which names the folder that holds the
-    listing, or None when there were no new events. A batch that is repeated
-    after a failure replaces its own folder.
+    Each batch replaces the labels it touched and writes a folder named by its number;
+    the two newest folders are kept, so a reader of the last one is not disturbed.
+    Returns the number of the last batch, or None when there were no new events. A batch
+    that is repeated after a failure replaces its own folder.
     """
+    spark = events.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(conf)
     written = []
 
+    def folders() -> list[int]:
+        if not system.exists(root):
+            return []
+        names = [entry.getPath().getName() for entry in system.listStatus(root)]
+        return sorted(int(name) for name in names if name.isdigit())
+
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/{number}")
+        # read twice below, so the state is asked for its changes only once
+        changes = f"{path}/_changes"
+        batch.write.mode("overwrite").parquet(changes)
+        batch = spark.read.schema(batch.schema).parquet(changes)
+        new = batch.filter("alive").drop("alive")
+        older = [k for k in folders() if k < number]
+        if older:
+            before = spark.read.schema(new.schema).parquet(f"{path}/{older[-1]}")
+            new = before.join(batch.select(*KEYS), KEYS, "left_anti").unionByName(new)
+        new.write.mode("overwrite").parquet(f"{path}/{number}")
         written.append(number)
+        for old in older[:-1]:
+            system.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/{old}"), True)
 
     query = (
         watch_runs(events)
-        .writeStream.outputMode("complete")
+        .writeStream.outputMode("update")
         .foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

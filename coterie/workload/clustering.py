@@ -21,6 +21,10 @@ from coterie.sources.csv import read_csv, write_csv
 from coterie.sources.ledgers import read_ledger
 from coterie.workload.registry import query, table
 
+# The given tables are one file each. A fixed number of partitions, so that fits repeat
+# on any machine.
+PARTITIONS = 8
+
 # --- lineitem moved into three groups far apart -------------------------------
 
 SQL_GROUPS = """
@@ -100,7 +104,7 @@ def cluster_rows(labelled):
     )
 
 
-def one_row(spark, points, **values):
+def one_row(points, **values):
     """The row count beside numbers known to the driver."""
     return points.agg(
         F.count(F.lit(1)).alias("row_count"),
@@ -130,17 +134,16 @@ SQL_COST_SCORES = f"""
 def assigned(spark, sf, name):
     """The rows of three groups with the cluster a fitted model gives them."""
     points = grouped_points(spark, sf)
-    with clustering.held(assemble(points, ["x", "y"], keep_input=False)) as vectors:
+    with clustering.held(assemble(points, ["x", "y"], keep_input=False), PARTITIONS) as vectors:
         fitted = clustering.fit(vectors, name, k=3, max_iter=20)
     return clustering.assign(fitted.model, assemble(points, ["x", "y"]))
 
 
 def scores(spark, sf, name):
     points = grouped_points(spark, sf)
-    result = cluster(points, ["x", "y"], name, k=3, max_iter=20)
+    result = cluster(points, ["x", "y"], name, k=3, max_iter=20, partitions=PARTITIONS)
     total = points.count()
     return one_row(
-        spark,
         points,
         mean_cost=round(result.quality / total, 4),
         silhouette=round(result.silhouette, 8),
@@ -184,7 +187,7 @@ def best_mixture(vectors, k, seeds=(1, 2, 3)):
 )
 def mixture_groups(spark, sf):
     points = paired_points(spark, sf)
-    with clustering.held(assemble(points, ["x", "y"], keep_input=False)) as vectors:
+    with clustering.held(assemble(points, ["x", "y"], keep_input=False), PARTITIONS) as vectors:
         model = best_mixture(vectors, 2).model
     weights = F.array(*[F.lit(float(w)) for w in model.weights])
     labelled = clustering.assign(model, assemble(points, ["x", "y"]))
@@ -220,12 +223,11 @@ def mixture_groups(spark, sf):
 )
 def mixture_scores(spark, sf):
     points = paired_points(spark, sf)
-    with clustering.held(assemble(points, ["x", "y"], keep_input=False)) as vectors:
+    with clustering.held(assemble(points, ["x", "y"], keep_input=False), PARTITIONS) as vectors:
         best = best_mixture(vectors, 2)
         score = clustering.silhouette(clustering.assign(best.model, vectors))
         total = vectors.count()
     return one_row(
-        spark,
         points,
         mean_log_likelihood=round(best.quality / total, 5),
         silhouette=round(score, 8),
@@ -303,7 +305,7 @@ def embedding_vectors(spark, sf):
 
 def embedding_clusters(spark, sf):
     embeddings = embedding_vectors(spark, sf)
-    with clustering.held(embeddings.select("features")) as vectors:
+    with clustering.held(embeddings.select("features"), PARTITIONS) as vectors:
         fitted = clustering.fit(vectors, fixed.KMEANS, k=10, max_iter=20)
     return (
         clustering.assign(fitted.model, embeddings)
@@ -312,10 +314,39 @@ def embedding_clusters(spark, sf):
     )
 
 
-@query()
+@query(
+    """
+    SELECT count(*) AS row_count, 0::BIGINT AS outside, 0::BIGINT AS not_nearest,
+           10::BIGINT AS clusters, TRUE AS cost_agrees
+    FROM embeddings
+    """
+)
 def kmeans_embeddings(spark, sf):
-    """Rows per cluster of the embedding vectors."""
-    return embedding_clusters(spark, sf)
+    """K-Means over the embeddings: every vector is with its nearest centre of all ten, no
+    cluster is empty, and the distances add up to the cost."""
+    embeddings = embedding_vectors(spark, sf)
+    with clustering.held(embeddings.select("features"), PARTITIONS) as vectors:
+        fitted = clustering.fit(vectors, fixed.KMEANS, k=10, max_iter=20)
+    labelled = clustering.assign(fitted.model, embeddings).withColumn(
+        "values", vector_to_array("features")
+    )
+    centres = [[float(v) for v in centre] for centre in fitted.model.clusterCenters()]
+
+    def square(centre):
+        pairs = F.zip_with("values", F.array(*map(F.lit, centre)), lambda a, b: (a - b) * (a - b))
+        return F.aggregate(pairs, F.lit(0.0), lambda total, x: total + x)
+
+    distances = labelled.select("prediction", F.array(*map(square, centres)).alias("distances"))
+    own, least = F.element_at("distances", F.col("prediction") + 1), F.array_min("distances")
+    # The last move of the centres follows the last cost, hence the tolerance.
+    agrees = F.abs(F.sum(least) / F.lit(fitted.quality) - 1) < 0.01
+    return distances.agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.count_if(~F.col("prediction").between(0, 9)).alias("outside"),
+        F.count_if(own > least + 1e-9).alias("not_nearest"),
+        F.count_distinct("prediction").alias("clusters"),
+        agrees.alias("cost_agrees"),
+    )
 
 
 @query(
@@ -332,7 +363,7 @@ def kmeans_check(spark, sf):
     points = table(spark, sf, "lineitem").select(
         F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y")
     )
-    with clustering.held(assemble(points, names, keep_input=False)) as vectors:
+    with clustering.held(assemble(points, names, keep_input=False), PARTITIONS) as vectors:
         fitted = clustering.fit(vectors, fixed.KMEANS, k=10, max_iter=20)
     centres = [list(map(float, centre)) for centre in fitted.model.clusterCenters()]
     labelled = clustering.assign(fitted.model, assemble(points, names)).drop("features")
@@ -366,7 +397,7 @@ def mixture_check(spark, sf):
     is the likeliest component."""
     names = ["c_acctbal", "c_nationkey"]
     customer = table(spark, sf, "customer").select(*names)
-    with clustering.held(assemble(customer, names, keep_input=False)) as vectors:
+    with clustering.held(assemble(customer, names, keep_input=False), PARTITIONS) as vectors:
         fitted = clustering.fit(vectors, fixed.MIXTURE, k=3, max_iter=20)
     labelled = clustering.assign(fitted.model, assemble(customer, names))
     shares = vector_to_array("probability")
@@ -399,7 +430,7 @@ def cluster_job(spark, sf):
     renamed = grouped_points(spark, sf).toDF("quantity (moved)", "price.k")
     write_csv(renamed, dataset)
     run_cluster_job(
-        read_csv(spark, dataset),
+        read_csv(spark, dataset, "`quantity (moved)` double, `price.k` double"),
         user="u1",
         label="run1",
         dataset_label="lines",
@@ -407,6 +438,7 @@ def cluster_job(spark, sf):
         algorithm=fixed.KMEANS_TITLE,
         k=3,
         max_iter=20,
+        partitions=PARTITIONS,
         result_path=result,
         ledger_path=ledger,
     )

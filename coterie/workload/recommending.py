@@ -43,26 +43,25 @@ def sql_best(values: list[str], names: list[str]) -> str:
     )
     SELECT user_id, {sql_best(["v0", "v1", "v2"], KINDS)} AS best_by_value,
            {sql_best(["n0::DOUBLE", "n1::DOUBLE", "n2::DOUBLE"], KINDS)} AS best_by_count
-    FROM totals
+    FROM totals WHERE n0 > 0 AND n1 > 0 AND n2 > 0
     """
 )
 def best_of_three(spark, sf):
-    """The event type with the smallest total and with the fewest events."""
+    """The event type with the smallest total and with the fewest events, for users that
+    have all three."""
     sums = (
         table(spark, sf, "events")
         .filter(F.col("event_type").isin(KINDS))
         .groupBy("user_id", "event_type")
         .agg(F.sum("value").alias("value"), F.count(F.lit(1)).cast("double").alias("events"))
     )
-    # A missing type counts no events, but has no total.
-    counted = recommend.best_by(
+    return recommend.best_by(
         sums,
         ["user_id"],
         "event_type",
         KINDS,
         {"best_by_value": "value", "best_by_count": "events"},
     )
-    return counted
 
 
 # --- a sweep ledger aggregated from lineitem ----------------------------------
@@ -100,6 +99,7 @@ SQL_TRAINING = f"""
              max(Accuracy) FILTER (WHERE Algorithm = '{fixed.BISECTING}') AS a1,
              max(Accuracy) FILTER (WHERE Algorithm = '{fixed.MIXTURE}') AS a2
       FROM ledger GROUP BY ALL
+      HAVING count(*) = 3 AND count(DISTINCT Algorithm) = 3
     ),
     training AS (
       SELECT {", ".join(LEDGER_KEYS)},
@@ -167,6 +167,69 @@ def training_labels_csv(spark, sf):
     return recommend.training_set(read_sweep_csv(spark, paths))
 
 
+@query(
+    f"""
+    WITH keyed AS (
+      SELECT CAST(l_suppkey % 5 + 1 AS INTEGER) AS Workers, CAST(l_orderkey % 7 + 2 AS INTEGER) AS FeaturesCount,
+             l_linestatus AS run_id, l_orderkey % 3 AS kind, l_quantity, l_extendedprice
+      FROM lineitem WHERE NOT (l_suppkey % 5 = 2 AND l_orderkey % 3 = 1 AND l_linestatus = 'O')
+    ),
+    one AS (
+      SELECT Workers, FeaturesCount, run_id, kind, avg(l_quantity) AS speed, avg(l_extendedprice) AS cost
+      FROM keyed GROUP BY ALL
+      -- a row written twice
+      UNION ALL SELECT 1, 2, 'F', 0, 9.0, 9.0
+    ),
+    points AS (
+      SELECT Workers, FeaturesCount, run_id,
+             count(*) = 3 AND count(DISTINCT kind) = 3 AS complete,
+             max(speed) FILTER (WHERE kind = 0) AS s0, max(speed) FILTER (WHERE kind = 1) AS s1,
+             max(speed) FILTER (WHERE kind = 2) AS s2, max(cost) FILTER (WHERE kind = 0) AS a0,
+             max(cost) FILTER (WHERE kind = 1) AS a1, max(cost) FILTER (WHERE kind = 2) AS a2
+      FROM one GROUP BY ALL
+    )
+    SELECT Workers, FeaturesCount, run_id,
+           CASE WHEN complete THEN {sql_best(["s0", "s1", "s2"], recommend.NAMES)} END AS BestBySpeed,
+           CASE WHEN complete THEN {sql_best(["a0", "a1", "a2"], recommend.NAMES)} END AS BestByAccuracy
+    FROM points
+    """
+)
+def training_labels_runs(spark, sf):
+    """A ledger with several runs, points that lack a row and one with a row too many:
+    labels for the complete points, nulls for those that are left out."""
+    kind = F.col("l_orderkey") % 3
+    lacking = (F.col("l_suppkey") % 5 == 2) & (kind == 1) & (F.col("l_linestatus") == "O")
+    keyed = table(spark, sf, "lineitem").filter(~lacking).select(
+        (F.col("l_suppkey") % 5 + 1).cast("int").alias("Workers"),
+        (F.col("l_orderkey") % 7 + 2).cast("int").alias("FeaturesCount"),
+        F.col("l_linestatus").alias("run_id"),
+        F.element_at(F.array(*map(F.lit, recommend.NAMES)), (kind + 1).cast("int")).alias("Algorithm"),
+        "l_quantity",
+        "l_extendedprice",
+    )
+    rows = keyed.groupBy("Workers", "FeaturesCount", "run_id", "Algorithm").agg(
+        F.avg("l_quantity").alias("ExecutionSpeed"), F.avg("l_extendedprice").alias("Accuracy")
+    )
+    twice = spark.createDataFrame([(1, 2, "F", fixed.KMEANS, 9.0, 9.0)], rows.schema)
+    path = scratch_path(spark, "runs-ledger")
+    append_sweep(
+        rows.unionByName(twice).withColumns(
+            {
+                "maxIteration": F.lit(10),
+                "Clusters": F.lit(2),
+                "ByteSize": F.lit(80).cast("bigint"),
+                "RecordCount": F.lit(10).cast("bigint"),
+            }
+        ),
+        path,
+    )
+    ledger = read_sweep(spark, path)
+    labels = recommend.training_set(ledger)
+    left_out = recommend.incomplete(ledger)
+    shown = ["Workers", "FeaturesCount", "run_id", "BestBySpeed", "BestByAccuracy"]
+    return labels.unionByName(left_out, allowMissingColumns=True).select(*shown)
+
+
 SQL_SHARE = (
     "CAST('0x' || substr(md5('42|' || concat_ws('|', "
     + ", ".join(LEDGER_KEYS)

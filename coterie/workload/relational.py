@@ -52,6 +52,30 @@ def csv_round_trip(spark, sf):
     )
 
 
+@query(
+    """
+    SELECT 'd' || CAST(doc_id AS VARCHAR) AS id, text, lang AS kind FROM documents
+    UNION ALL
+    SELECT 'c' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR),
+           ' "' || text || '" ', role
+    FROM conversations
+    """
+)
+def csv_text_round_trip(spark, sf):
+    """Texts with line breaks, quotes and blanks at the ends come back as they were."""
+    path = scratch_path(spark, "texts-csv")
+    documents = table(spark, sf, "documents").select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text", F.col("lang").alias("kind")
+    )
+    turns = table(spark, sf, "conversations").select(
+        F.concat_ws("-", F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.col("turn").cast("string")).alias("id"),
+        F.concat(F.lit(' "'), "text", F.lit('" ')).alias("text"),
+        F.col("role").alias("kind"),
+    )
+    write_csv(documents.unionByName(turns), path, multi_line=True)
+    return read_csv(spark, path, "id string, text string, kind string", multi_line=True)
+
+
 @query("SELECT c_name, c_nationkey FROM customer WHERE c_nationkey > 12")
 def csv_filter_job(spark, sf):
     """CSV in, rows and columns chosen, CSV out."""

@@ -34,15 +34,16 @@ SQL_REQUESTS = """
              CASE o_orderkey % 5 WHEN 0 THEN '["c_custkey"]' WHEN 1 THEN '["c_custkey","other"]'
                   ELSE '["c_custkey","c_acctbal"]' END AS headers,
              CASE o_orderkey % 11 WHEN 0 THEN '' WHEN 1 THEN 'a b' WHEN 2 THEN 'a_b'
-                  WHEN 3 THEN '1run' ELSE 'run' || CAST(o_orderkey AS VARCHAR) END AS cluster_label,
+                  WHEN 3 THEN '1run' ELSE 'run' || CAST(o_orderkey // 3 % 400 AS VARCHAR) END
+               AS cluster_label,
              CAST(o_orderkey % 29 AS VARCHAR) AS max_iterations,
-             CAST(o_orderkey % 13 AS INTEGER) AS workers
+             CASE WHEN o_orderkey % 13 <> 5 THEN CAST(o_orderkey % 13 AS INTEGER) END AS workers
       FROM orders
     ),
     runs AS (
       SELECT 'u' || CAST(o_custkey % 25 AS VARCHAR) AS user,
-             'run' || CAST(o_orderkey AS VARCHAR) AS label
-      FROM orders WHERE o_totalprice < 100000
+             'run' || CAST(o_orderkey // 3 % 400 AS VARCHAR) AS label
+      FROM orders WHERE o_totalprice < 3000
     )
 """
 
@@ -51,27 +52,39 @@ def sql_feature_count(column: str) -> str:
     return f"(length({column}) - length(replace({column}, ',', '')) + 1)"
 
 
+def sql_request_error(taken: str) -> str:
+    label = sql_label_error("cluster_label", taken, "REQUEST_LABEL")
+    return f"""
+      CASE WHEN NOT known THEN '{fixed.REQUEST_DATASET}'
+           WHEN clusters = '0' THEN '{fixed.REQUEST_CLUSTERS}'
+           WHEN algorithm = '' THEN '{fixed.REQUEST_ALGORITHM}'
+           WHEN {sql_feature_count("headers")} < 2 THEN '{fixed.REQUEST_FEATURES}'
+           WHEN ({label}) IS NOT NULL THEN {label}
+           WHEN max_iterations = '0' THEN '{fixed.REQUEST_MAX_ITERATIONS}'
+           WHEN CAST(clusters AS INTEGER) > lines THEN '{fixed.REQUEST_ROWS}'
+           WHEN CAST(clusters AS INTEGER) < 2 THEN 'At least 2 clusters are required'
+           WHEN CAST(max_iterations AS INTEGER) < 10 THEN 'At least 10 iterations are required'
+           WHEN contains(headers, 'other') THEN 'Features must be headers of the dataset'
+           WHEN coalesce(workers, 0) <= 0 THEN 'No worker is available' END
+    """
+
+
 @query(
     f"""
-    WITH {SQL_REQUESTS}
-    SELECT q.id,
-      CASE WHEN c.label IS NULL THEN '{fixed.REQUEST_DATASET}'
-           WHEN q.clusters = '0' THEN '{fixed.REQUEST_CLUSTERS}'
-           WHEN q.algorithm = '' THEN '{fixed.REQUEST_ALGORITHM}'
-           WHEN {sql_feature_count("q.headers")} < 2 THEN '{fixed.REQUEST_FEATURES}'
-           WHEN ({sql_label_error("q.cluster_label", "r.label IS NOT NULL", "REQUEST_LABEL")})
-                IS NOT NULL
-           THEN {sql_label_error("q.cluster_label", "r.label IS NOT NULL", "REQUEST_LABEL")}
-           WHEN q.max_iterations = '0' THEN '{fixed.REQUEST_MAX_ITERATIONS}'
-           WHEN CAST(q.clusters AS INTEGER) > c.lines THEN '{fixed.REQUEST_ROWS}'
-           WHEN CAST(q.clusters AS INTEGER) < 2 THEN 'At least 2 clusters are required'
-           WHEN CAST(q.max_iterations AS INTEGER) < 10
-           THEN 'At least 10 iterations are required'
-           WHEN contains(q.headers, 'other') THEN 'Features must be headers of the dataset'
-           WHEN q.workers <= 0 THEN 'No worker is available' END AS error
-    FROM requests q
-    LEFT JOIN catalog c ON q.user = c.user AND q.dataset_label = c.label
-    LEFT JOIN runs r ON q.user = r.user AND q.cluster_label = r.label
+    WITH {SQL_REQUESTS},
+    joined AS (
+      SELECT q.*, c.lines, c.label IS NOT NULL AS known, r.label IS NOT NULL AS run_known
+      FROM requests q
+      LEFT JOIN catalog c ON q.user = c.user AND q.dataset_label = c.label
+      LEFT JOIN (SELECT DISTINCT * FROM runs) r ON q.user = r.user AND q.cluster_label = r.label
+    ),
+    alone AS (SELECT *, {sql_request_error("run_known")} AS wrong FROM joined),
+    batch AS (
+      SELECT *, coalesce(min(id) FILTER (WHERE wrong IS NULL)
+                OVER (PARTITION BY user, cluster_label) < id, FALSE) AS earlier
+      FROM alone
+    )
+    SELECT id, {sql_request_error("run_known OR earlier")} AS error FROM batch
     """
 )
 def request_rule(spark, sf):
@@ -98,7 +111,8 @@ def customer_user():
 
 
 def order_run():
-    return F.concat(F.lit("run"), F.col("o_orderkey").cast("string"))
+    number = F.floor(F.col("o_orderkey") / 3) % 400
+    return F.concat(F.lit("run"), number.cast("string"))
 
 
 def requests(spark, sf):
@@ -126,7 +140,8 @@ def requests(spark, sf):
         .otherwise(order_run())
         .alias("cluster_label"),
         (key % 29).cast("string").alias("max_iterations"),
-        (key % 13).cast("int").alias("workers"),
+        F.when(key % 13 != 5, (key % 13).cast("int")).alias("workers"),
+        key.alias("seq"),
     )
 
 
@@ -141,7 +156,7 @@ def catalog(spark, sf):
 
 
 def known_runs(spark, sf):
-    cheap = table(spark, sf, "orders").filter(F.col("o_totalprice") < 100000)
+    cheap = table(spark, sf, "orders").filter(F.col("o_totalprice") < 3000)
     return cheap.select(customer_user(), order_run().alias("label"))
 
 

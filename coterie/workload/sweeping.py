@@ -19,7 +19,7 @@ FEATURES = 6
 @query(
     f"""
     SELECT 'feature_' || CAST(f AS VARCHAR) AS name, count(*) AS filled,
-           0.0::DOUBLE AS low, 1.0::DOUBLE AS high, count(DISTINCT o_orderkey) AS ids
+           0.0::DOUBLE AS low, 1.0::DOUBLE AS high, count(*) AS ids, TRUE AS ids_whole
     FROM orders, range({FEATURES}) r(f) GROUP BY f
     """
 )
@@ -30,7 +30,14 @@ def synthetic_table(spark, sf):
     names = [name for name in generated.columns if name != "id"]
     # One pass over the rows, then one small row turned into a row per column.
     summary = generated.agg(
-        F.count_distinct("id").alias("ids"),
+        F.count("id").alias("ids"),
+        # ids 0 to n - 1, each once: by their bounds, sum and sum of squares
+        (
+            (F.min("id") == 0)
+            & (F.max("id") == rows - 1)
+            & (F.sum("id") == F.lit(rows * (rows - 1) // 2))
+            & (F.sum(F.col("id").cast("decimal(38,0)") * F.col("id")) == F.lit((rows - 1) * rows * (2 * rows - 1) // 6))
+        ).alias("ids_whole"),
         *[
             F.struct(
                 F.lit(name).alias("name"),
@@ -41,7 +48,7 @@ def synthetic_table(spark, sf):
             for name in names
         ],
     )
-    return summary.select("ids", F.inline(F.array(*names)))
+    return summary.select("ids", "ids_whole", F.inline(F.array(*names)))
 
 
 @query(

@@ -53,7 +53,7 @@ def test_refusals(spark, points):
         cluster(points.withColumn("prediction", F.lit(1)), names, TITLES[0], 2, 10)
     for title in TITLES:
         with pytest.raises(PySparkException):
-            cluster(points, names, title, 1, 10)
+            cluster(points, names, title, 1, 10, solver="row")
     with pytest.raises(PySparkException):
         cluster(points.withColumn("t", F.lit("x")), ["t", "id"], TITLES[0], 2, 10)
 
@@ -71,24 +71,48 @@ def test_nulls(spark):
 def test_more_clusters_than_rows(spark):
     df = spark.createDataFrame([(1.0, 1.0), (2.0, 5.0), (9.0, 9.0)], "x double, y double")
     for title in TITLES[:2]:
-        result = cluster(df, ["x", "y"], title, 5, 10)
+        result = cluster(df, ["x", "y"], title, 5, 10, solver="row")
         assert result.labelled.select("prediction").distinct().count() == 3
 
 
 def test_more_clusters_than_distinct_rows(spark):
     df = spark.range(100).select((F.col("id") % 2).alias("x"), (F.col("id") % 2).alias("y"))
-    result = cluster(df, ["x", "y"], TITLES[0], 4, 10)
+    with pytest.raises(RuntimeError, match="solver='row'"):
+        cluster(df, ["x", "y"], TITLES[0], 4, 10)
+    result = cluster(df, ["x", "y"], TITLES[0], 4, 10, solver="row")
     assert result.labelled.select("prediction").distinct().count() == 2
     assert result.quality == 0
 
 
-def test_small_files_still_use_every_core(spark, points):
-    cores = spark.sparkContext.defaultParallelism
-    one = spark.range(cores * clustering.ROWS_PER_TASK).coalesce(1)
-    assert clustering.spread(one).rdd.getNumPartitions() == cores
-    assert clustering.spread(points.coalesce(1)).rdd.getNumPartitions() == 1
-    many = points.repartition(cores + 3)
-    assert clustering.spread(many).rdd.getNumPartitions() == cores + 3
+def test_fits_repeat_wherever_the_rows_come_from(spark):
+    rows = spark.range(3000).select(
+        F.col("id"), (F.xxhash64("id") % 1000 / 10).alias("x"), (F.xxhash64("id", "id") % 1000 / 10).alias("y")
+    )
+    for title in TITLES:
+        found = []
+        for parts in (1, 2, 4):
+            result = cluster(rows.repartition(parts), ["x", "y"], title, 4, 10, partitions=4)
+            labels = [r[0] for r in result.labelled.orderBy("id").select("prediction").collect()]
+            found.append((result.quality, labels))
+        assert found[0] == found[1] == found[2]
+
+
+def test_rows_above_a_fit_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(500, numPartitions=3).select(
+        (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 11).cast("double").alias("y")
+    )
+    counted = assemble(df.mapInArrow(count, df.schema), ["x", "y"], keep_input=False)
+    with clustering.held(counted) as vectors:
+        clustering.fit(vectors, fixed.KMEANS, 3, 5)
+        assert vectors.rdd.getNumPartitions() == 3
+    assert seen.value == 500
 
 
 @pytest.mark.parametrize("title", TITLES)

@@ -67,7 +67,7 @@ def test_every_edge(spark, folder):
     profiled = profile_files(
         read_file_sizes(spark, str(folder)), read_lines(spark, str(folder))
     ).collect()
-    assert {row["filename"] for row in profiled} == set(FILES) - {"empty.csv"}
+    assert {row["filename"] for row in profiled} == set(FILES)
     for row in profiled:
         name, text = row["filename"], FILES[row["filename"]]
         filled = [line.strip() for line in text.split("\n") if line.strip()]
@@ -120,36 +120,48 @@ def test_intake_and_catalog(spark, folder):
     paths = {r["filename"]: r["path"] for r in read_file_sizes(spark, str(folder)).collect()}
     uploads = spark.createDataFrame(
         [
-            ("ann", "first", paths["good.csv"]),
-            ("ann", "taken", paths["crlf.csv"]),
-            ("bob", "taken", paths["crlf.csv"]),
-            ("bob", "bad name", paths["missing.csv"]),
-            ("bob", "short", paths["missing.csv"]),
-            ("bob", "nothing", paths["good.csv"].replace("good", "empty")),
-            ("bob", "white", paths["white.csv"]),
-            ("bob", "text", paths["wrong.txt"]),
+            (0, "ann", "first", paths["good.csv"]),
+            (1, "ann", "taken", paths["crlf.csv"]),
+            (2, "bob", "taken", paths["crlf.csv"]),
+            (3, "bob", "bad name", paths["missing.csv"]),
+            (4, "bob", "short", paths["missing.csv"]),
+            (5, "bob", "nothing", paths["empty.csv"]),
+            (6, "bob", "white", paths["white.csv"]),
+            (7, "bob", "text", paths["wrong.txt"]),
+            (8, "bob", "gone", paths["good.csv"].replace("good", "gone")),
+            (9, "cat", "plain", str(folder / "good.csv")),
+            (10, "cat", "slashes", f"file://{folder}/upper.CSV"),
+            (12, "cat", "twice", paths["good.csv"]),
+            (11, "cat", "twice", paths["missing.csv"]),
+            (13, "cat", "twice", paths["crlf.csv"]),
         ],
-        "user string, label string, path string",
+        "seq int, user string, label string, path string",
     )
     known = spark.createDataFrame([("ann", "taken")], "user string, label string")
     result = intake_files(spark, uploads, str(folder), known)
-    errors = {(r["user"], r["label"]): r["error"] for r in result.collect()}
-    assert errors == {
-        ("ann", "first"): None,
-        ("ann", "taken"): fixed.LABEL_TAKEN,
-        ("bob", "taken"): None,
-        ("bob", "bad name"): fixed.LABEL_SPACES,
-        ("bob", "short"): f"{fixed.FILE_SHAPE}3",
-        ("bob", "nothing"): fixed.FILE_EMPTY,
-        ("bob", "white"): fixed.FILE_EMPTY,
-        ("bob", "text"): fixed.FILE_TYPE,
+    assert {r["seq"]: r["error"] for r in result.collect()} == {
+        0: None,
+        1: fixed.LABEL_TAKEN,
+        2: None,
+        3: fixed.LABEL_SPACES,
+        4: f"{fixed.FILE_SHAPE}3",
+        5: fixed.FILE_EMPTY,
+        6: fixed.FILE_EMPTY,
+        7: fixed.FILE_TYPE,
+        8: fixed.FILE_MISSING,
+        9: None,
+        10: None,
+        11: f"{fixed.FILE_SHAPE}3",  # is wrong, so it takes nothing
+        12: None,
+        13: fixed.LABEL_TAKEN,
     }
     events = catalog_events(result)
     assert set(events.columns) == {
         f.name for f in spark.createDataFrame([], DATASET_EVENTS_SCHEMA).schema
     }
     catalog = {(r["user"], r["label"]): r for r in dataset_catalog(events).collect()}
-    assert set(catalog) == {("ann", "first"), ("bob", "taken")}
+    assert {r["seq"] for r in events.collect()} == {0, 2, 9, 10, 12}
+    assert {label for _, label in catalog} == {"first", "taken", "plain", "slashes", "twice"}
     assert catalog["ann", "first"]["lines"] == 2
     assert catalog["bob", "taken"]["headers"] == ["a", "b"]
 
@@ -164,6 +176,44 @@ def test_csv_types_and_spaces(spark, tmp_path):
     assert [tuple(r) for r in read_csv(spark, str(tmp_path / "out")).collect()] == [("ann", 42)]
 
 
+def test_shape_does_not_depend_on_how_the_scan_is_split(spark, tmp_path):
+    """The splits may change between planning and reading, and from one scan to another."""
+    for name in "ab":
+        lines = ["x,y"] + [["1,2", "", "  "][k % 3] for k in range(400)] + ["3"]
+        (tmp_path / f"{name}.csv").write_text("\n".join(lines))
+    wanted = expected_bad_line((tmp_path / "a.csv").read_text())
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        spark.conf.set("spark.sql.files.minPartitionNum", 4)
+        shapes = check_shape(read_lines(spark, str(tmp_path)))
+        spark.conf.set("spark.sql.files.minPartitionNum", 7)
+        assert [r["bad_line"] for r in shapes.collect()] == [wanted] * 2
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
+def test_csv_keeps_texts(spark, tmp_path):
+    rows = [(1, " a ", 'x "y" z'), (2, "", "q,r"), (3, None, '\\ back"'), (4, "\t", '""')]
+    frame = spark.createDataFrame(rows, "i int, t string, u string")
+    path = str(tmp_path / "texts")
+    write_csv(frame, path)
+    assert sorted(map(tuple, read_csv(spark, path).collect())) == rows
+    broken = spark.createDataFrame([(1, "a\nb"), (2, 'c\r\n"d"')], "i int, t string")
+    with pytest.raises(PySparkException, match="line break"):
+        write_csv(broken, path)
+    write_csv(broken, path, multi_line=True)
+    assert sorted(map(tuple, read_csv(spark, path, multi_line=True).collect())) == [(1, "a\nb"), (2, 'c\r\n"d"')]
+
+
+@pytest.mark.parametrize("text", ["a,b\n1,2\n3,4,5\n", "a,b\n1,2\n3\n"])
+def test_malformed_rows_are_refused(spark, tmp_path, text):
+    (tmp_path / "m.csv").write_text(text)
+    for schema in (None, "a int, b int"):
+        with pytest.raises(Exception, match="m.csv"):
+            read_csv(spark, str(tmp_path / "m.csv"), schema).collect()
+
+
 def test_missing_path_is_an_error(spark, tmp_path):
     with pytest.raises(PySparkException):
         read_csv(spark, str(tmp_path / "nothing"))

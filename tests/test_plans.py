@@ -2,7 +2,7 @@
 
 import pytest
 
-from coterie.operators.profile import _splits, _shaped, metadata
+from coterie.operators.profile import _splits, check_shape
 from coterie.operators.runs import run_states
 from coterie.sources.files import read_lines
 from coterie.workload import QUERIES
@@ -52,10 +52,21 @@ def test_grid_expands_in_place(spark):
 
 def test_shape_check_aggregates_lines_by_hash(spark, tmp_path):
     (tmp_path / "a.csv").write_text("a,b\n1,2\n")
-    text = plan(_splits(_shaped(read_lines(spark, str(tmp_path)))))
+    text = plan(_splits(read_lines(spark, str(tmp_path))))
     lowest = text[text.rindex("Window") :]
     assert "HashAggregate" in lowest and "SortAggregate" not in lowest
-    assert "Join" not in plan(metadata(read_lines(spark, str(tmp_path))))
+    assert "SortAggregate" not in plan(check_shape(read_lines(spark, str(tmp_path))))
+
+
+def test_synthetic_table_is_reduced_before_its_shuffle(spark):
+    frame = QUERIES["synthetic_table"](spark, SF)
+    text = frame._jdf.queryExecution().toString()
+    assert "count(distinct" not in text and "Expand" not in text
+
+
+def test_look_up_adds_no_copies(spark):
+    text = plan(QUERIES["label_rule"](spark, SF))
+    assert "Generate" not in text
 
 
 def test_fold_is_one_shuffle_with_partial_results(spark):

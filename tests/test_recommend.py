@@ -16,11 +16,11 @@ NAMES = recommend.NAMES
 NAN = float("nan")
 
 
-def ledger(spark, triples, key=lambda i: (10, 2, 1, 80, 10 + i, 3)):
+def ledger(spark, triples, key=lambda i: (10, 2, 1, 80, 10 + i, 3), run=lambda i: "run"):
     rows = []
     for i, (speeds, costs) in enumerate(triples):
         for name, speed, cost in zip(NAMES, speeds, costs):
-            rows.append((*key(i), float(speed), float(cost), name))
+            rows.append((*key(i), float(speed), float(cost), name, run(i)))
     return spark.createDataFrame(rows, fixed.LEDGER_SCHEMA)
 
 
@@ -52,6 +52,18 @@ def test_larger_wins_and_run_id(spark):
     assert [r["BestByAccuracy"] for r in rows] == [NAMES[1], NAMES[0]]
 
 
+def test_points_without_one_row_of_each_get_no_label(spark):
+    whole = ledger(spark, [((1, 2, 3), (3, 2, 1))] * 4)
+    lacks = whole.filter("not (RecordCount = 11 and Algorithm = 'GaussianMixture')")
+    twice = whole.filter("RecordCount = 12 and Algorithm = 'KMeans'").withColumn("ExecutionSpeed", F.lit(9.0))
+    other_run = whole.filter("RecordCount = 13").withColumn("run_id", F.lit("other"))
+    both = lacks.unionByName(twice).unionByName(other_run)
+    labels = [(r["RecordCount"], r["run_id"], r["BestBySpeed"]) for r in recommend.training_set(both).collect()]
+    assert sorted(labels) == [(10, "run", NAMES[0]), (13, "other", NAMES[0]), (13, "run", NAMES[0])]
+    left_out = recommend.incomplete(both).orderBy("RecordCount").collect()
+    assert [(r["RecordCount"], r["run_id"]) for r in left_out] == [(11, "run"), (12, "run")]
+
+
 def test_split_is_stable(spark):
     frame = recommend.training_set(ledger(spark, [((1, 2, 3), (3, 2, 1))] * 1000))
     train, test = recommend.split(frame)
@@ -68,7 +80,7 @@ def test_models_with_a_class_that_never_wins(spark, tmp_path):
         return 10, 2 + i % 4, 1 + i % 5, 80, 100 + i % 10, 3 + i % 7
 
     triples = [((1, 2, 3) if i % 4 < 2 else (2, 1, 3), (1, 1, 0)) for i in range(700)]
-    models, test = train_recommender(ledger(spark, triples, key), trees=10, max_depth=8)
+    models, test = train_recommender(ledger(spark, triples, key, str), trees=10, max_depth=8)
     scores = models.evaluate(test).first()
     assert scores["speed"] == 1.0 and scores["accuracy"] == 1.0
     models.save(str(tmp_path / "models"))
@@ -117,13 +129,29 @@ def test_sweep_resumes_after_a_gap(spark, tmp_path):
     assert rows.filter("RecordCount = 30").count() == 6
     assert {r["ByteSize"] for r in rows.filter("RecordCount = 30").collect()} == {30 * 4 * 8}
     assert all(math.isfinite(r["Accuracy"]) for r in rows.collect())
+    # the interrupted point was swept again; what was left of it is not mixed in
+    assert recommend.training_set(rows).count() == 4
+    assert recommend.incomplete(rows).count() == 1
+
+
+def test_few_rows_make_one_file_and_ledgers_compact(spark, tmp_path):
+    from coterie.sources.ledgers import compact
+
+    path, target = str(tmp_path / "ledger"), str(tmp_path / "compacted")
+    for i in range(3):
+        append_sweep(ledger(spark, [((1, 2, 3), (1, 2, 3))], lambda _: (10, 2, 1, 80, i, 3)), path)
+    assert len(read_sweep(spark, path).inputFiles()) == 3
+    compact(spark, path, fixed.LEDGER_SCHEMA, target)
+    assert len(spark.read.parquet(target).inputFiles()) == 1
+    names = read_sweep(spark, path).columns
+    assert read_sweep(spark, path).exceptAll(read_sweep(spark, target).select(names)).count() == 0
 
 
 def test_ledger_csv_files(spark, tmp_path):
     frames = [ledger(spark, [((1, 2, 3), (1, 2, 3))] * w) for w in (1, 2)]
     paths = [str(tmp_path / f"ledger-{i}") for i in range(2)]
     for frame, path in zip(frames, paths):
-        write_csv(frame, path)
+        write_csv(frame.drop("run_id"), path)
     assert read_sweep_csv(spark, paths).count() == 9
 
 

@@ -1,3 +1,4 @@
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -101,22 +102,65 @@ def test_request_rules_in_order(spark):
         (("u", "d", "10", *good[3:]), None),
         (("u", "d", "1", *good[3:]), "At least 2 clusters are required"),
         ((*good[:6], "9", 2), "At least 10 iterations are required"),
+        ((*good[:3], "DBSCAN", *good[4:]), fixed.REQUEST_ALGORITHM_UNKNOWN),
         ((*good[:4], '["a","z"]', "run1", "10", 2), "Features must be headers of the dataset"),
         ((*good[:7], 0), "No worker is available"),
+        ((*good[:7], None), "No worker is available"),
+    ]
+    # labels that are right are told apart, as a batch takes each only once
+    cases = [
+        ((*case[:5], f"run1x{i}" if case[5] == "run1" else case[5], *case[6:]), error)
+        for i, (case, error) in enumerate(cases)
     ]
     requests = spark.createDataFrame(
         [(i, *case) for i, (case, _) in enumerate(cases)],
-        "i int, user string, dataset_label string, clusters string, algorithm string, "
+        "seq int, user string, dataset_label string, clusters string, algorithm string, "
         "headers string, cluster_label string, max_iterations string, workers int",
     )
     catalog = spark.createDataFrame(
         [("u", "d", 10, ["a", "b", "c"])], "user string, label string, lines bigint, headers array<string>"
     )
     runs = spark.createDataFrame([("u", "old"), ("u", "old"), ("v", "run1")], "user string, label string")
-    checked = check_requests(requests, catalog, runs).orderBy("i").collect()
+    checked = check_requests(requests, catalog, runs).orderBy("seq").collect()
     assert [r["error"] for r in checked] == [error for _, error in cases]
-    unbounded = check_requests(requests, catalog, runs, form_bounds=False).orderBy("i").collect()
-    assert [r["error"] for r in unbounded[-4:]] == [None] * 4
+    unbounded = check_requests(requests, catalog, runs, form_bounds=False).orderBy("seq").collect()
+    assert [r["error"] for r in unbounded[-6:]] == [None] * 6
+
+
+REQUESTS = (
+    "seq int, user string, dataset_label string, clusters string, algorithm string, "
+    "headers string, cluster_label string, max_iterations string, workers int"
+)
+
+
+def test_requests_of_one_batch_and_nulls(spark):
+    good = ("u", "d", "3", "K-means", '["a","b"]', "run1", "10", 2)
+    rows = [
+        (5, *good),  # comes after the valid one below
+        (3, *good[:6], "0", 2),  # wrong by itself, but the label is taken first
+        (1, *good[:6], "0", 2),  # wrong by itself, takes nothing
+        (2, *good),
+        (4, "v", *good[1:]),  # another user's
+        (6, *good[:4], '["a","a"]', "run2", "10", 2),
+        (7, "u", "bare", *good[2:5], "run3", "10", 2),
+        (8, "u", "wide", *good[2:5], "run4", "10", 2),
+    ]
+    catalog = spark.createDataFrame(
+        [("u", "d", 10, ["a", "b"]), ("v", "d", 10, ["a", "b"]), ("u", "bare", None, ["a", "b"]), ("u", "wide", 10, None)],
+        "user string, label string, lines bigint, headers array<string>",
+    )
+    runs = spark.createDataFrame([], "user string, label string")
+    checked = check_requests(spark.createDataFrame(rows, REQUESTS).repartition(3), catalog, runs)
+    assert {r["seq"]: r["error"] for r in checked.collect()} == {
+        1: fixed.REQUEST_MAX_ITERATIONS,
+        2: None,
+        3: fixed.REQUEST_LABEL_TAKEN,
+        4: None,
+        5: fixed.REQUEST_LABEL_TAKEN,
+        6: fixed.REQUEST_FEATURES,
+        7: fixed.REQUEST_ROWS,
+        8: "Features must be headers of the dataset",
+    }
 
 
 def test_stream_ends_where_the_batch_does(spark, tmp_path):
@@ -132,18 +176,30 @@ def test_stream_ends_where_the_batch_does(spark, tmp_path):
     assert keep_listing(run_event_stream(spark, path), out, checkpoint) is None
 
 
-def test_hot_key_is_dealt_out(spark):
+def test_listing_keeps_two_folders_and_forgets_deleted_runs(spark, tmp_path):
+    path, out, checkpoint = (str(tmp_path / name) for name in ("ledger", "listing", "state"))
+    events = random_events(60) + [
+        {"user": "u", "label": label, "at": datetime(2025, 1, 1), "seq": 1, "action": "delete"}
+        for label in ("r0", "r1", "r2")
+    ]
+    for start in range(0, len(events), 16):
+        append(events_frame(spark, events[start : start + 16]), path)
+        batch = keep_listing(run_event_stream(spark, path), out, checkpoint)
+    kept = spark.read.parquet(f"{out}/{batch}")
+    assert {r["label"] for r in kept.collect()} == set(literal_fold(events))
+    assert sorted(name for name in os.listdir(out) if name.isdigit()) == sorted([str(batch - 1), str(batch)])
+
+
+def test_hot_key_is_split(spark):
+    """Both sides are shuffled for the join alone, which adaptive execution can split."""
     requests = spark.range(3000).select(
         F.lit("u").alias("user"), F.lit("d").alias("label"), F.col("id")
     )
     known = spark.createDataFrame([("u", "d"), ("v", "d")], "user string, label string")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
-    spark.conf.set("spark.sql.adaptive.enabled", False)
     try:
         found = with_existence(requests, known, {"user": "user", "label": "label"}, "found")
-        sizes = found.groupBy(F.spark_partition_id()).count().collect()
         assert found.filter("found").count() == 3000
-        assert len(sizes) > 1 and max(r["count"] for r in sizes) < 2500
+        assert "CartesianProduct" not in found._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.unset("spark.sql.adaptive.enabled")
