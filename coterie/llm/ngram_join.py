@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from coterie.llm.components import components
 from coterie.llm.tables import stage, utf8
 
-CELL_BITS = 24  # of the sketch that orders shingles by frequency: 16 MB when broadcast
-PART_BITS = 18
+CELL_BITS = 26  # of the sketch that orders shingles by frequency: 32 MB when broadcast
+PART_BITS = 20
 ROUNDS = 2
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -52,55 +52,72 @@ def shingles(text: bytes, size: int) -> np.ndarray:
 
 
 def cells(hashes: np.ndarray) -> np.ndarray:
-    return (hashes & np.uint64((1 << CELL_BITS) - 1)).astype(np.int64)
+    return (hashes & np.uint64((1 << CELL_BITS) - 1)).astype(np.uint32)
 
 
 def count_cells(size: int) -> Callable:
-    """How many documents of a task have a shingle in each cell, in compressed parts."""
+    """How many documents of a task have a shingle in each cell: steps between the cells
+    of a part that have any, and their counts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << CELL_BITS, np.uint32)
+        seen = [np.empty(0, np.uint32)]
         for batch in batches:
-            for text in utf8(batch.column(0)):
-                np.add.at(total, cells(shingles(text, size)), np.uint32(1))
-        for part, values in enumerate(total.reshape(-1, 1 << PART_BITS)):
-            most = int(values.max())
-            if most:
-                narrow = values.astype(np.uint8 if most < 256 else np.uint32)
+            seen += [cells(shingles(text, size)) for text in utf8(batch.column(0))]
+        found, counts = np.unique(np.concatenate(seen), return_counts=True)
+        ends = np.searchsorted(found >> np.uint32(PART_BITS), np.arange(1, (1 << CELL_BITS - PART_BITS) + 1))
+        begin = 0
+        for part, end in enumerate(ends.tolist()):
+            if end > begin:
+                steps = np.diff(found[begin:end] & np.uint32((1 << PART_BITS) - 1), prepend=np.uint32(0))
                 yield pa.RecordBatch.from_pydict(
-                    {"part": pa.array([part], pa.int32()), "data": [zlib.compress(narrow.tobytes(), 1)]}
+                    {
+                        "part": pa.array([part], pa.int32()),
+                        "steps": [squeeze(steps)],
+                        "counts": [squeeze(counts[begin:end])],
+                    }
                 )
+            begin = end
 
     return count
 
 
+def squeeze(values: np.ndarray) -> bytes:
+    """In the fewest bytes each that hold the largest, compressed; the first byte says how many."""
+    width = next(w for w in (1, 2, 4, 8) if int(values.max(initial=0)) < 1 << 8 * w)
+    return bytes([width]) + zlib.compress(values.astype(f"<u{width}").tobytes(), 1)
+
+
+def expand(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data[1:]), f"<u{data[0]}")
+
+
 def sum_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the parts up and keeps an eighth of a power of two of each count."""
+    """Adds the parts up and keeps half a power of two of each count, in four bits."""
     totals: dict[int, np.ndarray] = {}
     for batch in batches:
         for row in batch.to_pylist():
-            data = zlib.decompress(row["data"])
-            kind = np.uint8 if len(data) == 1 << PART_BITS else np.uint32
-            total = totals.setdefault(row["part"], np.zeros(1 << PART_BITS, np.uint64))
-            total += np.frombuffer(data, kind)
+            total = totals.setdefault(row["part"], np.zeros(1 << PART_BITS, np.uint32))
+            counts = np.minimum(expand(row["counts"]).astype(np.uint64), 1 << 16).astype(np.uint32)
+            total[np.cumsum(expand(row["steps"]), dtype=np.int64)] += counts
     for part, total in totals.items():
-        level = np.minimum(255, 8 * np.log2(np.maximum(total, 1))).astype(np.uint8)
+        level = np.minimum(15, 2 * np.log2(np.maximum(total, 1))).astype(np.uint8)
+        packed = level[::2] | level[1::2] << 4
         yield pa.RecordBatch.from_pydict(
-            {"part": pa.array([part], pa.int32()), "data": [zlib.compress(level.tobytes(), 1)]}
+            {"part": pa.array([part], pa.int32()), "data": [zlib.compress(packed.tobytes(), 1)]}
         )
 
 
 def frequency_levels(texts: DataFrame, size: int) -> np.ndarray:
-    """A frequency level for each cell, over all rows. Its size does not grow."""
+    """A frequency level for each cell, over all rows, two to a byte. It does not grow."""
     found = (
-        texts.mapInArrow(count_cells(size), "part int, data binary")
+        texts.mapInArrow(count_cells(size), "part int, steps binary, counts binary")
         .repartition("part")
         .mapInArrow(sum_cells, "part int, data binary")
     )
-    levels = np.zeros(1 << CELL_BITS, np.uint8)
+    levels = np.zeros(1 << CELL_BITS - 1, np.uint8)
     for row in found.toLocalIterator():
-        begin = row.part << PART_BITS
-        levels[begin : begin + (1 << PART_BITS)] = np.frombuffer(zlib.decompress(row.data), np.uint8)
+        part = np.frombuffer(zlib.decompress(row.data), np.uint8)
+        levels[row.part * len(part) : (row.part + 1) * len(part)] = part
     return levels
 
 
@@ -108,7 +125,9 @@ def prefix(hashes: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
     """The first shingles in the common order: level first, then hash."""
     n = len(hashes)
     length = n - (percent * n + 99) // 100 + 1
-    order = (levels[cells(hashes)].astype(np.uint64) << np.uint64(56)) | (hashes >> np.uint64(8))
+    cell = cells(hashes)
+    level = levels[cell >> np.uint32(1)] >> (cell & np.uint32(1)).astype(np.uint8) * np.uint8(4) & np.uint8(15)
+    order = (level.astype(np.uint64) << np.uint64(60)) | (hashes >> np.uint64(4))
     if length < n:
         order = np.partition(order, length - 1)[:length]
     return np.sort(order).view(np.int64)
