@@ -22,7 +22,7 @@ from coterie.llm.tables import free_name, stage, utf8
 from coterie.llm.word_tokens import WORD_BPE, word_encoder
 
 GROUP_ROWS = 8192  # pieces a group holds, about
-OPENED = 32  # sequences a group hands to the next level at most
+OPENED = 128  # sequences a group hands to the next level at most
 PASSES = 8  # of the local search
 
 
