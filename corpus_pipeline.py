@@ -40,13 +40,14 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near copies.
 
     Near copies share 0.8 or more of their five-word shingles. Documents without words
-    are no copies of each other.
+    are no copies of each other. Rows without a doc_id stay, but for exact repeats, as do
+    rows that share one without sharing their text.
     """
     ship(spark)
     linked = link_documents(docs, size=5, percent=80)
     other = free_name(docs, "kept_id")
-    ids = linked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(other))
-    kept = docs.join(ids, docs["doc_id"].eqNullSafe(ids[other]), "left_semi")
+    copies = linked.where("doc_id <> component_id").select(F.col("doc_id").alias(other))
+    kept = docs.join(copies, docs["doc_id"] == copies[other], "left_anti")
     return kept.dropDuplicates(["doc_id", "text"])
 
 

@@ -24,10 +24,10 @@ BUCKETS = 1 << 20
 STEM = 4  # letters of a word's beginning
 TRAIN_ROWS = 24_000  # labelled rows the fit takes at most
 INPUTS = 2048  # buckets that become inputs at most
-LEAST_Z, LEAST_ODDS = 6.0, 1.5  # how different a bucket must be: z score, log odds
+LEAST_Z, LEAST_ODDS = 6.0, 1.2  # how different a bucket must be: z score, log odds
 FACTORS = 4
 EPOCHS, BATCH, RATE = 16, 256, 0.05
-DECAY = (0.0, 0.01, 0.2)  # of the bias, the weights and the factors, for each unit of RATE
+DECAY = (0.0, 0.01, 0.5)  # of the bias, the weights and the factors, for each unit of RATE
 SEED = 3
 MEMO = 1 << 19
 LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
