@@ -18,8 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coterie.llm.tables import free_name, stage, utf8
-from coterie.llm.word_tokens import WORD_BPE, word_encoder
+from coterie.llm.tables import blocks, free_name, stage, utf8
+from coterie.llm.word_tokens import BLOCK_BYTES, WORD_BPE, word_encoder
 
 GROUP_ROWS = 8192  # pieces a group holds, about
 OPENED = 128  # sequences a group hands to the next level at most
@@ -197,14 +197,21 @@ def spread(count: int, begin: int) -> np.ndarray:
     return (x >> np.uint64(1)).astype(np.int64)
 
 
+def text_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    for batch in batches:
+        texts = utf8(batch.column(1))
+        for part in blocks([len(text) for text in texts], BLOCK_BYTES):
+            yield batch.slice(part.start, part.stop - part.start), texts[part]
+
+
 def cut(path: str, end_id: int, capacity: int) -> Callable:
     tail = np.array([end_id], "<u4").tobytes()
     width = 4 * capacity
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen = word_encoder(path), 0
-        for batch in batches:
-            ids = [one + tail for one in encoder.encode(utf8(batch.column(1)))]
+        for batch, texts in text_blocks(batches):
+            ids = [one + tail for one in encoder.encode(texts)]
             parts = [
                 (row, k, one[k * width : (k + 1) * width])
                 for row, one in enumerate(ids)

@@ -22,12 +22,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from coterie.llm.tables import stage, utf8
-from coterie.llm.word_tokens import WORD_BPE, word_encoder
+from coterie.llm.tables import blocks, stage, utf8
+from coterie.llm.word_tokens import BLOCK_BYTES, WORD_BPE, word_encoder
 
 BLOCK_IDS = 1 << 18  # a block is closed when it has so many ids
 SHIFTS = np.array([0, 2, 4, 6], np.uint8)
@@ -75,13 +76,16 @@ def encode_ids(path: str, end_id: int, kind: str) -> Callable:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(path)
         for batch in batches:
-            ids = [one + tail for one in encoder.encode(utf8(batch.column(1)))]
-            flat = np.frombuffer(b"".join(ids), "<u4").astype(kind).tobytes()
-            width = np.dtype(kind).itemsize
-            at = np.cumsum([0, *(len(one) // 4 * width for one in ids)])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(cut(flat, at), pa.binary())], names=["doc_id", "ids"]
-            )
+            texts = utf8(batch.column(1))
+            for part in blocks([len(text) for text in texts], BLOCK_BYTES):
+                ids = [one + tail for one in encoder.encode(texts[part])]
+                flat = np.frombuffer(b"".join(ids), "<u4").astype(kind).tobytes()
+                width = np.dtype(kind).itemsize
+                at = np.cumsum([0, *(len(one) // 4 * width for one in ids)])
+                rows = batch.column(0).slice(part.start, part.stop - part.start)
+                yield pa.RecordBatch.from_arrays(
+                    [rows, pa.array(cut(flat, at), pa.binary())], names=["doc_id", "ids"]
+                )
 
     return encode
 
@@ -103,6 +107,14 @@ def count_ids(kind: str) -> Callable:
     return count
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in smaller batches, as what is worked out of them takes several times their size."""
+    for batch in batches:
+        lengths = pc.binary_length(batch.column(1)).to_pylist()
+        for part in blocks(lengths, BLOCK_IDS):
+            yield batch.slice(part.start, part.stop - part.start)
+
+
 def rank_ids(rank_of, bounds, kind: str) -> Callable:
     """(shard, doc_id, n, control, data) of (doc_id, ids).
 
@@ -112,7 +124,7 @@ def rank_ids(rank_of, bounds, kind: str) -> Callable:
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, edges = rank_of.value, bounds.value
-        for batch in batches:
+        for batch in slices(batches):
             rows = batch.column(1).to_pylist()
             flat = np.frombuffer(b"".join(rows), kind)
             counts = np.array([len(one) for one in rows], np.int64) // np.dtype(kind).itemsize

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import os
+import string
 
 import numpy as np
 import public_tokenizers
@@ -17,9 +18,10 @@ from tokenizers import Tokenizer
 from coterie.llm.tables import blocks
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
-MOST_WORDS = 600_000  # of each of the memo's two generations
+MOST_WORDS = 400_000  # of each of the memo's two generations
 BLOCK_BYTES = 4 << 20
 RUN = 256  # words encoded in one go, with a mark between them
+POINTS = b".,!?;:"
 MARK = "\x01"  # a word of its own, which no other word's ids hold
 
 
@@ -31,6 +33,11 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
+        small, large = (
+            self.tokenizer.encode(letters, add_special_tokens=False).ids
+            for letters in (string.ascii_lowercase, string.ascii_uppercase)
+        )
+        self.folds = small == large
         self.memo: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -50,24 +57,44 @@ class WordEncoder:
             out += [flat[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(flat)])]
         return out
 
+    def known(self, words: set[bytes]) -> set[bytes]:
+        """Brings what the older generation has over; returns the words neither has."""
+        new = words.difference(self.memo)
+        found = {word: ids for word in new if (ids := self.old.get(word)) is not None}
+        self.memo.update(found)
+        return new.difference(found)
+
     def learn(self, words: set[bytes]) -> None:
         if len(self.memo) > MOST_WORDS:
             self.memo, self.old = {}, self.memo
-        new = words.difference(self.memo)
-        known = {word: ids for word in new if (ids := self.old.get(word)) is not None}
-        self.memo.update(known)
-        new.difference_update(known)
+        new = self.known(words)
+        split = {}
+        for word in new:
+            core = word.rstrip(POINTS)
+            # a merge never crosses from a letter or digit to a point
+            if core != word and core[-1:].isalnum() and b"<" not in core:
+                split[word] = core
+        new = self.known(new.difference(split).union(split.values(), (w[len(c) :] for w, c in split.items())))
         mark = MARK.encode()
         odd = [word for word in new if mark in word] if self.mark is not None else list(new)
         rest = list(new.difference(odd))
         self.memo.update(zip(odd, self.encode_words(odd), strict=True))
         self.memo.update(zip(rest, self.encode_runs(rest), strict=True))
+        memo = self.memo
+        memo.update((word, memo[core] + memo[word[len(core) :]]) for word, core in split.items())
+
+    def folded(self, text: bytes) -> bytes:
+        """With A-Z lowered, if the vocabulary does so in any case. A capital before a
+        combining mark (lead bytes CC and CD) may not compose as its small letter does, and
+        capitals in special strings make them ordinary text."""
+        safe = self.folds and b"\xcc" not in text and b"\xcd" not in text and b"<|" not in text
+        return text.lower() if safe else text
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """``bytes.split`` parts at ASCII white space, which the vocabulary drops."""
         out = []
         for block in blocks([len(text) for text in texts], BLOCK_BYTES):
-            words = [text.split() for text in texts[block]]
+            words = [self.folded(text).split() for text in texts[block]]
             self.learn(set().union(*words))
             out += [b"".join(map(self.memo.__getitem__, one)) for one in words]
         return out
