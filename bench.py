@@ -37,6 +37,12 @@ HEADLINE = [
     "request_rule",
     "run_state",
     "csv_round_trip",
+    "csv_text_round_trip",
+    "csv_files_check",
+    "training_labels_csv",
+    "forest_accuracy",
+    "algorithm_benchmark",
+    "sweep_synthetic",
 ]
 RUNS = 2
 
