@@ -133,8 +133,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine:
     """Fits on at most ``rows`` labelled documents, chosen by a hash of their id.
 
-    ``labels`` has doc_id and label (0 or 1; other rows do not count). Their texts'
-    buckets go to one task, which is bounded by ``rows``; the model comes back.
+    ``labels`` has doc_id and label (0 or 1; other rows do not count). Texts are read and
+    hashed by all tasks of the scan; only the chosen ones' distinct buckets go to the one
+    task that fits. Where rows share a doc_id and that makes more than ``rows``, they
+    are chosen by a hash of their buckets. The model comes back.
     """
     chosen = (
         labels.where("label in (0, 1) and doc_id is not null")
@@ -146,16 +148,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [buckets(text).astype("<i4").tobytes() for text in utf8(batch.column(1))]
+            found = [buckets(text).astype("<i4").tobytes() for text in utf8(batch.column(0))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(found, pa.binary())],
-                names=["doc_id", "label", "buckets"],
+                [batch.column(1), pa.array(found, pa.binary())], names=["label", "buckets"]
             )
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # copies of a text count once, or what they hold by chance becomes evidence
-        kept = {(row["buckets"], row["label"]): row for b in batches for row in b.to_pylist()}
-        rows = list(kept.values())
+        rows = [row for b in batches for row in b.to_pylist()]
         rows.sort(key=lambda row: (xxhash.xxh3_64_intdigest(row["buckets"]), row["label"]))
         model = fit(
             [np.frombuffer(row["buckets"], "<i4").astype(np.int64) for row in rows],
@@ -170,14 +169,19 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
             }
         )
 
-    id_type = docs.schema["doc_id"].dataType.simpleString()
     row = (
-        texts.select("doc_id", "text", "label")
-        .mapInArrow(extract, f"doc_id {id_type}, label int, buckets binary")
-        .coalesce(1)
+        texts.select("text", "label")
+        .mapInArrow(extract, "label int, buckets binary")
+        # copies of a text count once, or what they hold by chance becomes evidence
+        .distinct()
+        .orderBy(F.xxhash64("buckets"), "buckets", "label")
+        .limit(rows)
+        .repartition(1)
         .mapInArrow(learn, "bias double, inputs binary, weights binary, factors binary")
         .first()
     )
+    if row is None:  # no labelled rows, no task
+        return fit([], np.empty(0))
     return Machine(
         row.bias,
         np.frombuffer(row.inputs, np.int64),

@@ -83,3 +83,28 @@ def test_little_to_learn_from(spark, labels):
     known = spark.createDataFrame(labels, "doc_id long, toxic int")
     assert [0 <= r.score <= 1 for r in toxicity.classify(docs, known).collect()] == [True, True]
     assert toxicity.classify(docs.where("false"), known).collect() == []
+
+
+def test_reading_is_parallel_and_the_fit_bounded(spark, tmp_path, monkeypatch):
+    """Every partition's texts are hashed in a task of their own; a shared id adds no rows."""
+    buckets, fit = toxicity.buckets, toxicity.fit
+
+    def noted_buckets(text):
+        from pyspark import TaskContext
+
+        (tmp_path / f"task-{TaskContext.get().taskAttemptId()}").touch()
+        return buckets(text)
+
+    def noted_fit(rows, labels):
+        (tmp_path / "rows").write_text(str(len(rows)))
+        return fit(rows, labels)
+
+    monkeypatch.setattr(toxicity, "buckets", noted_buckets)
+    monkeypatch.setattr(toxicity, "fit", noted_fit)
+    rng = random.Random(4)
+    rows = [(7 if k % 2 else k, " ".join(rng.choices(PLAIN, k=8)), "x", 0, 0) for k in range(1200)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 6), frame(spark, rows[:1]).schema)
+    labels = spark.createDataFrame([(k, k % 4 // 2) for k in range(0, 1200, 2)] + [(7, 1)], "doc_id long, label int")
+    toxicity.train(docs, labels, rows=300)
+    assert len(list(tmp_path.glob("task-*"))) == 6
+    assert int((tmp_path / "rows").read_text()) == 300
