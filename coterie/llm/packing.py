@@ -50,6 +50,18 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
+def two_of_each(items: list[int], lengths: list[int]) -> list[int]:
+    """The first two of each length; no exchange of others brings more."""
+    seen: dict[int, int] = {}
+    kept = []
+    for item in items:
+        size = lengths[item]
+        seen[size] = seen.get(size, 0) + 1
+        if seen[size] <= 2:
+            kept.append(item)
+    return kept
+
+
 def best_exchange(taker: list[int], giver: list[int], lengths: list[int], room: int):
     """The exchange that brings the taker most, at most ``room``: (gain, out, in).
 
@@ -57,6 +69,7 @@ def best_exchange(taker: list[int], giver: list[int], lengths: list[int], room:
     """
     best = (0, (), ())
     order = sorted(giver, key=lengths.__getitem__)
+    taker = two_of_each(taker, lengths)
     sizes = [lengths[k] for k in order]
 
     def offer(out: tuple, size: int) -> None:
@@ -121,12 +134,22 @@ def pack_lengths(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 
 
 def pack_group(capacity: int, level: int, last: bool, names: dict[str, str]) -> Callable:
-    """Packs one group; all but ``last`` leave their emptiest sequences open."""
+    """Packs one group; all but ``last`` leave their emptiest sequences open.
+
+    Those hold half of the group's pieces at most, so every level has at most half as
+    many rows as the one before, whatever the lengths.
+    """
 
     def pack(group: pa.Table) -> pa.Table:
         lengths = group.column(names["length"]).to_numpy().astype(np.int64)
         bins = pack_lengths(lengths, capacity)
         bins.sort(key=lambda one: -int(lengths[one].sum()))
+        begin, handed = len(bins), 0  # where the open ones begin, and their pieces
+        while begin and not last and len(bins) - begin < OPENED:
+            handed += len(bins[begin - 1])
+            if 2 * handed > len(lengths):
+                break
+            begin -= 1
         number = group.column(names["group"])[0].as_py()
         sequence = np.empty(len(lengths), np.int64)
         offset = np.empty(len(lengths), np.int64)
@@ -135,7 +158,7 @@ def pack_group(capacity: int, level: int, last: bool, names: dict[str, str]) ->
             part = lengths[one]
             sequence[one] = (level << 58) + (number << 20) + k
             offset[one] = np.cumsum(part) - part
-            opened[one] = not last and k >= len(bins) - OPENED and part.sum() < capacity
+            opened[one] = k >= begin and part.sum() < capacity
         for name, values in (("sequence", sequence), ("offset", offset), ("opened", opened)):
             at = group.schema.get_field_index(names[name])
             group = group.set_column(at, names[name], pa.array(values))
@@ -150,8 +173,9 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096, group_rows: int = GROUP
     All columns stay; an input column of either name is replaced. ``deal`` is the
     column that says which group a row goes to: an evenly spread number, whatever the
     rows hold (``token_pieces`` gives one). Sequences hold no two rows at one place and
-    leave no gap. An empty table stays empty. A group has about ``group_rows`` rows, so
-    memory is bounded; each level packs only what the one before left open.
+    leave no gap. An empty table stays empty. A group has about ``group_rows`` rows on
+    every level, so memory is bounded; each level packs only what the one before left
+    open, at most half of its rows.
     """
     kept = pieces.drop("sequence_id", "offset")
     names = {"length": "length"}
@@ -180,9 +204,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096, group_rows: int = GROUP
         if groups == 1:
             break
         kept = packed.where(names["opened"]).select(kept.columns)
-        before, rows, level = rows, kept.count(), level + 1
-        if rows > before // 2:  # nothing to gain: as many groups again would not shrink
-            group_rows = max(group_rows, rows)
+        rows, level = kept.count(), level + 1
     return done.withColumnsRenamed(
         {names["sequence"]: "sequence_id", names["offset"]: "offset"}
     ).drop(names["group"], names["opened"])

@@ -226,3 +226,39 @@ def test_byte_bpe_of_odd_texts(monkeypatch):
     found = coder.encode(texts)
     assert [np.frombuffer(one, "<u4").tolist() for one in found] == [encoding.encode_ordinary(t) for t in texts]
     assert coder.decode(found) == [t.encode() for t in texts]
+
+
+def test_packing_of_short_equal_pieces_keeps_groups_bounded(spark, tmp_path, monkeypatch):
+    """A level that opens all it packed still hands on half of its rows at most."""
+    pack_lengths = packing.pack_lengths
+
+    def noted(lengths, capacity):
+        (tmp_path / f"{len(lengths)}-{random.random()}").touch()
+        return pack_lengths(lengths, capacity)
+
+    monkeypatch.setattr(packing, "pack_lengths", noted)
+    pieces = spark.range(6000).select(
+        F.lit(30).cast("long").alias("length"), F.col("id").alias("deal"), F.col("id").alias("n")
+    )
+    found = packing.pack_pieces(pieces, 4096, group_rows=300).collect()
+    sizes = [int(one.name.split("-")[0]) for one in tmp_path.iterdir()]
+    assert max(sizes) <= 300 and sum(sizes) <= 2 * 6000
+    assert sorted(r.n for r in found) == list(range(6000))
+    places = defaultdict(list)
+    for row in found:
+        places[row.sequence_id].append(row.offset)
+    assert all(sorted(one) == [30 * k for k in range(len(one))] for one in places.values())
+    assert max(map(len, places.values())) == 136 and len(places) <= 47
+
+
+def test_exchanges_ignore_further_equal_lengths():
+    rng = random.Random(6)
+    for _ in range(300):
+        lengths = [rng.choice([3, 5, 7, 11, 20]) for _ in range(24)]
+        taker, giver = list(range(14)), list(range(14, 24))
+        room = rng.randrange(1, 12)
+        gains = [lengths[b] - sum(lengths[a] for a in out) for b in giver for out in [(), *((a,) for a in taker), *((a, c) for a in taker for c in taker if a < c)]]
+        gains += [lengths[b] + lengths[c] - lengths[a] for a in taker for b in giver for c in giver if b < c]
+        gain, out, taken = packing.best_exchange(taker, giver, lengths, room)
+        assert gain == max([g for g in gains if 0 < g <= room], default=0)
+        assert gain == sum(lengths[k] for k in taken) - sum(lengths[k] for k in out)
