@@ -1,9 +1,11 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A text's terms are its distinct words and the beginnings of its words, hashed into
-buckets. Buckets that are distributed differently over the two labels become inputs;
-the machine learns a weight for each and a short vector, whose inner products weigh
-pairs: an insult beside the mention of a group may count for more than both alone.
+buckets. Buckets that are distributed differently over the two labels become inputs, and
+so do pairs of frequent buckets that say more together than alone. The machine learns a
+weight for each and a short vector, whose inner products weigh pairs: an insult beside the
+mention of a group may count for more than both alone, and two words for something though
+neither does.
 """
 
 from __future__ import annotations
@@ -24,7 +26,10 @@ BUCKETS = 1 << 20
 STEM = 4  # letters of a word's beginning
 TRAIN_ROWS = 24_000  # labelled rows the fit takes at most
 INPUTS = 2048  # buckets that become inputs at most
-LEAST_Z, LEAST_ODDS = 6.0, 1.2  # how different a bucket must be: z score, log odds
+LEAST_Z, PAIR_Z = 6.0, 8.0  # z score of a bucket's difference, and of a pair's interaction
+PAIR_SHARE = 0.01  # share of the rows that a bucket of a tested pair is in, and is not in
+PAIR_TERMS = 8192  # buckets whose pairs are tested at most, the most frequent
+PAIR_BLOCK = 512  # of them at once
 FACTORS = 4
 EPOCHS, BATCH, RATE = 16, 256, 0.05
 DECAY = (0.0, 0.01, 0.5)  # of the bias, the weights and the factors, for each unit of RATE
@@ -70,7 +75,7 @@ def sigmoid(x):
 
 
 def choose_inputs(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Buckets whose share of the rows differs between the labels."""
+    """Buckets whose share of the rows differs between the labels, or that interact."""
     one = [row for row, label in zip(rows, labels) if label]
     zero = [row for row, label in zip(rows, labels) if not label]
     counts = [np.bincount(np.concatenate(part), minlength=BUCKETS) for part in (one, zero)]
@@ -78,11 +83,61 @@ def choose_inputs(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     pooled = (counts[0] + counts[1] + 0.5) / (len(rows) + 1)
     spread = np.sqrt(pooled * (1 - pooled) * (1 / len(one) + 1 / len(zero)))
     z = np.abs(share[0] - share[1]) / spread
-    odds = np.abs(np.log(share[0] / share[1]))
-    found = np.flatnonzero((z >= LEAST_Z) & (odds >= LEAST_ODDS) & (counts[0] + counts[1] > 0))
+    z[counts[0] + counts[1] == 0] = 0
+    terms = frequent(counts[0] + counts[1], len(rows))
+    together = np.zeros(BUCKETS)
+    together[terms] = interactions(one, zero, terms)
+    found = np.flatnonzero((z >= LEAST_Z) | (together >= PAIR_Z))
+    z = np.maximum(z, together)
     return np.sort(found[np.argsort(-z[found], kind="stable")[:INPUTS]])
 
 
+def frequent(counts: np.ndarray, rows: int) -> np.ndarray:
+    """Buckets that enough rows have, and have not, for their pairs to be tested."""
+    least = max(1, PAIR_SHARE * rows)
+    found = np.flatnonzero((counts >= least) & (counts <= rows - least))
+    return np.sort(found[np.argsort(-counts[found], kind="stable")[:PAIR_TERMS]])
+
+
+def interactions(one: list[np.ndarray], zero: list[np.ndarray], terms: np.ndarray) -> np.ndarray:
+    """Each term's largest z score of an interaction with another one.
+
+    That is the difference between the labels of the log odds ratio of the two terms: what
+    the pair adds in a logistic model, whatever the two say alone.
+    """
+    parts = [(dense(one, terms), 1), (dense(zero, terms), -1)]
+    best = np.zeros(len(terms))
+    for begin in range(0, len(terms), PAIR_BLOCK):
+        end = min(begin + PAIR_BLOCK, len(terms))
+        shape = (end - begin, len(terms) - begin)
+        ratio, spread = np.zeros(shape, np.float32), np.zeros(shape, np.float32)
+        for present, sign in parts:
+            both = np.zeros(shape, np.float32)
+            for k in range(0, len(present), 1024):
+                x = present[k : k + 1024, begin:].astype(np.float32)
+                both += x[:, : end - begin].T @ x
+            count = present[:, begin:].sum(axis=0, dtype=np.float32)
+            first, second = count[: end - begin, None] - both, count[None, :] - both
+            neither = len(present) - both - first - second
+            for cell, turn in ((both, sign), (neither, sign), (first, -sign), (second, -sign)):
+                cell += 0.5
+                spread += 1 / cell
+                ratio += turn * np.log(cell)
+        z = np.abs(ratio) / np.sqrt(spread)
+        np.fill_diagonal(z, 0)
+        best[begin:end] = np.maximum(best[begin:end], z.max(axis=1))
+        best[begin:] = np.maximum(best[begin:], z.max(axis=0))
+    return best
+
+
+def dense(rows: list[np.ndarray], terms: np.ndarray) -> np.ndarray:
+    """1 where a row has a term; one byte each."""
+    out = np.zeros((len(rows), len(terms)), np.uint8)
+    for k, row in enumerate(rows):
+        out[k, np.searchsorted(terms, row[np.isin(row, terms, assume_unique=True)])] = 1
+    return out
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
     """Logistic loss by Adam over shuffled batches, the same for the same rows.
 

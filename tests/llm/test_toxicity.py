@@ -108,3 +108,27 @@ def test_reading_is_parallel_and_the_fit_bounded(spark, tmp_path, monkeypatch):
     toxicity.train(docs, labels, rows=300)
     assert len(list(tmp_path.glob("task-*"))) == 6
     assert int((tmp_path / "rows").read_text()) == 300
+
+
+@pytest.mark.parametrize("rule", ["both", "one of two", "both or neither"])
+def test_pairs_whose_parts_say_little(rule):
+    """Log odds of the parts: 1.1 for ``both``, 0 for the others."""
+    rng = random.Random(1)
+    rows, labels = [], []
+    for _ in range(3000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        text = rng.choices(PLAIN, k=12) + ["dolt"] * a + ["marsians"] * b
+        rows.append(toxicity.buckets(" ".join(text).encode()))
+        labels.append(float({"both": a and b, "one of two": a != b, "both or neither": a == b}[rule]))
+    machine = toxicity.fit(rows, np.array(labels))
+    place = {bucket: k for k, bucket in enumerate(machine.inputs.tolist())}
+
+    def toxic(text):
+        return machine.score(np.array(sorted(place[b] for b in toxicity.buckets(text.encode()) if b in place), int)) > 0.7
+
+    found = [toxic(text) for text in ("bala dolt marsians", "bala dolt", "dilo marsians", "bala")]
+    assert found == {
+        "both": [True, False, False, False],
+        "one of two": [False, True, True, False],
+        "both or neither": [True, False, False, True],
+    }[rule]
