@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coterie.llm.line_dedup import drop_repeated_lines
-from coterie.llm.ngram_join import link_documents
+from coterie.llm.ngram_join import link_rows
 from coterie.llm.packing import pack_pieces, token_pieces
 from coterie.llm.tables import free_name, ship, stage
 from coterie.llm.toxicity import without_toxic
@@ -40,14 +40,18 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near copies.
 
     Near copies share 0.8 or more of their five-word shingles. Documents without words
-    are no copies of each other. Rows without a doc_id stay, but for exact repeats, as do
-    rows that share one without sharing their text.
+    are no copies of each other. Rows are kept or dropped one by one: a document is a
+    doc_id with its text, so rows that share an id may stay or go, and of near copies under
+    one id a single one stays. Rows without a doc_id stay, but for exact repeats.
     """
     ship(spark)
-    linked = link_documents(docs, size=5, percent=80)
-    other = free_name(docs, "kept_id")
-    copies = linked.where("doc_id <> component_id").select(F.col("doc_id").alias(other))
-    kept = docs.join(copies, docs["doc_id"] == copies[other], "left_anti")
+    linked = link_rows(docs, size=5, percent=80)
+    names = [free_name(docs, base) for base in ("other_id", "other_md5")]
+    copies = linked.where("doc_id <> component_id or text_md5 <> first_md5").select(
+        F.col("doc_id").alias(names[0]), F.lower(F.hex("text_md5")).alias(names[1])
+    )
+    same = (docs["doc_id"] == copies[names[0]]) & (F.md5(docs["text"].cast("binary")) == copies[names[1]])
+    kept = docs.join(copies, same, "left_anti")
     return kept.dropDuplicates(["doc_id", "text"])
 
 

@@ -14,6 +14,7 @@ pivot; a last round compares all that still lie in different components.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -136,7 +137,7 @@ def prefix(hashes: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
 def profile(levels, size: int, percent: int) -> Callable:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, prints, groups, prefixes = [], [], [], []
+            counts, prints, groups, prefixes, keys = [], [], [], [], []
             for text in utf8(batch.column(1)):
                 found = shingles(text, size)
                 counts.append(len(found))
@@ -144,6 +145,7 @@ def profile(levels, size: int, percent: int) -> Callable:
                 front = prefix(found, levels.value, percent) if len(found) else found.view(np.int64)
                 groups.append(xxhash.xxh3_128_digest(front.tobytes() + len(found).to_bytes(8)))
                 prefixes.append(front)
+                keys.append(hashlib.md5(text, usedforsecurity=False).digest())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -151,8 +153,9 @@ def profile(levels, size: int, percent: int) -> Callable:
                     pa.array(prints, pa.binary()),
                     pa.array(groups, pa.binary()),
                     pa.array(prefixes, pa.list_(pa.int64())),
+                    pa.array(keys, pa.binary()),
                 ],
-                names=["doc_id", "n", "print", "grp", "prefix"],
+                names=["doc_id", "n", "print", "grp", "prefix", "text_md5"],
             )
 
     return apply
@@ -201,39 +204,61 @@ def link_documents(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFra
     smallest doc_id of what each reaches. A null doc_id is never the smallest; what has
     no other has a null component. Other columns are not looked at. No rows, no rows.
     """
+    return link_rows(docs, size, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def link_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """``link_documents`` with ``text_md5`` of each row's text and ``first_md5``.
+
+    The latter is that of the component's row with the smallest doc_id, of several the one
+    with the smallest md5, so that doc_id and md5 together name one document of each
+    component. It is null where the component has no doc_id, or the row no words.
+    """
     texts = docs.select("doc_id", "text")
     spark, id_type = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     levels = spark.sparkContext.broadcast(frequency_levels(texts.select("text"), size))
     profiles = stage(
         texts.mapInArrow(
             profile(levels, size, percent),
-            f"doc_id {id_type}, n bigint, print binary, grp binary, prefix array<bigint>",
+            f"doc_id {id_type}, n bigint, print binary, grp binary, prefix array<bigint>, text_md5 binary",
         ),
         "profiles",
     )
     classes = stage(
         profiles.where("n > 0")
         .groupBy("print", "n", "grp")
-        .agg(F.min("doc_id").alias("first_id"))
+        .agg(
+            F.min("doc_id").alias("first_id"),
+            F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_md5"))).alias("first"),
+        )
         .withColumn("item", F.xxhash64("print")),
         "classes",
     )
     shared = shared_shingles(profiles.where("n > 0"), classes)
     roots = connect(shared, classes, texts, size, percent)
 
-    linked = classes.select("print", "item", "first_id").join(
+    linked = classes.select("print", "item", "first").join(
         roots.select(F.col("node").alias("item"), "root"), "item", "left"
     )
     named = linked.withColumn("root", F.coalesce("root", "item"))
-    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_class = stage(named.join(least, "root").select("print", "component_id"), "class-components")
+    least = named.groupBy("root").agg(F.min("first").alias("least"))
+    of_class = stage(
+        named.join(least, "root").select(
+            "print",
+            F.col("least.doc_id").alias("component_id"),
+            F.col("least.text_md5").alias("first_md5"),
+        ),
+        "class-components",
+    )
     return (
-        profiles.select("doc_id", "n", "print")
+        profiles.select("doc_id", "n", "print", "text_md5")
         .join(of_class, "print", "left")
         .select(
             "doc_id",
             F.col("n").alias("n_shingles"),
             F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+            "text_md5",
+            F.when(F.col("n") > 0, F.col("first_md5")).alias("first_md5"),
         )
     )
 

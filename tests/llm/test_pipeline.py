@@ -65,3 +65,18 @@ def test_nulls_repeats_and_nothing(spark, small):
     for _, apply in corpus_pipeline.STAGES:
         empty = stage(apply(spark, empty, small), "test-empty")
         assert empty.count() == 0
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark, small):
+    words = [f"word{k}" for k in range(60)]
+    a, copy, third = " ".join(words), " ".join([*words, "more"]), " ".join([*words, "last"])
+    b, c = "something else that nobody copied at all", " ".join(reversed(words))
+    # 8: near copies under one id, one of them with the same shingles
+    own = [c, c + " more", c.upper()]
+    given = [(3, a), (5, copy), (5, b), (6, third), *((8, text) for text in own), (None, copy), (9, "")]
+    rows = [(k, text, "en", "s", len(text)) for k, text in given]
+    docs = spark.createDataFrame(rows, spark.read.parquet(f"{small}/documents.parquet").schema)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.ngram_join(spark, docs, small).collect()]
+    assert sorted(one for one in kept if one[0] not in (8, None)) == [(3, a), (5, b), (9, "")]
+    assert len([text for k, text in kept if k == 8 and text in own]) == 1
+    assert [text for k, text in kept if k is None] == [copy]
