@@ -12,6 +12,7 @@ from coterie.llm.byte_bpe import round_trip
 from coterie.llm.embedding_dedup import link_embeddings
 from coterie.llm.exact_topk import top_k
 from coterie.llm.line_dedup import drop_repeated_lines
+from coterie.llm.merkle import prove_documents
 from coterie.llm.ngram_join import link_documents
 from coterie.llm.packing import pack_pieces, token_pieces
 from coterie.llm.quotations import link_quotations
@@ -126,9 +127,11 @@ QUOTATION_SQL = r"""
     ), own AS (
         SELECT id, CASE WHEN bool_or(depth > 0) THEN regexp_replace(
                    coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE depth = 0), ''),
-                   '^(?:[ 	]*
+                   '^(?:[ 	
+]*
 )+|(?:
-[ 	]*)+$', '', 'g')
+[ 	
+]*)+$', '', 'g')
                ELSE string_agg(line, chr(10) ORDER BY place) END AS text
         FROM marked GROUP BY id
     ), runs AS (
@@ -142,16 +145,19 @@ QUOTATION_SQL = r"""
         UNION ALL SELECT id, passage, depth, 1, unnest(rests) FROM passages
     ), asked_normal AS (
         SELECT id, passage, depth, part, trim(regexp_replace(translate(unit,
-            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+', ' ', 'g'), ' ') AS unit
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+', ' ', 'g'), ' ') AS unit
         FROM asked
     ), units AS (
         SELECT id, unnest([text] || regexp_split_to_array(text, '
-[ 	]*
+[ 	
+]*
 ') || string_split(text, chr(10))) AS unit
         FROM own
     ), firsts AS (
         SELECT conv_id, trim(regexp_replace(translate(unit,
-            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+', ' ', 'g'), ' ') AS unit,
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+', ' ', 'g'), ' ') AS unit,
             min(turn) AS first
         FROM units JOIN messages USING (id) GROUP BY ALL
     ), matched AS (
@@ -238,3 +244,82 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB's crc32 of an ASCII text: its bytes, each followed by eight steps (-1)."""
+    steps = (
+        f"flatten(list_transform(range(1, length({text}) + 1), "
+        f"lambda k: [unicode(substr({text}, k, 1))::BIGINT] || list_transform(range(8), lambda i: -1::BIGINT)))"
+    )
+    step = (
+        "lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) "
+        "ELSE xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END) END"
+    )
+    return f"xor(list_reduce([4294967295::BIGINT] || {steps}, {step}), 4294967295::BIGINT)"
+
+
+def field_sql(name: str) -> str:
+    return f"coalesce(strlen({name}::VARCHAR)::VARCHAR || ':' || {name}::VARCHAR, '-')"
+
+
+MERKLE_SQL = f"""
+    WITH RECURSIVE shown AS (
+        SELECT *, CASE WHEN doc_id IS NOT NULL AND {crc32_sql('doc_id::VARCHAR')} % 5 = 0
+            THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS other
+        FROM documents
+    ), hashed AS (
+        SELECT doc_id, source,
+            sha256(concat({', '.join(map(field_sql, ('doc_id', 'source', 'lang', 'n_chars', 'text')))})) AS leaf,
+            sha256(concat({', '.join(map(field_sql, ('doc_id', 'source', 'lang', 'n_chars', 'other')))})) AS shown
+        FROM shown
+    ), leaves AS (
+        SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+            count(*) OVER (PARTITION BY source) AS size, row_number() OVER () AS id
+        FROM hashed
+    ), nodes(tree, level, place, size, hash) AS (
+        SELECT source, 0, place, size, leaf FROM leaves
+        UNION ALL
+        SELECT tree, max(level) + 1, place >> 4, (max(size) + 15) >> 4, sha256(string_agg(hash, '' ORDER BY place))
+        FROM nodes WHERE size > 1 GROUP BY tree, place >> 4
+    ), tops AS (
+        SELECT tree, hash, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS place, count(*) OVER () AS size
+        FROM nodes WHERE size = 1
+    ), over_nodes(level, place, size, hash) AS (
+        SELECT 0, place, size, hash FROM tops
+        UNION ALL
+        SELECT max(level) + 1, place >> 4, (max(size) + 15) >> 4, sha256(string_agg(hash, '' ORDER BY place))
+        FROM over_nodes WHERE size > 1 GROUP BY place >> 4
+    ), runs AS (
+        SELECT tree, level, place >> 4 AS run, list(hash ORDER BY place) AS hashes
+        FROM nodes WHERE size > 1 GROUP BY ALL
+    ), over_runs AS (
+        SELECT level, place >> 4 AS run, list(hash ORDER BY place) AS hashes
+        FROM over_nodes WHERE size > 1 GROUP BY ALL
+    ), up(id, source, level, place, proof, value) AS (
+        SELECT id, source, 0, place, '', shown FROM leaves
+        UNION ALL
+        SELECT id, source, up.level + 1, place >> 4,
+            proof || array_to_string(hashes[:place & 15] || hashes[(place & 15) + 2:], ''),
+            sha256(array_to_string(hashes[:place & 15] || [value] || hashes[(place & 15) + 2:], ''))
+        FROM up JOIN runs ON runs.tree IS NOT DISTINCT FROM source AND runs.level = up.level AND run = place >> 4
+    ), within AS (SELECT id, arg_max(proof, level) AS proof, arg_max(value, level) AS value FROM up GROUP BY id),
+    further(id, level, place, proof, value) AS (
+        SELECT id, 0, tops.place, proof, value
+        FROM within JOIN leaves USING (id) JOIN tops ON tops.tree IS NOT DISTINCT FROM source
+        UNION ALL
+        SELECT id, further.level + 1, place >> 4,
+            proof || array_to_string(hashes[:place & 15] || hashes[(place & 15) + 2:], ''),
+            sha256(array_to_string(hashes[:place & 15] || [value] || hashes[(place & 15) + 2:], ''))
+        FROM further JOIN over_runs ON over_runs.level = further.level AND run = place >> 4
+    ), folded AS (SELECT id, arg_max(proof, level) AS proof, arg_max(value, level) AS value FROM further GROUP BY id)
+    SELECT doc_id, leaf, tops.hash AS subroot, root, sha256(proof) AS proof_sha256,
+        value AS folded_root, value = root AS verified
+    FROM leaves JOIN folded USING (id) JOIN tops ON tops.tree IS NOT DISTINCT FROM source,
+        (SELECT hash AS root FROM over_nodes WHERE size = 1)
+"""
+
+
+@query(MERKLE_SQL)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prove_documents(table(spark, sf_dir, "documents"))
