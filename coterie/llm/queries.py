@@ -15,6 +15,7 @@ from coterie.llm.line_dedup import drop_repeated_lines
 from coterie.llm.merkle import prove_documents
 from coterie.llm.ngram_join import link_documents
 from coterie.llm.packing import pack_pieces, token_pieces
+from coterie.llm.prefix_trie import conversation_trie
 from coterie.llm.quotations import link_quotations
 from coterie.llm.tables import ship, stage
 from coterie.llm.token_counts import count_tokens
@@ -323,3 +324,42 @@ MERKLE_SQL = f"""
 @query(MERKLE_SQL)
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prove_documents(table(spark, sf_dir, "documents"))
+
+
+@query(
+    f"""
+    WITH turns AS (
+        SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+            row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, '')) AS place
+        FROM conversations WHERE conv_id IS NOT NULL
+    ), talks AS (
+        SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY place) AS said,
+            {crc32_sql('conv_id::VARCHAR')} % 9 AS h
+        FROM turns GROUP BY conv_id
+    ), rebuilt AS (
+        SELECT t.conv_id, coalesce(b.said[:t.h], []) || t.said[t.h + 1:] AS said
+        FROM talks t LEFT JOIN talks b ON b.conv_id = t.conv_id - t.conv_id % 5
+    ), places AS (
+        SELECT conv_id, said[:d] AS said, d AS depth, said[d]['text'] AS last, d = len(said) AS ends
+        FROM (SELECT conv_id, said, unnest(range(len(said) + 1)) AS d FROM rebuilt)
+    ), nodes AS (
+        SELECT said, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+            (count(*) - 1) * any_value(coalesce(strlen(last), 0)) AS saved,
+            coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '') AS ended
+        FROM places GROUP BY said, depth
+    ), linked AS (
+        SELECT n.*, p.conv_id AS parent_conv_id,
+            (SELECT count(*) FROM nodes c WHERE c.depth = n.depth + 1 AND c.said[:n.depth] = n.said) AS n_children
+        FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.said = n.said[:n.depth - 1]
+    ), paths AS (SELECT *, unnest(range(depth + 1)) AS above FROM linked)
+    SELECT n.conv_id, n.depth, n.parent_conv_id, n.n_convs, n.n_children, s.n_leaves, s.saved_tokens,
+        sha256(n.ended) AS ends_sha256
+    FROM linked n JOIN (
+        SELECT said[:above] AS said, above AS depth, count(*) FILTER (WHERE n_children = 0) AS n_leaves,
+            sum(saved)::BIGINT AS saved_tokens
+        FROM paths GROUP BY ALL
+    ) s ON s.said = n.said AND s.depth = n.depth
+    """
+)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
