@@ -15,6 +15,7 @@ from coterie.llm.line_dedup import drop_repeated_lines
 from coterie.llm.merkle import prove_documents
 from coterie.llm.ngram_join import link_documents
 from coterie.llm.packing import pack_pieces, token_pieces
+from coterie.llm.personal_data import find_personal_data
 from coterie.llm.prefix_trie import conversation_trie
 from coterie.llm.quotations import link_quotations
 from coterie.llm.tables import ship, stage
@@ -363,3 +364,8 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+@query()
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(table(spark, sf_dir, "documents"))
