@@ -25,6 +25,7 @@ STEP = 1024  # candidates that are bounded in one go
 LEAD = 0.25  # share of the components in the leading part
 EXACT = 2**53
 LONG = (-(2**63), 2**63 - 1)
+NINES = str.maketrans("0123456789", "9876543210")
 MOST = 1e150  # larger components count as this, so that products stay finite
 
 
@@ -77,30 +78,47 @@ def scores(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Exact inner products of integer-valued doubles, one row for each query.
 
     Doubles hold them exactly unless components are very large; then Python's integers
-    do, and a score that no long can hold becomes the nearest long.
+    do.
     """
     most = np.abs(queries).max(initial=0) * np.abs(rows).max(initial=0) * queries.shape[1]
     if most < EXACT:
         return (queries @ rows.T).astype(np.int64)
     whole = np.vectorize(int, otypes=[object])
-    out = whole(queries) @ whole(rows).T
-    return np.clip(out, *LONG).astype(np.int64)
+    return whole(queries) @ whole(rows).T
+
+
+def sort_text(score: int) -> str:
+    """A text that orders as the score does, however large that is."""
+    digits = str(abs(score))
+    if score >= 0:
+        return f"1{len(digits):04}{digits}"
+    return f"0{9999 - len(digits):04}{digits.translate(NINES)}"
+
+
+def at_most(score: int) -> float:
+    """The double next to the score that is not above it."""
+    near = float(score)
+    return near if near <= score else float(np.nextafter(near, -np.inf))
 
 
 class Best:
-    """The k best (score, id) of each query so far; ties go to smaller ids."""
+    """The k best (score, id) of each query so far; ties go to smaller ids.
+
+    ``least`` is the k-th best score, or the double next below where none is equal to it.
+    """
 
     def __init__(self, ids: np.ndarray, k: int, least: np.ndarray):
         self.ids, self.k, self.least = ids, k, least.astype(np.float64)
         self.found: list[list[tuple[int, int]]] = [[] for _ in ids]
 
     def add(self, query: int, new_scores: np.ndarray, new_ids: np.ndarray) -> None:
-        keep = (new_ids != self.ids[query]) & (new_scores >= self.least[query])
+        reached = (new_scores >= self.least[query]).astype(np.bool_)
+        keep = (new_ids != self.ids[query]) & reached
         if keep.any():
-            both = self.found[query] + list(zip((-new_scores[keep]).tolist(), new_ids[keep].tolist()))
+            both = self.found[query] + [(-s, i) for s, i in zip(new_scores[keep].tolist(), new_ids[keep].tolist())]
             self.found[query] = both = sorted(both)[: self.k]
             if len(both) == self.k:
-                self.least[query] = max(self.least[query], -both[-1][0])
+                self.least[query] = max(self.least[query], at_most(-both[-1][0]))
 
 
 def search(state, k: int) -> Callable:
@@ -139,8 +157,13 @@ def search(state, k: int) -> Callable:
                         best.add(query, exact[row, hit], own[hit])
         out = [(q, -s, i) for q, one in zip(ids.tolist(), best.found) for s, i in one]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([row[k] for row in out], pa.int64()) for k in range(3)],
-            names=["query_id", "score", "vec_id"],
+            [
+                pa.array([row[0] for row in out], pa.int64()),
+                pa.array([min(max(row[1], LONG[0]), LONG[1]) for row in out], pa.int64()),
+                pa.array([row[2] for row in out], pa.int64()),
+                pa.array([sort_text(row[1]) for row in out], pa.string()),
+            ],
+            names=["query_id", "score", "vec_id", "sorts"],
         )
 
     return apply
@@ -148,7 +171,7 @@ def search(state, k: int) -> Callable:
 
 def first_thresholds(queries: np.ndarray, ids: np.ndarray, seeds: list, k: int, width: int) -> np.ndarray:
     """The k-th best score among the longest candidates; lowest where there are fewer."""
-    least = np.full(len(ids), float(LONG[0]))
+    least = np.full(len(ids), -np.inf)
     if seeds:
         rows = np.frombuffer(b"".join(row.vector for row in seeds)).reshape(-1, width)
         own = np.array([row.vec_id for row in seeds])
@@ -164,8 +187,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best candidates of each query, exactly.
 
     Both frames have ``vec_id`` (integers) and ``embedding``. Components become
-    floor(1024 * x) with x as a double; the score is the inner product, a long. Ties go
-    to the smaller vec_id. Candidates are all rows of ``vectors`` but those with the
+    floor(1024 * x) with x as a double, components beyond 1e150 counting as that; the score
+    is the inner product, and ties go to the smaller vec_id. Scores that no long can hold are
+    ordered by what they are and given as the nearest long. Candidates are all rows of ``vectors`` but those with the
     query's vec_id, repeated rows one by one; a query with fewer gets all. Vectors that
     are null or hold null or non-finite components take no part, nor do null ids.
     Shorter vectors count as ending in zeros. Where query rows share a vec_id, the least
@@ -199,7 +223,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     asked = stage(asked.groupBy("vec_id").agg(F.min("vector").alias("vector")), "queries")
     count = asked.count()
     blocks = -(-count // QUERY_BLOCK)
-    found = spark.createDataFrame([], "query_id bigint, score bigint, vec_id bigint")
+    found = spark.createDataFrame([], "query_id bigint, score bigint, vec_id bigint, sorts string")
     for block in range(blocks):
         some = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).collect()
         ids = np.array([row.vec_id for row in some], np.int64)
@@ -210,7 +234,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         state = spark.sparkContext.broadcast((ids, values, least, turn))
         part = ordered.mapInArrow(search(state, k), found.schema)
         found = found.unionByName(stage(part, "top-part"))
-    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    place = Window.partitionBy("query_id").orderBy(F.desc("sorts"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(place))
         .where(F.col("rank") <= k)

@@ -29,7 +29,7 @@ INPUTS = 2048  # buckets that become inputs at most
 LEAST_Z, PAIR_Z = 6.0, 8.0  # z score of a bucket's difference, and of a pair's interaction
 PAIR_SHARE = 0.01  # share of the rows that a bucket of a tested pair is in, and is not in
 PAIR_TERMS = 8192  # buckets whose pairs are tested at most, the most frequent
-PAIR_BLOCK = 512  # of them at once
+PAIR_BLOCK, ROW_BLOCK = 512, 512  # of them, and of rows, at once
 FACTORS = 4
 EPOCHS, BATCH, RATE = 16, 256, 0.05
 DECAY = (0.0, 0.01, 0.5)  # of the bias, the weights and the factors, for each unit of RATE
@@ -51,7 +51,7 @@ def term_buckets(word: bytes) -> tuple[int, ...]:
 
 
 def buckets(text: bytes) -> np.ndarray:
-    return np.unique(np.array([b for word in words(text) for b in term_buckets(word)], np.int64))
+    return np.unique(np.array([b for word in words(text) for b in term_buckets(word)], np.int32))
 
 
 @dataclass
@@ -74,11 +74,19 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def count(rows: list[np.ndarray]) -> np.ndarray:
+    """In how many rows each bucket is."""
+    total = np.zeros(BUCKETS, np.int64)
+    for k in range(0, len(rows), ROW_BLOCK):
+        total += np.bincount(np.concatenate(rows[k : k + ROW_BLOCK]), minlength=BUCKETS)
+    return total
+
+
 def choose_inputs(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """Buckets whose share of the rows differs between the labels, or that interact."""
     one = [row for row, label in zip(rows, labels) if label]
     zero = [row for row, label in zip(rows, labels) if not label]
-    counts = [np.bincount(np.concatenate(part), minlength=BUCKETS) for part in (one, zero)]
+    counts = [count(part) for part in (one, zero)]
     share = [(c + 0.5) / (len(part) + 1) for c, part in zip(counts, (one, zero))]
     pooled = (counts[0] + counts[1] + 0.5) / (len(rows) + 1)
     spread = np.sqrt(pooled * (1 - pooled) * (1 / len(one) + 1 / len(zero)))
@@ -105,36 +113,48 @@ def interactions(one: list[np.ndarray], zero: list[np.ndarray], terms: np.ndarra
     That is the difference between the labels of the log odds ratio of the two terms: what
     the pair adds in a logistic model, whatever the two say alone.
     """
-    parts = [(dense(one, terms), 1), (dense(zero, terms), -1)]
+    parts = [(places(one, terms), 1), (places(zero, terms), -1)]
     best = np.zeros(len(terms))
     for begin in range(0, len(terms), PAIR_BLOCK):
         end = min(begin + PAIR_BLOCK, len(terms))
         shape = (end - begin, len(terms) - begin)
         ratio, spread = np.zeros(shape, np.float32), np.zeros(shape, np.float32)
         for present, sign in parts:
-            both = np.zeros(shape, np.float32)
-            for k in range(0, len(present), 1024):
-                x = present[k : k + 1024, begin:].astype(np.float32)
+            both, count = np.zeros(shape, np.float32), np.zeros(shape[1], np.float32)
+            for k in range(0, len(present), ROW_BLOCK):
+                x = dense(present[k : k + ROW_BLOCK], begin, len(terms))
                 both += x[:, : end - begin].T @ x
-            count = present[:, begin:].sum(axis=0, dtype=np.float32)
+                count += x.sum(axis=0)
             first, second = count[: end - begin, None] - both, count[None, :] - both
-            neither = len(present) - both - first - second
+            neither = len(present) - both
+            neither -= first
+            neither -= second
             for cell, turn in ((both, sign), (neither, sign), (first, -sign), (second, -sign)):
                 cell += 0.5
-                spread += 1 / cell
                 ratio += turn * np.log(cell)
-        z = np.abs(ratio) / np.sqrt(spread)
+                np.reciprocal(cell, out=cell)
+                spread += cell
+        z = np.abs(ratio, out=ratio)
+        z /= np.sqrt(spread, out=spread)
         np.fill_diagonal(z, 0)
         best[begin:end] = np.maximum(best[begin:end], z.max(axis=1))
         best[begin:] = np.maximum(best[begin:], z.max(axis=0))
     return best
 
 
-def dense(rows: list[np.ndarray], terms: np.ndarray) -> np.ndarray:
-    """1 where a row has a term; one byte each."""
-    out = np.zeros((len(rows), len(terms)), np.uint8)
+def places(rows: list[np.ndarray], terms: np.ndarray) -> list[np.ndarray]:
+    """Where each row's terms stand in ``terms``, in order."""
+    place = np.full(BUCKETS, -1, np.int16)
+    place[terms] = np.arange(len(terms))
+    found = (place[row] for row in rows)
+    return [row[row >= 0] for row in found]
+
+
+def dense(rows: list[np.ndarray], begin: int, end: int) -> np.ndarray:
+    """1 where a row has a term, for some rows and the terms of a range."""
+    out = np.zeros((len(rows), end - begin), np.float32)
     for k, row in enumerate(rows):
-        out[k, np.searchsorted(terms, row[np.isin(row, terms, assume_unique=True)])] = 1
+        out[k, row[np.searchsorted(row, begin) :] - begin] = 1
     return out
 
 
@@ -203,18 +223,15 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [buckets(text).astype("<i4").tobytes() for text in utf8(batch.column(0))]
+            found = [buckets(text).astype("<i4", copy=False).tobytes() for text in utf8(batch.column(0))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1), pa.array(found, pa.binary())], names=["label", "buckets"]
             )
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [row for b in batches for row in b.to_pylist()]
-        rows.sort(key=lambda row: (xxhash.xxh3_64_intdigest(row["buckets"]), row["label"]))
-        model = fit(
-            [np.frombuffer(row["buckets"], "<i4").astype(np.int64) for row in rows],
-            np.array([row["label"] for row in rows], np.float64),
-        )
+        rows = [(row["buckets"], row["label"]) for b in batches for row in b.to_pylist()]
+        rows.sort(key=lambda row: (xxhash.xxh3_64_intdigest(row[0]), row[1]))
+        model = fit([np.frombuffer(row[0], "<i4") for row in rows], np.array([row[1] for row in rows], np.float64))
         yield pa.RecordBatch.from_pydict(
             {
                 "bias": [model.bias],
