@@ -25,6 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from tokenizers import Tokenizer
 
 from coterie.llm.tables import blocks, stage, utf8
@@ -70,41 +71,50 @@ def unpack(control: bytes, data: bytes, counts: np.ndarray) -> np.ndarray:
     return out.view("<u4").ravel()
 
 
-def encode_ids(path: str, end_id: int, kind: str) -> Callable:
+def encode_ids(path: str, end_id: int, kind: str, size: int, id_type: pa.DataType) -> Callable:
+    """(doc_id, ids, counts): a row for each document, and one with how often the task saw
+    each of the ``size`` ids."""
     tail = np.array([end_id], "<u4").tobytes()
+    width = np.dtype(kind).itemsize
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(path)
+        total = np.zeros(size, np.int64)
         for batch in batches:
             texts = utf8(batch.column(1))
             for part in blocks([len(text) for text in texts], BLOCK_BYTES):
                 ids = [one + tail for one in encoder.encode(texts[part])]
-                flat = np.frombuffer(b"".join(ids), "<u4").astype(kind).tobytes()
-                width = np.dtype(kind).itemsize
-                at = np.cumsum([0, *(len(one) // 4 * width for one in ids)])
+                flat = np.frombuffer(b"".join(ids), "<u4").astype(kind)
+                total += np.bincount(flat, minlength=size)
+                at = np.r_[0, np.cumsum([len(one) // 4 * width for one in ids])].astype(np.int64)
                 rows = batch.column(0).slice(part.start, part.stop - part.start)
                 yield pa.RecordBatch.from_arrays(
-                    [rows, pa.array(cut(flat, at), pa.binary())], names=["doc_id", "ids"]
+                    [rows, binary(flat, at), pa.nulls(len(rows), pa.binary())], names=["doc_id", "ids", "counts"]
                 )
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(1, id_type), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())],
+            names=["doc_id", "ids", "counts"],
+        )
 
     return encode
 
 
-def count_ids(kind: str) -> Callable:
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """How often a task saw each id."""
-        total = np.zeros(1, np.int64)
-        for batch in batches:
-            counts = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind))
-            if len(counts) > len(total):
-                total = np.pad(total, (0, len(counts) - len(total)))
-            total[: len(counts)] += counts
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(seen, pa.int64()), pa.array(total[seen])], names=["id", "n"]
-        )
+def binary(flat: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Binary values that lie one after the other, without a copy of each."""
+    if at[-1] < 1 << 31:
+        return pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(flat)])
+    return pa.array(cut(flat.tobytes(), at), pa.binary())
+
 
-    return count
+def sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, n) of the ids that some of the tasks saw."""
+    total = np.zeros(0, np.int64)
+    for batch in batches:
+        for one in batch.column(0).to_pylist():
+            counts = np.frombuffer(one, np.int64)
+            total = counts + total if len(total) else counts
+    seen = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,15 +210,16 @@ def write_token_files(
     size = max(end_id + 1, Tokenizer.from_file(tokenizer).get_vocab_size())
     kind = "<u2" if size <= 1 << 16 else "<u4"
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    tokens = stage(
+    encoded = stage(
         docs.select("doc_id", "text").mapInArrow(
-            encode_ids(tokenizer, end_id, kind), f"doc_id {id_type}, ids binary"
+            encode_ids(tokenizer, end_id, kind, size, to_arrow_type(docs.schema["doc_id"].dataType)),
+            f"doc_id {id_type}, ids binary, counts binary"
         ),
         "token-ids",
     )
-    counts = (
-        tokens.select("ids").mapInArrow(count_ids(kind), "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
-    )
+    counts = encoded.where("counts is not null").select("counts").mapInArrow(sum_counts, "id bigint, n bigint")
+    counts = counts.groupBy("id").agg(F.sum("n").alias("n"))
+    tokens = encoded.where("counts is null").select("doc_id", "ids")
     # at most as many rows as the vocabulary has
     order = [row.id for row in counts.orderBy(F.desc("n"), "id").select("id").collect()]
     rank_of = np.zeros(max(order, default=0) + 1, np.uint32)
