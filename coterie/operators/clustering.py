@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from coterie.functions import fixed
 
 DEFAULT_SEED = 1
+SPREAD, SPREAD_ROWS = 64, 25_000  # partitions an input of few is dealt out to, and rows in each
 
 
 @dataclass(frozen=True)
@@ -87,17 +89,23 @@ def placed(vectors: DataFrame, partitions: int) -> DataFrame:
 @contextmanager
 def held(vectors: DataFrame, partitions: int | None = None) -> Iterator[DataFrame]:
     """The vectors persisted and counted, so that a timed fit measures the fit and not
-    the scan. Partitions that do not fit in memory go to disk, and those of a lost
-    executor are computed again from the source.
-
-    The partitions are the input's own, whatever the cluster, unless a number is given:
-    then the rows are shuffled once, see ``placed``. Give one for an input of few
-    partitions, such as a single small file, and where fits must repeat.
+    the scan. They lie on the executors' disks: a fit keeps the decoded rows in memory, see
+    ``fit``, and that is the only copy there. Partitions of a lost executor are computed
+    again from the source.
+
+    The partitions are the input's own, whatever the cluster, but for an input of fewer
+    than 64 that hold more than 25,000 rows each, such as a single file: it is dealt out
+    to as many as its rows need. With ``partitions`` it is dealt out to that many, see
+    ``placed``; give a number where fits must repeat.
     """
     kept = vectors if partitions is None else placed(vectors, partitions)
-    kept = kept.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = kept.persist(StorageLevel.DISK_ONLY)
     try:
-        kept.count()
+        wanted = min(SPREAD, math.ceil(kept.count() / SPREAD_ROWS))
+        if partitions is None and kept.rdd.getNumPartitions() < wanted:
+            few, kept = kept, placed(kept, wanted).persist(StorageLevel.DISK_ONLY)
+            kept.count()
+            few.unpersist()
         yield kept
     finally:
         kept.unpersist()
@@ -111,8 +119,12 @@ def fit(
     seed: int = DEFAULT_SEED,
     solver: str = "block",
 ) -> Fit:
-    """Fits one algorithm; ``seconds`` covers the fit alone, on the rows as they are
-    given, which is the same for all three.
+    """Fits one algorithm; ``seconds`` covers the fit alone, which is the same for all
+    three: the held rows are decoded once, and kept decoded while the estimator passes over
+    them again and again.
+
+    For the same rows in the same partitions, and the same seed, labels are the same again.
+    Sums come from the partitions in any order, so ``quality`` agrees to some twelve digits.
 
     ``solver`` is for K-Means. "block" multiplies whole blocks of rows with the centres
     and takes about half the time on dense columns; it cannot leave clusters empty, so
@@ -123,6 +135,8 @@ def fit(
     by_block = chosen.name == fixed.KMEANS and solver == "block"
     if chosen.name == fixed.KMEANS:
         estimator = estimator.setSolver(solver)
+    # a frame that is not itself held: the estimator holds what it decodes for the fit
+    vectors = vectors.select("features")
     started = time.perf_counter()
     try:
         model = estimator.fit(vectors)

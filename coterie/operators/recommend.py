@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -11,9 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from coterie.functions.fixed import JOB_SCHEMA, LEDGER_KEYS
 from coterie.operators.clustering import ALGORITHMS
+from coterie.operators.columns import quoted
 from coterie.operators.metrics import class_accuracy
+from coterie.operators.numbering import with_row_index
 
 NAMES = [entry.name for entry in ALGORITHMS]
+HASH, HASH_BITS, STEP_BITS = "split_hash", 60, 15
 TARGETS = {"BestBySpeed": "speed", "BestByAccuracy": "accuracy"}
 
 
@@ -130,6 +134,42 @@ def split(
     )
 
 
+def split_exact(
+    df: DataFrame, test_share: float = 0.2, seed: int = 42, keys: Sequence[str] = tuple(LEDGER_KEYS)
+) -> tuple[DataFrame, DataFrame]:
+    """Train and test rows with exactly ``ceil(n * test_share)`` rows to test.
+
+    The rows with the smallest hashes of their keys are held out. Where the cut falls is
+    found by counting rows by the first bits of the hash, then by the next bits among those
+    that share them, so nothing is sorted as a whole. Of the rows that share the hash at
+    the cut, the first by their keys and other columns are held out. The same rows give
+    the same sides, however they are divided into partitions. ``df`` is read a few times.
+    """
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(key).cast("string") for key in keys])
+    marked = df.withColumn(HASH, F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint"))
+    wanted = math.ceil(df.count() * test_share)
+    if wanted == 0:
+        return df, df.limit(0)
+    begin, left = 0, wanted  # hashes below ``begin`` are held out, ``left`` rows still to find
+    for shift in range(HASH_BITS - STEP_BITS, -1, -STEP_BITS):
+        within = (F.col(HASH) >= begin) & (F.col(HASH) <= begin + (1 << (shift + STEP_BITS)) - 1)
+        counts = marked.filter(within).groupBy(F.shiftright(HASH, shift).alias("first")).count()
+        for first, count in counts.orderBy("first").collect():  # 2 ** STEP_BITS at most
+            begin = first << shift
+            if count >= left:
+                break
+            left -= count
+    marked = marked.withColumn(HASH, F.col(HASH) - begin)
+    same = marked.filter(F.col(HASH) == 0).drop(HASH)
+    order = [*keys, *(name for name in df.columns if name not in keys)]
+    ranked = same.repartitionByRange(*map(quoted, order)).sortWithinPartitions(*map(quoted, order))
+    ranked = with_row_index(ranked, HASH)
+    return (
+        marked.filter(F.col(HASH) > 0).drop(HASH).unionByName(ranked.filter(F.col(HASH) >= left).drop(HASH)),
+        marked.filter(F.col(HASH) < 0).drop(HASH).unionByName(ranked.filter(F.col(HASH) < left).drop(HASH)),
+    )
+
+
 def train(
     training: DataFrame,
     target: str,

@@ -80,10 +80,11 @@ def run_cluster_job(
     partitions: int | None = None,
     solver: str = "block",
     multi_line: bool = False,
+    row_index: str | None = None,
 ) -> ClusterResult:
     """``cluster``, with the labelled rows written and the run recorded: RUNNING
     first, then FINISHED with time and silhouette, or FAILED. ``multi_line`` as in
-    ``sources.csv.write_csv``."""
+    ``sources.csv.write_csv``, ``row_index`` as in ``write_labelled``."""
     spark = df.sparkSession
     append_few(
         run_event(
@@ -103,7 +104,7 @@ def run_cluster_job(
         result = cluster(
             df, features, algorithm, k, max_iter, seed, partitions=partitions, solver=solver
         )
-        write_labelled(result.labelled, result_path, multi_line)
+        write_labelled(result.labelled, result_path, multi_line, row_index)
     except Exception:
         append_few(run_event(spark, user, label, 1, "set", status=fixed.FAILED), ledger_path)
         raise

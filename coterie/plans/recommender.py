@@ -39,16 +39,19 @@ def train_recommender(
     larger_wins: Sequence[str] = (),
     test_share: float = 0.2,
     seed: int = 42,
+    exact: bool = False,
     **forest,
 ) -> tuple[Recommender, DataFrame]:
-    """Both forests, trained on the same 80 percent, and the held-out rows.
+    """Both forests, trained on the same 80 percent, and the held-out rows. ``exact`` holds
+    out exactly that share, see ``recommend.split_exact``.
 
     The configurations are written once and read by both fits and the test.
     """
     spark = ledger.sparkSession
     path = scratch_path(spark, "training-set")
     recommend.training_set(ledger, extra_keys, larger_wins).write.parquet(path)
-    training, test = recommend.split(spark.read.parquet(path), test_share, seed)
+    split = recommend.split_exact if exact else recommend.split
+    training, test = split(spark.read.parquet(path), test_share, seed)
     if training.isEmpty():
         raise ValueError("no point of the ledger has exactly one row of each algorithm")
     models = Recommender(

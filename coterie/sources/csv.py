@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from coterie.operators.columns import quoted
+from coterie.operators.numbering import with_row_index
 
 
 # Values in quotes hold commas, doubled quotes and blanks as they are.
@@ -84,9 +85,13 @@ def printable(df: DataFrame) -> DataFrame:
     )
 
 
-def write_labelled(labelled: DataFrame, path: str, multi_line: bool = False) -> None:
+def write_labelled(
+    labelled: DataFrame, path: str, multi_line: bool = False, row_index: str | None = None
+) -> None:
     """Labelled rows without the feature vector, written by all executors.
 
-    There is no row number column: a dense global number needs one serial pass.
+    ``row_index`` names a first column with the numbers 0 to n - 1, which costs one more
+    copy of the rows in the shared folder.
     """
-    write_csv(printable(labelled.drop("features")), path, multi_line)
+    rows = printable(labelled.drop("features"))
+    write_csv(rows if row_index is None else with_row_index(rows, row_index), path, multi_line)

@@ -17,10 +17,8 @@ def read_lines(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
     text = spark.read.option("lineSep", "\n").text(
         paths if isinstance(paths, str) else list(paths)
     )
-    # Spark gives the path as a URI; a plus sign stands for itself there
-    decoded = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     return text.select(
-        plain_path(spark, decoded).alias("path"),
+        plain_path(spark, decoded(F.col("_metadata.file_path"))).alias("path"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("position"),
         F.col("value").alias("line"),
@@ -37,25 +35,44 @@ def text_lines(df: DataFrame, path: Column, text: Column) -> DataFrame:
 
 
 def read_file_sizes(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
-    """One row per file below ``paths``: ``path, filename, size``, from the file
-    system's listing, so files without bytes are there too. Names that begin with
-    ``_`` or ``.`` are left out, as Spark does when it reads. A path that does not
-    exist gives no row."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    found = []
-    for name in [paths] if isinstance(paths, str) else paths:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        system = path.getFileSystem(conf)
-        if not system.exists(path):
-            continue
-        listed = system.listFiles(path, True)
-        while listed.hasNext():
-            entry = listed.next()
-            filename = entry.getPath().getName()
-            if not filename.startswith(("_", ".")):
-                found.append((entry.getPath().toString(), filename, entry.getLen()))
-    entries = spark.createDataFrame(found, "path string, filename string, size bigint")
-    return entries.withColumn("path", plain_path(spark, F.col("path")))
+    """One row per file below ``paths``: ``path, filename, size``. Names that begin with
+    ``_`` or ``.`` are left out, as Spark does when it reads. A path that does not exist
+    gives no row.
+
+    Spark lists the folders, in parallel where there are many, and gives the sizes with the
+    scan; contents are not read. A scan leaves out files without bytes: these are the
+    listed names that it did not give.
+    """
+    there = [name for name in ([paths] if isinstance(paths, str) else paths) if exists(spark, name)]
+    if not there:
+        return spark.createDataFrame([], "path string, filename string, size bigint")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(there)
+    sized = files.select(plain_path(spark, F.col("path")).alias("path"), F.col("length").alias("size"))
+    listed = listed_names(files).select(plain_path(spark, decoded(F.col("value"))).alias("path"))
+    found = listed.distinct().join(sized.groupBy("path").agg(F.max("size").alias("size")), "path", "left")
+    return found.select(
+        "path",
+        F.regexp_extract("path", "([^/]*)$", 1).alias("filename"),
+        F.coalesce("size", F.lit(0)).cast("bigint").alias("size"),
+    )
+
+
+def exists(spark: SparkSession, name: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def listed_names(files: DataFrame) -> DataFrame:
+    """The names of a frame's files as ``value``; they do not pass through Python."""
+    spark, jvm = files.sparkSession, files.sparkSession.sparkContext._jvm
+    names = jvm.org.apache.spark.sql.functions.lit(files._jdf.inputFiles())
+    one = DataFrame(spark.range(1)._jdf.withColumn("names", names), spark)
+    return one.select(F.explode("names").alias("value"))
+
+
+def decoded(uri: Column) -> Column:
+    """Spark gives paths as URIs; a plus sign stands for itself there."""
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
 
 
 def plain_path(spark: SparkSession, path: Column) -> Column:

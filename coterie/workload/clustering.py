@@ -17,7 +17,7 @@ from coterie.operators.metrics import nearest_centre as nearest
 from coterie.operators.runs import RUN_EVENTS_SCHEMA, listing, run_states
 from coterie.plans.clustering import cluster, run_cluster_job
 from coterie.session import scratch_path
-from coterie.sources.csv import read_csv, write_csv
+from coterie.sources.csv import read_csv, write_csv, write_labelled
 from coterie.sources.ledgers import read_ledger
 from coterie.workload.registry import query, table
 
@@ -451,3 +451,30 @@ def cluster_job(spark, sf):
             "accuracy_text": F.lit(run["accuracy_text"]),
         }
     )
+
+
+@query(
+    f"""
+    WITH {SQL_GROUPS}
+    SELECT g AS prediction, count(*) AS row_count, round(sum(x), 4) AS x_total,
+           TRUE AS dense, (SELECT count(*) FROM points) - 1 AS last
+    FROM points GROUP BY g
+    """
+)
+def indexed_result(spark, sf):
+    """A labelled result with the row numbers 0 to n - 1 in front."""
+    points = grouped_points(spark, sf)
+    group = F.when(F.col("y") >= 1000, 2).when(F.col("x") >= 1000, 1).otherwise(0)
+    labelled = assemble(points, ["x", "y"]).withColumn("prediction", group)
+    path = scratch_path(spark, "indexed-result")
+    write_labelled(labelled, path, row_index="number")
+    written = read_csv(spark, path, "number bigint, x double, y double, prediction int")
+    whole = written.agg(F.count(F.lit(1)).alias("n"), F.max("number").alias("last"), F.count_distinct("number").alias("numbers"))
+    dense = (F.col("n") == F.col("numbers")) & (F.col("last") == F.col("n") - 1)
+    found = whole.select(dense.alias("dense"), "last").first()  # one row
+    return written.groupBy("prediction").agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.round(F.sum("x"), 4).alias("x_total"),
+        F.lit(found["dense"]).alias("dense"),
+        F.lit(found["last"]).alias("last"),
+    )

@@ -11,7 +11,7 @@ from coterie.operators.columns import select_named
 from coterie.plans.recommender import Recommender, train_recommender
 from coterie.session import scratch_path
 from coterie.sources.csv import write_csv
-from coterie.sources.ledgers import append_sweep, read_sweep, read_sweep_csv
+from coterie.sources.ledgers import append_sweep, compact_in_place, read_sweep, read_sweep_csv, vacuum
 from coterie.workload.registry import query, table
 
 LEDGER_COLUMNS = [*LEDGER_KEYS, "ExecutionSpeed", "Accuracy", "Algorithm"]
@@ -230,6 +230,35 @@ def training_labels_runs(spark, sf):
     return labels.unionByName(left_out, allowMissingColumns=True).select(*shown)
 
 
+@query(
+    f"""
+    WITH {SQL_LEDGER}
+    SELECT Workers, Algorithm, count(*) AS row_count, CAST(sum(RecordCount) AS BIGINT) AS records,
+           round(sum(ExecutionSpeed), 6) AS speeds, 2 AS version
+    FROM ledger GROUP BY Workers, Algorithm
+    """
+)
+def compacted_ledger(spark, sf):
+    """A ledger that is appended to between two compactions, and cleaned after them."""
+    path = scratch_path(spark, "compacted-ledger")
+    ledger = line_ledger(spark, sf)
+    for workers in range(1, 6):
+        append_sweep(ledger.filter(F.col("Workers") == workers), path)
+        if workers % 2 == 0:
+            version = compact_in_place(spark, path, fixed.LEDGER_SCHEMA)
+    vacuum(spark, path)
+    return (
+        read_sweep(spark, path)
+        .groupBy("Workers", "Algorithm")
+        .agg(
+            F.count(F.lit(1)).alias("row_count"),
+            F.sum("RecordCount").alias("records"),
+            F.round(F.sum("ExecutionSpeed"), 6).alias("speeds"),
+            F.lit(version).alias("version"),
+        )
+    )
+
+
 SQL_SHARE = (
     "CAST('0x' || substr(md5('42|' || concat_ws('|', "
     + ", ".join(LEDGER_KEYS)
@@ -252,6 +281,32 @@ def train_test_split(spark, sf):
     )
 
 
+SQL_HASH = (
+    "CAST('0x' || substr(md5('42|' || concat_ws('|', " + ", ".join(LEDGER_KEYS) + ")), 1, 15) AS BIGINT)"
+)
+
+
+@query(
+    f"""
+    WITH {SQL_LEDGER}, {SQL_TRAINING},
+    ranked AS (
+      SELECT *, row_number() OVER (ORDER BY {SQL_HASH}, {", ".join(LEDGER_KEYS)}, BestBySpeed, BestByAccuracy) AS place,
+             count(*) OVER () AS n
+      FROM training
+    )
+    SELECT CASE WHEN place <= ceil(n * 0.2::DOUBLE) THEN 'test' ELSE 'train' END AS side,
+           {", ".join(LEDGER_KEYS)}, BestBySpeed, BestByAccuracy
+    FROM ranked
+    """
+)
+def exact_split(spark, sf):
+    """A fifth of the rows, to the row, held out."""
+    path = scratch_path(spark, "exact-split")
+    recommend.training_set(line_ledger(spark, sf)).write.parquet(path)
+    training, test = recommend.split_exact(spark.read.parquet(path))
+    return training.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test")))
+
+
 # --- a ledger with a plain rule behind it, which forests can learn ------------
 
 SQL_SPEED_RULE = "CASE WHEN {c} <= 2 THEN 0 WHEN {c} <= 3 THEN 1 ELSE 2 END"
@@ -298,6 +353,19 @@ def forest_accuracy(spark, sf):
     return models.evaluate(test).withColumn("tested", F.lit(not test.isEmpty()))
 
 
+@query("SELECT 1.0::DOUBLE AS speed, 1.0::DOUBLE AS accuracy, 100 AS trees, TRUE AS tested")
+def forest_defaults(spark, sf):
+    """The forests at their own size, 100 trees, and exactly a fifth held out."""
+    models, test = train_recommender(ruled_ledger(spark, sf), exact=True)
+    forests = [model.stages[1] for model in (models.speed, models.accuracy)]
+    return models.evaluate(test).withColumns(
+        {
+            "trees": F.lit(min(forest.getNumTrees for forest in forests)),
+            "tested": F.lit(not test.isEmpty()),
+        }
+    )
+
+
 SQL_TITLES = f"['{fixed.KMEANS_TITLE}', '{fixed.BISECTING_TITLE}', '{fixed.MIXTURE_TITLE}']"
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from coterie.functions import fixed
 from coterie.operators.grid import expand, grid, remaining
@@ -61,8 +61,9 @@ def synthetic_table(spark, sf):
 def random_columns(spark, sf):
     """A random column of each kind beside the rows of a table: the means are
     within five standard errors of 1/2, 0 and 1."""
+    row = F.monotonically_increasing_id()
     drawn = table(spark, sf, "lineitem").select(
-        uniform(11).alias("u"), normal(12).alias("n"), exponential(13).alias("e")
+        uniform(11, row).alias("u"), normal(12, row).alias("n"), exponential(13, row).alias("e")
     )
 
     def fits(name, mean, deviation):
@@ -77,6 +78,34 @@ def random_columns(spark, sf):
     )
 
 
+@query(
+    """
+    SELECT parts, count(*) AS row_count, TRUE AS same, TRUE AS apart
+    FROM orders, (SELECT unnest([1, 4, 16]) AS parts) GROUP BY parts
+    """
+)
+def random_repeats(spark, sf):
+    """Three random columns by order, drawn in 1, 4 and 16 partitions: the same values, row by
+    row, and no value twice in a column."""
+    orders = table(spark, sf, "orders").select("o_orderkey")
+    row = F.col("o_orderkey")
+    drawn = [uniform(21, row).alias("u"), normal(22, row).alias("n"), exponential(23, row).alias("e")]
+
+    def summary(parts):
+        print_ = F.xxhash64("o_orderkey", "u", "n", "e")
+        return orders.repartition(parts).select("o_orderkey", *drawn).agg(
+            F.lit(parts).alias("parts"),
+            F.count(F.lit(1)).alias("row_count"),
+            F.struct(F.bit_xor(print_), F.sum(F.pmod(print_, F.lit(1 << 40)))).alias("print"),
+            (F.count_distinct("u") == F.count_distinct("o_orderkey")).alias("apart"),
+        )
+
+    found = union_ledgers([summary(parts) for parts in (1, 4, 16)])
+    whole = Window.partitionBy(F.lit(0))  # three rows
+    same = F.min("print").over(whole) == F.max("print").over(whole)
+    return found.select("parts", "row_count", same.alias("same"), "apart")
+
+
 SQL_POINTS = """
     points AS (
       SELECT c.c_nationkey, c.RecordCount, f.FeaturesCount, k.Clusters, i.maxIteration

@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -94,7 +96,20 @@ def test_fits_repeat_wherever_the_rows_come_from(spark):
             result = cluster(rows.repartition(parts), ["x", "y"], title, 4, 10, partitions=4)
             labels = [r[0] for r in result.labelled.orderBy("id").select("prediction").collect()]
             found.append((result.quality, labels))
-        assert found[0] == found[1] == found[2]
+        assert found[0][1] == found[1][1] == found[2][1]
+        # sums of partitions come in any order
+        assert [quality for quality, _ in found] == pytest.approx([found[0][0]] * 3, rel=1e-12)
+
+
+def test_few_partitions_are_dealt_out_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "SPREAD_ROWS", 100)
+    monkeypatch.setattr(clustering, "SPREAD", 6)
+    for parts, rows, expected in ((1, 250, 3), (2, 10_000, 6), (8, 10_000, 8), (1, 50, 1)):
+        frame = spark.range(rows, numPartitions=parts).select(F.col("id").cast("double").alias("x"))
+        with clustering.held(assemble(frame, ["x"], keep_input=False)) as vectors:
+            assert vectors.rdd.getNumPartitions() == expected
+            assert vectors.count() == rows
+            assert vectors.storageLevel.useDisk and not vectors.storageLevel.useMemory
 
 
 def test_rows_above_a_fit_are_computed_once(spark):
@@ -163,10 +178,52 @@ def test_generated_tables_repeat(spark):
     assert first.rdd.getNumPartitions() == 10
     assert first.exceptAll(second).count() == 0
     assert first.columns == ["id", *[f"feature_{i}" for i in range(5)]]
+    for size in (1000, 250, 63):  # 1, 4 and 16 partitions
+        other = generate_table(spark, 1000, 5, seed=3, rows_per_partition=size)
+        assert sorted(other.collect()) == sorted(first.collect())
+    part = generate_table(spark, 1000, 5, seed=4)
+    assert part.select("feature_0").exceptAll(first.select("feature_0")).count() > 900
     assert choose_distributions(9, 4) == choose_distributions(9, 4)
     assert len(set(choose_distributions(50, 4))) == 3
 
 
+def test_draws_are_spread_like_their_distributions(spark):
+    from coterie.operators.synthetic import exponential, normal, uniform
+
+    rows = spark.range(20_000).select(
+        uniform(5, F.col("id")).alias("u"), uniform(6, F.col("id")).alias("v"),
+        normal(7, F.col("id")).alias("n"), exponential(8, F.col("id")).alias("e"),
+    )
+    found = rows.agg(
+        F.min("u"), F.max("u"), F.corr("u", "v"), F.skewness("n"), F.stddev("n"), F.stddev("e"),
+        F.avg((F.abs("n") < 1.959964).cast("int")), F.avg((F.col("e") > 1).cast("int")),
+        F.kurtosis("n"),
+    ).first()
+    assert 0 < found[0] < 0.001 and 0.999 < found[1] < 1
+    assert abs(found[2]) < 0.03 and abs(found[3]) < 0.08 and abs(found[8]) < 0.2
+    assert found[4] == pytest.approx(1, abs=0.02) and found[5] == pytest.approx(1, abs=0.04)
+    assert found[6] == pytest.approx(0.95, abs=0.01) and found[7] == pytest.approx(math.exp(-1), abs=0.015)
+
+
+def test_row_index_is_dense(spark, tmp_path):
+    from coterie.operators.numbering import with_row_index
+
+    frame = spark.range(1000, numPartitions=7).filter("id % 5 <> 0 and id > 300").select(F.col("id").alias("a.b"), "id")
+    numbered = with_row_index(frame, "n")
+    assert numbered.columns == ["n", "a.b", "id"]
+    rows = sorted(numbered.collect())
+    assert [r[0] for r in rows] == list(range(frame.count()))
+    assert [r[1] for r in rows] == sorted(r[1] for r in rows)  # the order of the partitions
+    assert with_row_index(frame.limit(0), "n").collect() == []
+    with pytest.raises(ValueError, match="rename"):
+        with_row_index(frame, "ID")
+    labelled = assemble(frame.select("id"), ["id"]).withColumn("prediction", F.lit(0))
+    write_labelled(labelled, str(tmp_path / "r"), row_index="row")
+    back = read_csv(spark, str(tmp_path / "r"))
+    assert back.columns == ["row", "id", "prediction"]
+    assert sorted(r[0] for r in back.collect()) == list(range(frame.count()))
+
+
 def test_labelled_rows_replace_old_ones(spark, tmp_path):
     df = assemble(spark.range(3).withColumn("x", F.col("id") * 1.5), ["x"])
     for _ in range(2):

@@ -166,6 +166,21 @@ def test_intake_and_catalog(spark, folder):
     assert catalog["bob", "taken"]["headers"] == ["a", "b"]
 
 
+def test_sizes_of_files_without_bytes_and_odd_names(spark, tmp_path):
+    folder = tmp_path / "a b+c%20"
+    (folder / "deep=1").mkdir(parents=True)
+    for name, text in {"x.csv": "12", "empty.csv": "", "é +%41.csv": "123", "deep=1/y.csv": "1", "_hidden": "1", ".z": "1"}.items():
+        (folder / name).write_text(text)
+    wanted = {"x.csv": 2, "empty.csv": 0, "é +%41.csv": 3, "y.csv": 1}
+    found = read_file_sizes(spark, [str(folder), str(tmp_path / "nothing")]).collect()
+    assert {r.filename: r.size for r in found} == wanted and len(found) == 4
+    assert {r.path for r in found if r.filename != "y.csv"} == {
+        f"file:{folder}/{name}" for name in wanted if name != "y.csv"
+    }
+    assert [tuple(r)[1:] for r in read_file_sizes(spark, str(folder / "empty.csv")).collect()] == [("empty.csv", 0)]
+    assert read_file_sizes(spark, str(tmp_path / "nothing")).collect() == []
+
+
 def test_csv_types_and_spaces(spark, tmp_path):
     (tmp_path / "people.csv").write_text("name,age,score\nann, 42,1.5\nbob,23, 2\n")
     df = read_csv(spark, str(tmp_path / "people.csv"))

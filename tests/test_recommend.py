@@ -1,5 +1,6 @@
 import itertools
 import math
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,6 +135,83 @@ def test_sweep_resumes_after_a_gap(spark, tmp_path):
     assert recommend.incomplete(rows).count() == 1
 
 
+def sweep_row(spark, i):
+    return ledger(spark, [((1, 2, 3), (1, 2, 3))], lambda _: (10, 2, 1 + i % 2, 80, i, 3))
+
+
+def counts(rows):
+    return sorted(r[0] for r in rows.select("RecordCount").collect())
+
+
+def test_appends_during_a_compaction_are_kept(spark, tmp_path, monkeypatch):
+    from coterie.sources import ledgers
+
+    path = str(tmp_path / "ledger")
+    for i in range(3):
+        append_sweep(sweep_row(spark, i), path)
+    begun = read_sweep(spark, path)
+    plain = ledgers.rename
+
+    def late(*args):  # after the rows were taken, before the version is there
+        append_sweep(sweep_row(spark, 3), path)
+        assert counts(read_sweep(spark, path)) == [0, 0, 0, 1, 1, 1, 2, 2, 2, 3, 3, 3]
+        return plain(*args)
+
+    monkeypatch.setattr(ledgers, "rename", late)
+    assert ledgers.compact_in_place(spark, path, fixed.LEDGER_SCHEMA) == 1
+    monkeypatch.setattr(ledgers, "rename", plain)
+    assert counts(begun) == [0, 0, 0, 1, 1, 1, 2, 2, 2]
+    assert counts(read_sweep(spark, path)) == [0, 0, 0, 1, 1, 1, 2, 2, 2, 3, 3, 3]
+    assert read_sweep(spark, path).columns == begun.columns
+
+    append_sweep(sweep_row(spark, 4), path)
+    writer = threading.Thread(target=lambda: [append_sweep(sweep_row(spark, i), path) for i in range(5, 9)])
+    writer.start()
+    versions = [ledgers.compact_in_place(spark, path, fixed.LEDGER_SCHEMA) for _ in range(2)]
+    writer.join()
+    assert versions == [2, 3]
+    everything = [i for i in range(9) for _ in range(3)]
+    assert counts(read_sweep(spark, path)) == everything
+    ledgers.vacuum(spark, path)
+    assert counts(read_sweep(spark, path)) == everything
+    assert counts(read_sweep(spark, path).filter("Workers = 2")) == [i for i in everything if i % 2]
+    assert ledgers.compact_in_place(spark, path, fixed.LEDGER_SCHEMA) == 4
+    ledgers.vacuum(spark, path)
+    assert counts(read_sweep(spark, path)) == everything
+    assert len(spark.read.parquet(*(str(p) for p in (tmp_path / "ledger" / "_compacted").iterdir())).inputFiles()) == 1
+
+
+def test_second_of_two_compactions_changes_nothing(spark, tmp_path, monkeypatch):
+    from coterie.sources import ledgers
+
+    path = str(tmp_path / "ledger")
+    append_sweep(sweep_row(spark, 0), path)
+    plain, other = ledgers.rename, []
+
+    def late(*args):
+        if not other:
+            other.append(1)
+            ledgers.compact_in_place(spark, path, fixed.LEDGER_SCHEMA)
+        return plain(*args)
+
+    monkeypatch.setattr(ledgers, "rename", late)
+    with pytest.raises(RuntimeError, match="ended first"):
+        ledgers.compact_in_place(spark, path, fixed.LEDGER_SCHEMA)
+    assert counts(read_sweep(spark, path)) == [0, 0, 0]
+
+
+def test_exact_split(spark):
+    rows = [(k, k % 3, f"t{k}") for k in range(1001)] + [(7, 0, "same")] * 500 + [(None, None, None)] * 3
+    frame = spark.createDataFrame(rows, "a int, b int, `c d` string")
+    for share, keys in ((0.2, ["a", "b"]), (0.5, ["b"]), (0.0, ["a"]), (1.0, ["a"]), (0.333, ["b", "c d"])):
+        sides = [recommend.split_exact(frame.repartition(n), share, 42, keys) for n in (1, 5)]
+        (train, test), other = [[sorted(map(repr, side.collect())) for side in pair] for pair in sides]
+        assert [train, test] == other
+        assert len(test) == math.ceil(len(rows) * share)
+        assert sorted(train + test) == sorted(repr(r) for r in frame.collect())
+    assert [side.count() for side in recommend.split_exact(frame.limit(0), 0.2, 42, ["a"])] == [0, 0]
+
+
 def test_few_rows_make_one_file_and_ledgers_compact(spark, tmp_path):
     from coterie.sources.ledgers import compact
 
