@@ -6,6 +6,8 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from coterie.session import scratch_path
+
 
 def read_lines(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
     """One row per line: ``path, block, position, line``.
@@ -41,7 +43,7 @@ def read_file_sizes(spark: SparkSession, paths: str | Iterable[str]) -> DataFram
 
     Spark lists the folders, in parallel where there are many, and gives the sizes with the
     scan; contents are not read. A scan leaves out files without bytes: these are the
-    listed names that it did not give.
+    listed names that it did not give. The listing is written once, as it is now.
     """
     there = [name for name in ([paths] if isinstance(paths, str) else paths) if exists(spark, name)]
     if not there:
@@ -50,11 +52,14 @@ def read_file_sizes(spark: SparkSession, paths: str | Iterable[str]) -> DataFram
     sized = files.select(plain_path(spark, F.col("path")).alias("path"), F.col("length").alias("size"))
     listed = listed_names(files).select(plain_path(spark, decoded(F.col("value"))).alias("path"))
     found = listed.distinct().join(sized.groupBy("path").agg(F.max("size").alias("size")), "path", "left")
-    return found.select(
+    found = found.select(
         "path",
         F.regexp_extract("path", "([^/]*)$", 1).alias("filename"),
         F.coalesce("size", F.lit(0)).cast("bigint").alias("size"),
     )
+    target = scratch_path(spark, "file-sizes")
+    found.write.parquet(target)
+    return spark.read.schema(found.schema).parquet(target)
 
 
 def exists(spark: SparkSession, name: str) -> bool:

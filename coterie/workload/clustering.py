@@ -476,5 +476,5 @@ def indexed_result(spark, sf):
         F.count(F.lit(1)).alias("row_count"),
         F.round(F.sum("x"), 4).alias("x_total"),
         F.lit(found["dense"]).alias("dense"),
-        F.lit(found["last"]).alias("last"),
+        F.lit(found["last"]).cast("bigint").alias("last"),
     )
