@@ -81,7 +81,30 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+@query(
+    r"""
+    WITH RECURSIVE words AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+        FROM documents
+    ), sets AS (
+        SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - 2), lambda k: array_to_string(w[k:k + 3], ' ')) END) AS grams
+        FROM words
+    ), members AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM sets),
+    links AS (
+        SELECT a.doc_id AS x, b.doc_id AS y
+        FROM members a JOIN members b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+            AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+        GROUP BY x, y HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))
+    ), reach AS (
+        SELECT doc_id AS x, doc_id AS y FROM sets
+        UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y
+    )
+    SELECT x AS doc_id, any_value(len(grams))::BIGINT AS n_shingles, min(y) AS component_id
+    FROM reach JOIN sets ON sets.doc_id = x GROUP BY x
+    """
+)
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(table(spark, sf_dir, "documents"))
 
