@@ -36,7 +36,7 @@ FACTORS = 4
 EPOCHS, BATCH, RATE = 16, 256, 0.05
 DECAY = (0.0, 0.01, 0.5)  # of the bias, the weights and the factors, for each unit of RATE
 SEED = 3
-MEMO = 1 << 19
+MEMO = 1 << 18
 LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
