@@ -69,7 +69,7 @@ def conversations(seed, talks, most, texts):
     return rows
 
 
-@pytest.mark.parametrize("segment, burst", [(10, 1 << 16), (2, 1 << 16), (1, 200), (10, 40), (3, 100)])
+@pytest.mark.parametrize("segment, burst", [(10, 1 << 16), (2, 200), (10, 60)])
 def test_matches_brute_force(spark, segment, burst, monkeypatch):
     monkeypatch.setattr(prefix_trie, "SEGMENT", segment)
     monkeypatch.setattr(prefix_trie, "BURST", burst)

@@ -51,6 +51,51 @@ def test_a_pair_counts_for_more_than_its_parts():
     assert score("bala dolt") < 0.3 and score("dilo marsians") < 0.3 and score("bala") < 0.3
 
 
+def plain_score(bias, weights, factors, present):
+    total = bias + sum(weights[i] for i in present)
+    for i, j in itertools.combinations(present, 2):
+        total += sum(a * b for a, b in zip(factors[i], factors[j]))
+    return 1 / (1 + np.exp(-total))
+
+
+def test_score_is_the_sum_over_pairs():
+    rng = np.random.default_rng(2)
+    machine = toxicity.Machine(-0.3, np.arange(9), rng.normal(size=9), rng.normal(size=(9, 4)))
+    for size in range(10):
+        present = np.sort(rng.choice(9, size, replace=False))
+        wanted = plain_score(machine.bias, machine.weights, machine.factors, present.tolist())
+        assert machine.score(present) == pytest.approx(wanted, rel=1e-12)
+
+
+def test_pair_interactions_match_plain_counts():
+    """The z scores of pairs beside log odds ratios counted one by one."""
+    rng = np.random.default_rng(4)
+    terms = np.array([3, 8, 21, 40, 77], np.int64)
+    rows = [np.sort(rng.choice(terms, rng.integers(0, 6), replace=False)).astype(np.int32) for _ in range(900)]
+    labels = rng.integers(0, 2, len(rows))
+    one = [row for row, label in zip(rows, labels) if label]
+    zero = [row for row, label in zip(rows, labels) if not label]
+
+    def z(a, b):
+        ratio = spread = 0.0
+        for part, sign in ((one, 1), (zero, -1)):
+            cells = np.full((2, 2), 0.5)
+            for row in part:
+                cells[int(a in row), int(b in row)] += 1
+            ratio += sign * np.log(cells[1, 1] * cells[0, 0] / cells[0, 1] / cells[1, 0])
+            spread += (1 / cells).sum()
+        return abs(ratio) / np.sqrt(spread)
+
+    wanted = [max(z(a, b) for b in terms if b != a) for a in terms]
+    assert toxicity.interactions(one, zero, terms) == pytest.approx(wanted, rel=1e-4)
+
+
+def test_words_of_a_long_text():
+    text = " ".join("".join(p) for p in itertools.product("abcdefgh", repeat=6)).encode()
+    found = toxicity.buckets(text)
+    assert len(found) > 200_000 and (np.diff(found) > 0).all()
+
+
 def frame(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string, score string, label int, held_out int")
 
