@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coterie.llm.components import components
-from coterie.llm.tables import stage, utf8
+from coterie.llm.tables import make_room, stage, utf8
 
 CELL_BITS = 26  # of the sketch that orders shingles by frequency: 32 MB when broadcast
 PART_BITS = 20
@@ -61,6 +61,7 @@ def count_cells(size: int) -> Callable:
     of a part that have any, and their counts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         seen = [np.empty(0, np.uint32)]
         for batch in batches:
             seen += [cells(shingles(text, size)) for text in utf8(batch.column(0))]
@@ -136,6 +137,7 @@ def prefix(hashes: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
 
 def profile(levels, size: int, percent: int) -> Callable:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         for batch in batches:
             counts, prints, groups, prefixes, keys = [], [], [], [], []
             for text in utf8(batch.column(1)):
@@ -165,6 +167,7 @@ def verify(size: int, percent: int) -> Callable:
     """Keeps (a, b) of (a, b, text_a, text_b) whose whole sets are similar enough."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         last, first = None, None
         for batch in batches:
             keep = []

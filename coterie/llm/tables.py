@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import shutil
+import sys
 import tempfile
 from collections.abc import Iterator
 
@@ -50,6 +52,17 @@ def blocks(sizes: list[int], most: int) -> Iterator[slice]:
         yield slice(begin, len(sizes))
 
 
+def make_room() -> None:
+    """Gives back what earlier tasks of this Python worker left: encoders with their memos,
+    which only tasks that encode have a use for, and freed memory that is still held."""
+    words = sys.modules.get("coterie.llm.word_tokens")
+    if words is not None:
+        words.word_encoder.cache_clear()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        getattr(ctypes.CDLL(None), "malloc_trim", int)(0)
+
+
 def ship(spark: SparkSession) -> None:
     """Hands this package to the executors, once for a session's context."""
     context = spark.sparkContext

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coterie.llm.tables import utf8
+from coterie.llm.tables import make_room, utf8
 
 BUCKETS = 1 << 20
 STEM = 4  # letters of a word's beginning
@@ -224,6 +224,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # ``rows`` small rows
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         for batch in batches:
             found = [buckets(text).astype("<i4", copy=False).tobytes() for text in utf8(batch.column(0))]
             yield pa.RecordBatch.from_arrays(
@@ -234,6 +235,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
         rows = [(row["buckets"], row["label"]) for b in batches for row in b.to_pylist()]
         rows.sort(key=lambda row: (xxhash.xxh3_64_intdigest(row[0]), row[1]))
         model = fit([np.frombuffer(row[0], "<i4") for row in rows], np.array([row[1] for row in rows], np.float64))
+        rows.clear()
+        make_room()
         yield pa.RecordBatch.from_pydict(
             {
                 "bias": [model.bias],
@@ -284,6 +287,8 @@ def scoring(model) -> Callable:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"]
             )
+        memo.clear()
+        make_room()
 
     return apply
 
