@@ -7,9 +7,9 @@ a pair; of the other rows only the two that a contraction touches are joined aga
 concatenates in order. DuckDB runs in the memory of the Python worker, on one thread,
 over blocks of bounded size.
 
-Texts repeat words, so both directions work on distinct pieces. A text is cut before
-spaces that follow a character other than white space, where the pattern always cuts;
-ids are cut before those whose bytes begin with a space. Neither changes a result.
+Texts repeat words, so each distinct word is encoded once and remembered. Ids are decoded
+text by text. Long texts are worked on in parts: a text is cut before spaces that follow a
+character other than white space, where the pattern always cuts, and ids anywhere.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import functools
 import heapq
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import duckdb
 import numpy as np
@@ -32,9 +33,12 @@ from coterie.llm.tables import blocks, utf8
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 QUERY_BYTES = 1 << 19  # bytes of words in one query
+QUERY_IDS = 1 << 20  # that are decoded by one query
+PART_IDS = 1 << 16  # in one group of the ordered aggregation
 LONG = 128  # a round contracts one pair of a word; longer words take too many rounds
-MEMO = 200_000  # of each of the two generations of pieces that a worker remembers
+MEMO = 400_000  # of each of the two generations of words that a worker remembers
 BLOCK_BYTES = 4 << 20  # of text that is worked on at once
+PART_CHARS = 1 << 20  # after which a long text is cut where it can be
 
 ENCODE = """
 WITH RECURSIVE step(word, place, token, after, next, pair, round) AS (
@@ -66,8 +70,8 @@ FROM step JOIN ended USING (word, round) GROUP BY word ORDER BY word
 """
 
 DECODE = """
-SELECT piece, string_agg(bytes, '' ORDER BY place) AS bytes
-FROM ids JOIN vocabulary USING (id) GROUP BY piece ORDER BY piece
+SELECT part, string_agg(bytes, '' ORDER BY place) AS bytes
+FROM ids JOIN vocabulary USING (id) GROUP BY part ORDER BY part
 """
 
 
@@ -119,10 +123,10 @@ class Memo:
     """What was worked out before, in two generations of bounded size."""
 
     def __init__(self):
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def get(self, keys: set[bytes], work_out: Callable) -> dict[bytes, bytes]:
+    def get(self, keys: set[str], work_out: Callable) -> dict[str, bytes]:
         """A table that has all ``keys``; ``work_out`` gives pairs for the ones not known."""
         if len(self.new) > MEMO:
             self.new, self.old = {}, self.new
@@ -138,39 +142,39 @@ class Coder:
     def __init__(self, path: str, pattern: str):
         self.ranks = read_ranks(path)
         self.pattern = regex.compile(pattern)
-        self.white_before_space = regex.compile(r"\s ")
         self.safe_cut = regex.compile(r"(?<=\S)(?= )")
         self.database = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         merges = merge_rows(self.ranks)
         vocabulary = pa.table(
             {
                 "id": pa.array(self.ranks.values(), pa.int32()),
-                "bytes": [token.hex() for token in self.ranks],
+                "bytes": [token.decode("latin-1") for token in self.ranks],  # a character for each byte
             }
         )
         for name, rows in (("merges", merges), ("vocabulary", vocabulary)):
             self.database.register("rows", rows)
             self.database.execute(f"CREATE TABLE {name} AS SELECT * FROM rows")
         self.of_byte = np.array([self.ranks[bytes([k])] for k in range(256)], np.int32)
-        self.spaced = np.zeros(max(self.ranks.values()) + 1, np.bool_)
-        self.spaced[[token for whole, token in self.ranks.items() if whole[:1] == b" "]] = True
-        self.word_ids, self.piece_bytes = Memo(), Memo()
-
-    def units(self, text: str) -> list[str]:
-        """Cuts where the pattern cuts in any case."""
-        if self.white_before_space.search(text):
-            return self.safe_cut.split(text)
-        first, *rest = text.split(" ")
-        spaced = [" " + part for part in rest]
-        return [first, *spaced] if first else spaced
-
-    def encode_words(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """Each word with its ids, in another order."""
-        for word in words:
-            if len(word) > LONG:
-                yield word, np.array(merge_long(word, self.ranks), "<u4").tobytes()
-        words = [word for word in words if len(word) <= LONG]
-        for block in blocks([len(word) for word in words], QUERY_BYTES):
+        self.known = np.zeros(max(self.ranks.values()) + 1, np.bool_)
+        self.known[list(self.ranks.values())] = True
+        self.word_ids = Memo()
+
+    def parts(self, text: str) -> Iterator[str]:
+        """A long text, cut where the pattern cuts in any case."""
+        begin = 0
+        while len(text) - begin > PART_CHARS and (cut := self.safe_cut.search(text, begin + PART_CHARS)):
+            yield text[begin : cut.start()]
+            begin = cut.start()
+        yield text[begin:]
+
+    def encode_words(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each word with its ids, in another order: words of a length take as many rounds."""
+        coded = sorted(((text.encode(), text) for text in texts), key=lambda word: len(word[0]))
+        words, texts = [word for word, _ in coded], [text for _, text in coded]
+        short = sum(len(word) <= LONG for word in words)
+        for word, text in zip(words[short:], texts[short:], strict=True):
+            yield text, np.array(merge_long(word, self.ranks), "<u4").tobytes()
+        for block in blocks([len(word) for word in words[:short]], QUERY_BYTES):
             part = words[block]
             lengths = np.array([len(word) for word in part])
             ends = np.cumsum(lengths)
@@ -191,47 +195,47 @@ class Coder:
             ids = self.database.sql(ENCODE).to_arrow_table().column("ids").combine_chunks()
             flat = ids.flatten().to_numpy().astype("<u4").tobytes()
             at = (4 * (ids.offsets.to_numpy() - ids.offsets[0].as_py())).tolist()
-            yield from zip(part, (flat[a:b] for a, b in zip(at, at[1:])), strict=True)
+            yield from zip(texts[block], (flat[a:b] for a, b in zip(at, at[1:])), strict=True)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        out = []
-        for block in blocks([len(text) for text in texts], BLOCK_BYTES):
-            cut = [self.units(text) if text else [] for text in texts[block]]
-            units = list(set().union(*cut))
-            split = [[word.encode() for word in self.pattern.findall(unit)] for unit in units]
+        cut = [list(self.parts(text)) for text in texts]
+        parts = [part for one in cut for part in one]
+        coded = []
+        for block in blocks([len(part) for part in parts], BLOCK_BYTES):
+            split = [self.pattern.findall(part) for part in parts[block]]
             ids = self.word_ids.get(set().union(*split), self.encode_words)
-            of_unit = {unit: b"".join(map(ids.__getitem__, words)) for unit, words in zip(units, split)}
-            out += [b"".join(map(of_unit.__getitem__, one)) for one in cut]
-        return out
-
-    def decode_pieces(self, pieces: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        for block in blocks([len(piece) for piece in pieces], QUERY_BYTES):
-            part = pieces[block]
-            lengths = np.array([len(piece) // 4 for piece in part])
+            coded += [b"".join(map(ids.__getitem__, words)) for words in split]
+        each = iter(coded)
+        return [b"".join(islice(each, len(one))) for one in cut]
+
+    def decode(self, coded: list[bytes]) -> list[bytes]:
+        """The bytes of each text's ids; an id that is not in the file is an error."""
+        counts = [max(1, -(-len(one) // (4 * PART_IDS))) for one in coded]
+        step = 4 * PART_IDS
+        parts = [one[k * step : (k + 1) * step] for one, count in zip(coded, counts) for k in range(count)]
+        decoded = []
+        for block in blocks([len(part) // 4 for part in parts], QUERY_IDS):
+            lengths = np.array([len(part) // 4 for part in parts[block]])
+            ids = np.frombuffer(b"".join(parts[block]), "<u4")
+            if not self.known.take(ids, mode="clip").all() or ids.max(initial=0) >= len(self.known):
+                raise ValueError("an id is not in the rank file")
             begins = np.cumsum(lengths) - lengths
             rows = pa.table(
                 {
-                    "piece": np.repeat(np.arange(len(part), dtype=np.int32), lengths),
-                    "place": (np.arange(lengths.sum()) - np.repeat(begins, lengths)).astype(np.int32),
-                    "id": np.frombuffer(b"".join(part), "<u4").astype(np.int32),
+                    "part": np.repeat(np.arange(len(lengths), dtype=np.int32), lengths),
+                    "place": (np.arange(len(ids)) - np.repeat(begins, lengths)).astype(np.int32),
+                    "id": ids.astype(np.int32),
                 }
             )
             self.database.register("ids", rows)
-            found = self.database.sql(DECODE).to_arrow_table().column("bytes")
-            yield from zip(part, map(bytes.fromhex, found.to_pylist()), strict=True)
-
-    def decode(self, coded: list[bytes]) -> list[bytes]:
-        """The bytes of each text's ids; an id that is not in the file is an error."""
-        out = []
-        for block in blocks([len(one) for one in coded], BLOCK_BYTES):
-            cut = []
-            for one in coded[block]:
-                ends = [*(4 * np.flatnonzero(self.spaced[np.frombuffer(one, "<u4")])).tolist(), len(one)]
-                cut.append([one[a:b] for a, b in zip([0, *ends], ends) if b > a])
-            texts = self.piece_bytes.get(set().union(*cut), self.decode_pieces)
-            out += [b"".join(map(texts.__getitem__, one)) for one in cut]
-        return out
+            found = self.database.sql(DECODE).to_arrow_table()
+            out = [b""] * len(lengths)
+            for k, text in zip(found.column("part").to_pylist(), found.column("bytes").to_pylist()):
+                out[k] = text.encode("latin-1")
+            decoded += out
+        each = iter(decoded)
+        return [b"".join(islice(each, count)) for count in counts]
 
 
 @functools.lru_cache(maxsize=1)

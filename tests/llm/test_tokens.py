@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 import sentencepiece
 import tiktoken
 from hypothesis import given, settings
@@ -228,6 +229,23 @@ def test_byte_bpe_of_odd_texts(monkeypatch):
     assert coder.decode(found) == [t.encode() for t in texts]
 
 
+def test_byte_bpe_of_long_texts_in_parts(monkeypatch):
+    """Texts and ids are worked on in parts; nothing changes where they are cut."""
+    encoding = reference()
+    for name, size in (("PART_CHARS", 50), ("BLOCK_BYTES", 300), ("PART_IDS", 7), ("QUERY_IDS", 40)):
+        monkeypatch.setattr(byte_bpe, name, size)
+    coder = byte_bpe.Coder(byte_bpe.RANKS, public_tokenizers.PATTERN)
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["ab", "I'll", " ", "  ", "\n", "\t", "é", "字", "12", "!?", "\0", "\x1c", "\u3000"]) for _ in range(n)) for n in (0, 1, 60, 400, 3000)]
+    texts += ["", "x" * 400, " " * 400, "\n " * 200, "a " * 300]
+    found = coder.encode(texts)
+    assert [np.frombuffer(one, "<u4").tolist() for one in found] == [encoding.encode_ordinary(t) for t in texts]
+    assert coder.decode(found) == [t.encode() for t in texts]
+    assert coder.encode([]) == [] == coder.decode([])
+    with pytest.raises(ValueError):
+        coder.decode([np.array([5, 10**6], "<u4").tobytes()])
+
+
 def test_packing_of_short_equal_pieces_keeps_groups_bounded(spark, tmp_path, monkeypatch):
     """A level that opens all it packed still hands on half of its rows at most."""
     pack_lengths = packing.pack_lengths
