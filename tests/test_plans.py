@@ -73,3 +73,22 @@ def test_fold_is_one_shuffle_with_partial_results(spark):
     text = plan(run_states(run_events(spark, SF)))
     assert text.count("Exchange hashpartitioning") == 1
     assert "partial_max_by" in text
+
+
+def test_random_draws_are_dealt_out_by_value_before_they_are_counted(spark, monkeypatch):
+    from coterie.workload import sweeping
+
+    monkeypatch.setattr(sweeping, "VALUES_PER_PARTITION", 100)
+    text = plan(QUERIES["random_repeats"](spark, SF))
+    assert "Expand" not in text and "Exchange hashpartitioning(value" in text
+    for drawn in text.split("Exchange hashpartitioning(value")[1:]:
+        assert "REPARTITION_BY_NUM" in drawn.splitlines()[0]
+        assert "HashAggregate" not in drawn.split("Exchange")[0]  # nothing is held by the drawing task
+
+
+def test_a_value_drawn_twice_is_seen(spark, monkeypatch):
+    from coterie.workload import sweeping
+
+    monkeypatch.setattr(sweeping, "uniform", lambda seed, row: (row - row % 64).cast("double"))
+    found = QUERIES["random_repeats"](spark, SF).collect()
+    assert [(r["same"], r["apart"]) for r in found] == [(True, False)] * 3
