@@ -7,6 +7,8 @@ centres, costs, silhouettes and likelihoods all have a closed form to match.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -21,9 +23,14 @@ from coterie.sources.csv import read_csv, write_csv, write_labelled
 from coterie.sources.ledgers import read_ledger
 from coterie.workload.registry import query, table
 
-# The given tables are one file each. A fixed number of partitions, so that fits repeat
-# on any machine.
-PARTITIONS = 8
+# The given tables are one file each. The number of partitions depends on the rows alone, so
+# that fits repeat on any machine, and no task gets more rows as a table grows.
+PARTITIONS, PARTITION_ROWS = 8, 500_000
+
+
+def partitions(points) -> int:
+    return max(PARTITIONS, math.ceil(points.count() / PARTITION_ROWS))
+
 
 # --- lineitem moved into three groups far apart -------------------------------
 
@@ -134,14 +141,14 @@ SQL_COST_SCORES = f"""
 def assigned(spark, sf, name):
     """The rows of three groups with the cluster a fitted model gives them."""
     points = grouped_points(spark, sf)
-    with clustering.held(assemble(points, ["x", "y"], keep_input=False), PARTITIONS) as vectors:
+    with clustering.held(assemble(points, ["x", "y"], keep_input=False), partitions(points)) as vectors:
         fitted = clustering.fit(vectors, name, k=3, max_iter=20)
     return clustering.assign(fitted.model, assemble(points, ["x", "y"]))
 
 
 def scores(spark, sf, name):
     points = grouped_points(spark, sf)
-    result = cluster(points, ["x", "y"], name, k=3, max_iter=20, partitions=PARTITIONS)
+    result = cluster(points, ["x", "y"], name, k=3, max_iter=20, partitions=partitions(points))
     total = points.count()
     return one_row(
         points,
@@ -187,7 +194,7 @@ def best_mixture(vectors, k, seeds=(1, 2, 3)):
 )
 def mixture_groups(spark, sf):
     points = paired_points(spark, sf)
-    with clustering.held(assemble(points, ["x", "y"], keep_input=False), PARTITIONS) as vectors:
+    with clustering.held(assemble(points, ["x", "y"], keep_input=False), partitions(points)) as vectors:
         model = best_mixture(vectors, 2).model
     weights = F.array(*[F.lit(float(w)) for w in model.weights])
     labelled = clustering.assign(model, assemble(points, ["x", "y"]))
@@ -223,7 +230,7 @@ def mixture_groups(spark, sf):
 )
 def mixture_scores(spark, sf):
     points = paired_points(spark, sf)
-    with clustering.held(assemble(points, ["x", "y"], keep_input=False), PARTITIONS) as vectors:
+    with clustering.held(assemble(points, ["x", "y"], keep_input=False), partitions(points)) as vectors:
         best = best_mixture(vectors, 2)
         score = clustering.silhouette(clustering.assign(best.model, vectors))
         total = vectors.count()
@@ -305,7 +312,7 @@ def embedding_vectors(spark, sf):
 
 def embedding_clusters(spark, sf):
     embeddings = embedding_vectors(spark, sf)
-    with clustering.held(embeddings.select("features"), PARTITIONS) as vectors:
+    with clustering.held(embeddings.select("features"), partitions(embeddings)) as vectors:
         fitted = clustering.fit(vectors, fixed.KMEANS, k=10, max_iter=20)
     return (
         clustering.assign(fitted.model, embeddings)
@@ -325,7 +332,7 @@ def kmeans_embeddings(spark, sf):
     """K-Means over the embeddings: every vector is with its nearest centre of all ten, no
     cluster is empty, and the distances add up to the cost."""
     embeddings = embedding_vectors(spark, sf)
-    with clustering.held(embeddings.select("features"), PARTITIONS) as vectors:
+    with clustering.held(embeddings.select("features"), partitions(embeddings)) as vectors:
         fitted = clustering.fit(vectors, fixed.KMEANS, k=10, max_iter=20)
     labelled = clustering.assign(fitted.model, embeddings).withColumn(
         "values", vector_to_array("features")
@@ -363,7 +370,7 @@ def kmeans_check(spark, sf):
     points = table(spark, sf, "lineitem").select(
         F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y")
     )
-    with clustering.held(assemble(points, names, keep_input=False), PARTITIONS) as vectors:
+    with clustering.held(assemble(points, names, keep_input=False), partitions(points)) as vectors:
         fitted = clustering.fit(vectors, fixed.KMEANS, k=10, max_iter=20)
     centres = [list(map(float, centre)) for centre in fitted.model.clusterCenters()]
     labelled = clustering.assign(fitted.model, assemble(points, names)).drop("features")
@@ -397,7 +404,7 @@ def mixture_check(spark, sf):
     is the likeliest component."""
     names = ["c_acctbal", "c_nationkey"]
     customer = table(spark, sf, "customer").select(*names)
-    with clustering.held(assemble(customer, names, keep_input=False), PARTITIONS) as vectors:
+    with clustering.held(assemble(customer, names, keep_input=False), partitions(customer)) as vectors:
         fitted = clustering.fit(vectors, fixed.MIXTURE, k=3, max_iter=20)
     labelled = clustering.assign(fitted.model, assemble(customer, names))
     shares = vector_to_array("probability")
@@ -438,7 +445,7 @@ def cluster_job(spark, sf):
         algorithm=fixed.KMEANS_TITLE,
         k=3,
         max_iter=20,
-        partitions=PARTITIONS,
+        partitions=partitions(renamed),
         result_path=result,
         ledger_path=ledger,
     )

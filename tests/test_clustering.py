@@ -230,3 +230,16 @@ def test_labelled_rows_replace_old_ones(spark, tmp_path):
         write_labelled(df, str(tmp_path / "r"))
     assert read_csv(spark, str(tmp_path / "r")).columns == ["id", "x"]
     assert read_csv(spark, str(tmp_path / "r")).count() == 3
+
+
+@pytest.mark.parametrize("name", ["cluster_job", "kmeans_check", "kmeans_groups", "kmeans_scores"])
+def test_fits_of_more_rows_have_more_partitions(spark, monkeypatch, name):
+    from coterie.workload import QUERIES, clustering as workload
+
+    seen, placed = [], clustering.placed
+    monkeypatch.setattr(clustering, "placed", lambda rows, parts: seen.append(parts) or placed(rows, parts))
+    monkeypatch.setattr(workload, "PARTITION_ROWS", 500, raising=False)
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert QUERIES[name](spark, sf).count() > 0
+    assert seen == [math.ceil(rows / 500)] and seen[0] > 8
