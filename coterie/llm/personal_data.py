@@ -6,7 +6,8 @@ sign or the points written out, numbers with other separators or without a count
 Gradient-boosted trees, over the format of a span and the words around it, tell them from
 numbers that are none. They learn from what the strict rules accept, from rewritten and from
 broken forms of it, and from proposals that no rule could accept. For each kind, the
-lowest score that keeps its precision on held-out rows is the threshold.
+lowest score that keeps its precision on held-out rows is the threshold. Every example of
+the table is learned from or held out, by as many tasks as there are rows for.
 
 Only DataFrame functions and the library's own trees are used. The texts are read once.
 Patterns use possessive repeats, which need no stack however long a match is.
@@ -14,6 +15,7 @@ Patterns use possessive repeats, which need no stack however long a match is.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.ml.classification import GBTClassifier
@@ -26,7 +28,7 @@ from coterie.llm.tables import stage
 
 KINDS = ("email", "ip", "card", "phone")
 BEFORE, AFTER = 24, 12  # characters of context that are kept
-TRAIN_ROWS = 20_000  # spans that the trees learn from at most
+PARTITION_ROWS = 20_000  # examples in a partition
 ROUNDS, DEPTH = 20, 4
 PRECISION = 0.95  # of a kind's threshold on held-out rows
 
@@ -233,9 +235,11 @@ class Chooser:
 
     def __init__(self, known: DataFrame):
         self.model, self.thresholds = None, {}
-        # bounded, so one partition and the same trees for the same rows
-        chosen = known.distinct().orderBy(F.xxhash64("kind", "span", "before"), "kind", "span", "before", "after", "label")
-        rows, self.names = features(chosen.limit(TRAIN_ROWS).coalesce(1))
+        # every example; dealt and ordered by its values, so that a row is always in the same place
+        known = stage(known.distinct(), "known")
+        partitions = max(1, math.ceil(known.count() / PARTITION_ROWS))
+        values = ["kind", "span", "before", "after", "label"]
+        rows, self.names = features(known.repartition(partitions, *values).sortWithinPartitions(*values))
         fold = F.pmod(F.xxhash64(F.regexp_replace("span", "[^A-Za-z0-9]", "")), F.lit(3)) == 0
         rows = stage(self.assembled(rows.withColumn("held_out", fold).withColumn("label", F.col("label").cast("double"))), "examples")
         learned = rows.where("not held_out")
@@ -243,9 +247,11 @@ class Chooser:
             return
         trees = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, stepSize=0.2, seed=1, featuresCol="features", labelCol="label")
         self.model = trees.fit(learned.select("features", "label"))
-        upto = Window.partitionBy("kind").orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, 0)
-        held = self.scored(rows.where("held_out")).withColumn("right", F.avg("label").over(upto))
-        kept = held.where(F.col("right") >= PRECISION).groupBy("kind").agg(F.min("score").alias("score"))
+        upto = Window.partitionBy("kind").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+        # the trees give few different scores, however many rows there are
+        held = self.scored(rows.where("held_out")).groupBy("kind", "score").agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n"))
+        kept = held.withColumn("right", F.sum("good").over(upto) / F.sum("n").over(upto))
+        kept = kept.where(F.col("right") >= PRECISION).groupBy("kind").agg(F.min("score").alias("score"))
         self.thresholds = {row.kind: max(row.score, 0.5) for row in kept.collect()}  # one for each kind
 
     def assembled(self, rows: DataFrame) -> DataFrame:

@@ -138,3 +138,24 @@ def test_nulls_repeats_long_texts_and_extra_columns(spark):
 def test_no_python_in_the_plan(spark, small, table):
     plan = find_personal_data(spark.read.parquet(f"{small}/{table}.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_every_example_is_learned_from_or_held_out(spark, monkeypatch):
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.sql import functions as F
+
+    from coterie.llm import personal_data
+
+    seen, fit = [], GBTClassifier.fit
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, rows: seen.append((rows.count(), rows.rdd.getNumPartitions())) or fit(self, rows))
+    monkeypatch.setattr(personal_data, "ROUNDS", 2)
+    n = 45_000
+    span = F.format_string("%04d %04d %04d %04d", *(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(10_000)) for k in range(4)))
+    known = spark.range(n).select(
+        F.lit("card").alias("kind"), span.alias("span"), F.lit("my card ").alias("before"), F.lit("").alias("after"),
+        (F.col("id") % 2).cast("int").alias("label"),
+    )
+    chooser = personal_data.Chooser(known.union(known))
+    fold = F.pmod(F.xxhash64(F.regexp_replace("span", "[^A-Za-z0-9]", "")), F.lit(3)) == 0
+    assert chooser.model is not None
+    assert seen == [(known.where(~fold).count(), seen[0][1])] and seen[0][0] > 20_000 and seen[0][1] > 1
