@@ -15,7 +15,7 @@ from pyspark.errors import PySparkException
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from coterie.functions import fixed
 
@@ -135,8 +135,10 @@ def fit(
     by_block = chosen.name == fixed.KMEANS and solver == "block"
     if chosen.name == fixed.KMEANS:
         estimator = estimator.setSolver(solver)
-    # a frame that is not itself held: the estimator holds what it decodes for the fit
-    vectors = vectors.select("features")
+    # With a frame that is not itself held the estimator holds what it decodes for the fit;
+    # of one that is held it decodes the rows in every round. The held column selected alone,
+    # under whatever name, counts as held; a constant beside it does not.
+    vectors = vectors.select("features", F.lit(1.0).alias("once"))
     started = time.perf_counter()
     try:
         model = estimator.fit(vectors)

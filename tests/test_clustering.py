@@ -243,3 +243,16 @@ def test_fits_of_more_rows_have_more_partitions(spark, monkeypatch, name):
     rows = spark.read.parquet(f"{sf}/lineitem.parquet").count()
     assert QUERIES[name](spark, sf).count() > 0
     assert seen == [math.ceil(rows / 500)] and seen[0] > 8
+
+
+@pytest.mark.parametrize("parts", [None, 3])
+@pytest.mark.parametrize("title", TITLES)
+def test_a_fit_decodes_held_rows_once(spark, points, monkeypatch, title, parts):
+    kind = clustering.algorithm(title).estimator
+    levels, fit = [], kind.fit
+    monkeypatch.setattr(kind, "fit", lambda self, rows: levels.append(rows.storageLevel) or fit(self, rows))
+    with clustering.held(assemble(points, points.columns[1:], keep_input=False), parts) as vectors:
+        assert vectors.storageLevel.useDisk
+        clustering.fit(vectors, title, 2, 5)
+    # an estimator keeps the decoded rows of a frame that is not held, and of no other
+    assert [(level.useDisk, level.useMemory) for level in levels] == [(False, False)]
