@@ -233,7 +233,7 @@ def cut(path: str, end_id: int, capacity: int) -> Callable:
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen = word_encoder(path), 0
         for batch, texts in text_blocks(batches):
-            ids = [one + tail for one in encoder.encode(texts)]
+            ids = encoder.encode(texts, tail)
             parts = [
                 (row, k, one[k * width : (k + 1) * width])
                 for row, one in enumerate(ids)

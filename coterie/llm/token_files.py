@@ -83,13 +83,12 @@ def encode_ids(path: str, end_id: int, kind: str, size: int, id_type: pa.DataTyp
         for batch in batches:
             texts = utf8(batch.column(1))
             for part in blocks([len(text) for text in texts], BLOCK_BYTES):
-                ids = [one + tail for one in encoder.encode(texts[part])]
-                flat = np.frombuffer(b"".join(ids), "<u4").astype(kind)
+                flat, at = encoder.encode_block(texts[part], tail)
                 total += np.bincount(flat, minlength=size)
-                at = np.r_[0, np.cumsum([len(one) // 4 * width for one in ids])].astype(np.int64)
                 rows = batch.column(0).slice(part.start, part.stop - part.start)
                 yield pa.RecordBatch.from_arrays(
-                    [rows, binary(flat, at), pa.nulls(len(rows), pa.binary())], names=["doc_id", "ids", "counts"]
+                    [rows, binary(flat.astype(kind), width * at), pa.nulls(len(rows), pa.binary())],
+                    names=["doc_id", "ids", "counts"],
                 )
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(1, id_type), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())],

@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tiktoken
@@ -56,6 +57,42 @@ def test_words_encode_as_whole_texts(monkeypatch):
         assert found == word_ids(texts)
 
 
+def test_plain_words_go_straight_to_the_merges(monkeypatch):
+    """Only what composes, folds or parts goes through the normalizer and the patterns."""
+    whole = []
+    for name in ("encode_words", "encode_runs"):
+        method = getattr(word_tokens.WordEncoder, name)
+        monkeypatch.setattr(word_tokens.WordEncoder, name, lambda self, words, m=method: whole.extend(words) or m(self, words))
+    encoder = word_tokens.WordEncoder(word_tokens.WORD_BPE)
+    text = "Plain words, straßen; Été. naïve### don't 3rd x÷"
+    assert np.frombuffer(encoder.encode([text.encode()])[0], "<u4").tolist() == word_ids([text])[0]
+    assert sorted(whole) == sorted(", ; . ### Été don't 3rd x÷".encode().split())
+
+
+
+def test_words_of_letters_and_points_encode_as_whole_texts():
+    rng = random.Random(9)
+    encoder = word_tokens.WordEncoder(word_tokens.WORD_BPE)
+    letters = "".join(map(chr, [*range(0x21, 0x7F), *range(0xA1, 0x100)])) + "̸̧́ſİ字"
+    texts = [" ".join("".join(rng.choices(letters, k=rng.randrange(1, 7))) for _ in range(50)) for _ in range(200)]
+    texts += [" ".join(a + b for a in word_tokens.PLAIN for b in one) for one in letters]
+    texts += [" ".join("x" + a + b + c for b in letters[:94] for c in "=.a'̸") for a in letters]
+    found = encoder.encode([t.encode() for t in texts], b"tail")
+    assert [np.frombuffer(one[:-4], "<u4").tolist() for one in found] == word_ids(texts)
+    assert {one[-4:] for one in found} == {b"tail"}
+
+
+def test_halves_and_blocks_of_nothing():
+    encoder = word_tokens.word_encoder(word_tokens.WORD_BPE)
+    assert word_tokens.halves(pa.array([], pa.string())).to_pylist() == []
+    found = word_tokens.halves(pa.array(["", "a", "a.", "...", "é!", "×!", "x<.", "字.", "ab#c$$"])).to_pylist()
+    assert found == ["", "", "a", "", "a", ".", "...", "", "é", "!", "×!", "", "x<.", "", "字.", "", "ab#c", "$$"]
+    for texts, tail in (([b""], b""), ([b"", b" \n"], b""), ([b"", b"a", b"  "], b"tail")):
+        ids, at = encoder.encode_block(texts, tail)
+        assert at.tolist()[-1] == len(ids) and len(at) == len(texts) + 1
+    assert encoder.encode([]) == []
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(max_size=40), max_size=8))
 def test_words_encode_as_any_text(texts):
