@@ -92,3 +92,12 @@ def test_a_value_drawn_twice_is_seen(spark, monkeypatch):
     monkeypatch.setattr(sweeping, "uniform", lambda seed, row: (row - row % 64).cast("double"))
     found = QUERIES["random_repeats"](spark, SF).collect()
     assert [(r["same"], r["apart"]) for r in found] == [(True, False)] * 3
+
+
+@pytest.mark.parametrize("name", ["normal", "exponential"])
+def test_a_value_drawn_twice_is_seen_in_every_column(spark, monkeypatch, name):
+    from coterie.workload import sweeping
+
+    monkeypatch.setattr(sweeping, name, lambda seed, row: (row - row % 64).cast("double"))
+    found = QUERIES["random_repeats"](spark, SF).collect()
+    assert [(r["same"], r["apart"]) for r in found] == [(True, False)] * 3
