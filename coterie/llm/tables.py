@@ -3,16 +3,13 @@
 from __future__ import annotations
 
 import ctypes
-import os
-import shutil
 import sys
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-from coterie.session import scratch_path
+from coterie.session import scratch_path, ship  # noqa: F401
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -61,13 +58,3 @@ def make_room() -> None:
     pa.default_memory_pool().release_unused()
     if sys.platform == "linux":
         getattr(ctypes.CDLL(None), "malloc_trim", int)(0)
-
-
-def ship(spark: SparkSession) -> None:
-    """Hands this package to the executors, once for a session's context."""
-    context = spark.sparkContext
-    if not getattr(context, "_coterie_shipped", False):
-        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-        target = os.path.join(tempfile.mkdtemp(prefix="coterie-"), "coterie")
-        context.addPyFile(shutil.make_archive(target, "zip", root, "coterie"))
-        context._coterie_shipped = True

@@ -12,12 +12,13 @@ from typing import Any
 from py4j.protocol import Py4JError
 from pyspark import StorageLevel
 from pyspark.errors import PySparkException
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from coterie.functions import fixed
+from coterie.operators.rounds import BisectingKMeans, GaussianMixture
 
 DEFAULT_SEED = 1
 SPREAD, SPREAD_ROWS = 64, 25_000  # partitions an input of few is dealt out to, and rows in each
@@ -120,8 +121,8 @@ def fit(
     solver: str = "block",
 ) -> Fit:
     """Fits one algorithm; ``seconds`` covers the fit alone, which is the same for all
-    three: the held rows are decoded once, and kept decoded while the estimator passes over
-    them again and again.
+    three: the held rows are decoded once, and kept decoded, in blocks, while the estimator passes
+    over them again and again.
 
     For the same rows in the same partitions, and the same seed, labels are the same again.
     Sums come from the partitions in any order, so ``quality`` agrees to some twelve digits.

@@ -1,7 +1,9 @@
-"""Session for local use and tests, and the shared scratch folder."""
+"""Session for local use and tests, the shared scratch folder, and the package on executors."""
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -34,3 +36,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         base = tempfile.mkdtemp(prefix="coterie-")
     return f"{base.rstrip('/')}/coterie/{name}-{uuid.uuid4().hex}"
+
+
+def ship(spark: SparkSession) -> None:
+    """Hands this package to the executors, once for a session's context."""
+    context = spark.sparkContext
+    if not getattr(context, "_coterie_shipped", False):
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        target = os.path.join(tempfile.mkdtemp(prefix="coterie-"), "coterie")
+        context.addPyFile(shutil.make_archive(target, "zip", root, "coterie"))
+        context._coterie_shipped = True

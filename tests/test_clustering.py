@@ -2,6 +2,7 @@ import math
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.ml import clustering as library
 from pyspark.sql import functions as F
 
 from coterie.functions import fixed
@@ -256,3 +257,58 @@ def test_a_fit_decodes_held_rows_once(spark, points, monkeypatch, title, parts):
         clustering.fit(vectors, title, 2, 5)
     # an estimator keeps the decoded rows of a frame that is not held, and of no other
     assert [(level.useDisk, level.useMemory) for level in levels] == [(False, False)]
+
+
+@pytest.fixture(scope="module")
+def spread(spark):
+    """Four groups that overlap, in three columns."""
+    shifted = [F.randn(7 + i) + 4 * (F.col("id") % 4) * (i - 0.5) for i in range(3)]
+    rows = spark.range(2000, numPartitions=3).select(*[x.alias(f"x{i}") for i, x in enumerate(shifted)])
+    vectors = assemble(rows, rows.columns, keep_input=False).persist()
+    vectors.count()
+    yield vectors
+    vectors.unpersist()
+
+
+@pytest.mark.parametrize("k, max_iter", [(2, 1), (2, 20), (7, 5)])
+@pytest.mark.parametrize("title", [fixed.BISECTING_TITLE, fixed.MIXTURE_TITLE])
+def test_rounds_over_blocks_are_those_of_the_library(spark, spread, title, k, max_iter):
+    bisecting = title == fixed.BISECTING_TITLE
+    kind = library.BisectingKMeans if bisecting else library.GaussianMixture
+    theirs = kind(k=k, maxIter=max_iter, seed=5).fit(spread)
+    ours = clustering.fit(spread, title, k, max_iter, 5)
+    assert type(ours.model) is type(theirs)
+    assert ours.quality == pytest.approx(
+        theirs.summary.trainingCost if bisecting else theirs.summary.logLikelihood, rel=1e-9
+    )
+    assert ours.model.summary.clusterSizes == theirs.summary.clusterSizes
+    assert ours.model.summary.numIter == theirs.summary.numIter
+    labels = [[r["prediction"] for r in model.transform(spread).collect()] for model in (ours.model, theirs)]
+    assert labels[0] == labels[1]
+
+
+def test_no_round_passes_over_single_rows(spark, spread, monkeypatch):
+    asked = []
+    monkeypatch.setattr(library.BisectingKMeans, "fit", lambda self, rows: pytest.fail("rounds over rows"))
+    fit = library.GaussianMixture.fit
+    monkeypatch.setattr(
+        library.GaussianMixture, "fit", lambda self, rows: asked.append(self.getMaxIter()) or fit(self, rows)
+    )
+    for title in (fixed.BISECTING_TITLE, fixed.MIXTURE_TITLE):
+        clustering.fit(spread, title, 2, 5)
+    assert asked == [0]  # the start alone
+
+
+def test_a_cost_far_from_zero_is_exact(spark):
+    far = spark.range(400, numPartitions=2).select((F.col("id") % 2 * 100 + F.col("id") % 4 + 1e9).alias("x"))
+    fitted = clustering.fit(assemble(far, ["x"], keep_input=False), fixed.BISECTING_TITLE, 2, 5)
+    assert fitted.quality == pytest.approx(400)  # one from the centre, each of 400
+
+
+def test_rounds_refuse_what_has_no_distance(spark):
+    rows = spark.range(10).select(F.when(F.col("id") == 3, F.lit("nan").cast("double")).otherwise(1.0).alias("x"))
+    for title in (fixed.BISECTING_TITLE, fixed.MIXTURE_TITLE):
+        with pytest.raises(Exception):
+            clustering.fit(assemble(rows, ["x"], "keep", keep_input=False), title, 2, 5)
+        with pytest.raises(Exception):
+            clustering.fit(assemble(rows.limit(0), ["x"], keep_input=False), title, 2, 5)
